@@ -16,6 +16,7 @@ from docloom.llm.source_mixing import Mix, mixed, word_count
 from docloom.llm.tables import read
 from docloom.llm.token_counts import token_counts
 from docloom.llm.url_filter import url_filter
+from docloom.llm.vector_dedup import near_vectors
 
 BPE_FILE = "byte_bpe_50k.json"
 PIECE_FILE = "piece_bpe_32k.model"
@@ -32,6 +33,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs, Mix()).select("doc_id", "source", word_count(F.col("text")).alias("n_tokens"), "mix_epoch", "mix_block", "mix_order")
 
 
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -64,7 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_source_mixing, op3_quality_net, op5_secret_scan, op6_url_filter, op7_piece_codec, op8_quality_rules, op9_page_text, op10_token_counts)
+    found = (op1_source_mixing, op2_vector_dedup, op3_quality_net, op5_secret_scan, op6_url_filter, op7_piece_codec, op8_quality_rules, op9_page_text, op10_token_counts)
     return {f.__name__: f for f in found}
 
 
