@@ -12,6 +12,7 @@ from docloom.llm.piece_codec import piece_encode
 from docloom.llm.quality_net import fit, score
 from docloom.llm.quality_rules import quality_rules
 from docloom.llm.secret_scan import secret_scan
+from docloom.llm.shingle_join import shingle_components
 from docloom.llm.source_mixing import Mix, mixed, word_count
 from docloom.llm.tables import read
 from docloom.llm.token_counts import token_counts
@@ -44,6 +45,10 @@ def op3_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_components(read(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read(spark, sf_dir, "documents"))
 
@@ -69,7 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_source_mixing, op2_vector_dedup, op3_quality_net, op5_secret_scan, op6_url_filter, op7_piece_codec, op8_quality_rules, op9_page_text, op10_token_counts)
+    found = (op1_source_mixing, op2_vector_dedup, op3_quality_net, op4_shingle_join, op5_secret_scan, op6_url_filter, op7_piece_codec, op8_quality_rules, op9_page_text, op10_token_counts)
     return {f.__name__: f for f in found}
 
 
