@@ -8,7 +8,8 @@ backpointer paths of all boundaries in that window meet in one boundary, so memo
 
 No piece crosses from another character to a word mark (U+2581), so all paths meet in front of each mark that follows
 another character: there the search starts afresh, and its result for the characters up to the next such place can be
-looked up in a bounded cache.
+looked up in a bounded cache. So can the search's state after every fourth character from such a place, from which the
+search goes on for words that begin alike.
 """
 
 from __future__ import annotations
@@ -46,6 +47,13 @@ class PieceCodec:
         self.silent = {i for i in range(len(self.names)) if model_.is_control(i)}
         self.stable: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.begun: dict[str, list[str]] = {}
+        self.endings: dict = {}  # a tree of the pieces' characters from last to first; None marks a whole piece
+        for piece in self.ids:
+            node = self.endings
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[None] = piece
 
     def merged(self, chars: str) -> list[str]:
         """The encoding of a few characters by merging best-scored neighbours, leftmost first."""
@@ -60,14 +68,42 @@ class PieceCodec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _stable(self, a: str, b: str) -> bool:
-        known = self.stable.get((a, b))
-        if known is None:
-            if len(self.stable) >= CACHE_ENTRIES:
-                self.stable.clear()
-            known = self.stable[a, b] = self.merged(a + b) == [a, b]
+    def _stable(self, pair: tuple[str, str]) -> bool:
+        if len(self.stable) >= CACHE_ENTRIES:
+            self.stable.clear()
+        known = self.stable[pair] = (self.merged(pair[0] + pair[1]) == list(pair)) if pair[0] else self.merged(pair[1]) == [pair[1]]
         return known
 
+    def _last_pieces(self, chars: str) -> list[str]:
+        """The piece that ends at each boundary of a short text, on its surviving path."""
+        n = len(chars)
+        known = self.begun.get(chars)
+        if known is not None:
+            return known
+        last = list(self._last_pieces(chars[: (n - 1) // 4 * 4])) if n > 4 else [""]
+        endings, stable = self.endings, self.stable.get
+        for end in range(len(last), n + 1):
+            node, start, found = endings, end, []
+            while start:
+                start -= 1
+                node = node.get(chars[start])
+                if node is None:
+                    break
+                if None in node:
+                    found.append((last[start], node[None]))
+            for pair in reversed(found):
+                holds = stable(pair)
+                if holds or holds is None and self._stable(pair):
+                    last.append(pair[1])
+                    break
+            else:
+                last.append(chars[end - 1])  # a character without a piece, given as bytes
+        if n % 4 == 0:
+            if len(self.begun) >= CACHE_ENTRIES // 2:
+                self.begun.clear()
+            self.begun[chars] = last
+        return last
+
     def viterbi(self, chars: str) -> Iterator[str]:
         """Pieces of chars in order, each given out once every surviving path runs through it."""
         longest, pieces = self.longest, self.ids
@@ -76,9 +112,11 @@ class PieceCodec:
         for end in range(1, len(chars) + 1):
             for start in range(max(done, end - longest), end):
                 piece = chars[start:end]
-                if (end - start == 1 or piece in pieces) and (not start or self._stable(last[start], piece)) and (start or self.merged(piece) == [piece]):
-                    last[end] = piece
-                    break
+                if end - start == 1 or piece in pieces:
+                    pair = (last[start], piece)
+                    if self.stable.get(pair) or pair not in self.stable and self._stable(pair):
+                        last[end] = piece
+                        break
             else:
                 raise ValueError("no piece ends here")
             if end - done >= 4 * longest or end == len(chars):
@@ -102,7 +140,15 @@ class PieceCodec:
 
     def _chunk(self, chars: str) -> tuple[int, ...]:
         out: list[int] = []
-        for piece in self.viterbi(chars):
+        if len(chars) <= 2 * self.longest:
+            last, path, b = self._last_pieces(chars), [], len(chars)
+            while b:
+                path.append(last[b])
+                b -= len(last[b])
+            path.reverse()
+        else:
+            path = self.viterbi(chars)
+        for piece in path:
             i = self.ids.get(piece)
             out += [i] if i is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
         got = tuple(out)
