@@ -13,9 +13,9 @@ before anything is joined.
    rule out nearly all pairs that don't link, without any set at hand. The other groups, made up of common tokens, are
    joined among each other once more over their whole sets, ordered from rare to common.
 3. Pairs of groups are expanded to pairs of their members' different sets and verified on the whole sets: first one pair
-   for each set, then only pairs whose sets aren't connected yet. A common token's list is first linked as a chain, and
-   pairs of its list follow only where they'd connect different components. So large groups of copies never become all
-   their pairs, and yet no link between components is missed.
+   for each set, then only pairs whose sets aren't connected yet. The lists of common tokens never become pairs: a list
+   is a triangle of blocks of bounded size, whose sets are compared by a matrix product of their shared tokens, and what
+   leaves a block is a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -38,6 +38,9 @@ SMALL = 64
 HEAD = np.uint64(1 << 63)  # half of the hash range
 BUCKET_TOKENS = 1_000_000
 FLUSH_TOKENS = 4_000_000
+#: Sets of one block of a common token's list, and rows that are compared in one call.
+LIST_BLOCK = 1024
+LIST_ROWS = 4000
 #: Ids of documents whose sets are read again are sent to all tasks up to this number (8 MB); beyond it they are joined.
 MOST_BROADCAST = 1_000_000
 
@@ -363,13 +366,14 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     enough = F.when(F.col("n") <= SMALL * 3 // 4, F.col("rare")).otherwise(F.col("rare_low")) >= prefix
     sized = written(sized.withColumn("enough", enough), "shingle-sizes")
     pairs = met.filter("m > 0").groupBy("a", "b").agg(F.sum("m").alias("m"))
-    one = sized.select("g", "n", "rare_low", "n_sets", "rep")
+    one = sized.select("g", "n", "rare_low", "n_sets", "rep", "enough")
     for side in ("a", "b"):
-        pairs = pairs.join(one.select(F.col("g").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "rare_low", "n_sets", "rep"))), side)
+        pairs = pairs.join(one.select(F.col("g").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "rare_low", "n_sets", "rep", "enough"))), side)
     need = F.ceil((F.col("n_a") + F.col("n_b")) * 3 / 7)
     # of a set's rare tokens below HEAD, all but n - need are shared; two may be lost where tokens are told by fewer bits
     fits = _size_fits("n_a", "n_b") & (F.col("m") + 2 >= F.greatest(F.col("rare_low_a") - F.col("n_a") + need, F.col("rare_low_b") - F.col("n_b") + need))
-    pairs = pairs.filter(fits)
+    # pairs of two groups without enough such tokens come from the join of their whole sets
+    pairs = pairs.filter(fits & (F.col("enough_a") | F.col("enough_b")))
     plain = pairs.filter("n_sets_a = 1 and n_sets_b = 1").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     sets_of = classes.join(sized.filter("n_sets > 1").select("g"), "g", "left_semi").select("g", "rep")
     several = pairs.filter("n_sets_a > 1 or n_sets_b > 1").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
@@ -402,25 +406,65 @@ def _common_links(common: DataFrame, sets: DataFrame, known: DataFrame) -> DataF
         )
 
     tokens = written(by_batch(sets.join(common.select("rep"), "rep", "left_semi").select("rep", "data"), unpack, "rep long, token long, n long"), "common-tokens")
-    counts = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    # Tokens that the same sets have (a passage's, say) make the same pairs, so their first in the order is enough: each
+    # of these sets that has one of them in its prefix has that one there too.
+    sums = [F.sum(F.xxhash64("rep", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+    members = written(tokens.groupBy("token").agg(F.count("*").alias("c"), *sums).filter("c > 1"), "common-counts")
+    firsts = members.groupBy("c", "s1", "s2").agg(F.min("token").alias("token")).select("token")
+    counts = members.select("token", "c")
     order = Window.partitionBy("rep").orderBy("c", "token")
     # tokens of one set alone come first in the order; the others follow them
     alone = tokens.join(counts, "token", "left").withColumn("c", F.coalesce("c", F.lit(1)))
     prefix = (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1).cast("long")
-    lists = written(alone.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= prefix).filter("c > 1").select("token", "rep", "n", "c"), "common-lists")
-    in_list = Window.partitionBy("token").orderBy("n", "rep")
-    chain = lists.select("rep", "n", F.lag("rep").over(in_list).alias("other"), F.lag("n").over(in_list).alias("m")).filter("other is not null").filter(_size_fits("n", "m"))
-    pairs = chain.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).filter("a <> b").distinct()
-    edges = written(known.union(_verify(_across(pairs, _connected(known)), sets)), "shingle-links")
-    # each pass links what is left across components; the last one finds nothing left to ask
-    groups = _connected(edges)
-    at = lists.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = at.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("token")
-    open_ = written(at.join(mixed, "token", "left_semi"), "common-open")
-    left = open_.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = open_.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = left.join(right, "token").filter("a < b and ca <> cb").filter(_size_fits("na", "nb")).select("a", "b").distinct()
-    return written(edges.union(_verify(rest, sets)), "shingle-links")
+    lists = written(alone.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= prefix).filter("c > 1").select("token", "rep", "n").join(firsts, "token", "left_semi"), "common-lists")
+    rows = lists.count()
+    sizes = lists.groupBy("token").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("k"))
+    # a long list is a triangle of blocks, each row beside every block of its list
+    block = F.pmod(F.xxhash64("rep", "token"), F.col("k")).cast("int")
+    beside = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
+    placed = lists.join(sizes, "token").join(sets.select("rep", "data"), "rep").select("token", "rep", "data", F.explode(beside).alias("at")).select("token", "rep", "data", "at.*")
+    parts = max(1, -(-rows // LIST_ROWS))
+    met = placed.groupBy(F.pmod(F.xxhash64("token", "i", "j"), F.lit(parts)).alias("part")).applyInPandas(_compared, "a long, b long")
+    return written(known.union(met.distinct()), "shingle-links")
+
+
+def _compared(rows: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest (a, b) of the links within each list block of rows."""
+    out = []
+    for _, one in rows.groupby(["token", "i", "j"], sort=False):
+        if len(one) > 1:
+            out += forest(one["rep"].to_numpy(np.int64), [np.frombuffer(d, np.uint64) for d in one["data"]])
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def forest(reps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(rep, smallest rep it reaches) of the sets that link with another; shared tokens are counted by matrix products."""
+    order = np.argsort(reps, kind="stable")
+    reps, sets = reps[order], [sets[i] for i in order]
+    n = len(reps)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    of = np.repeat(np.arange(n), sizes)
+    _, token, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[token] > 1  # the others are in one set only
+    place = np.cumsum(counts > 1) - 1
+    of, token = of[shared], place[token[shared]]
+    both = np.zeros((n, n), np.float32)
+    by_token = np.argsort(token, kind="stable")
+    of, token = of[by_token], token[by_token]
+    for a in range(0, int(counts.size and (counts > 1).sum()), 4096):
+        s = slice(*np.searchsorted(token, [a, a + 4096]))
+        has = np.zeros((n, 4096), np.float32)
+        has[of[s], token[s] - a] = 1
+        both += has @ has.T
+    links = 100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both)
+    np.fill_diagonal(links, True)
+    label = np.arange(n)
+    while True:
+        new = np.where(links, label[None, :], n).min(1)
+        if (new == label).all():
+            break
+        label = new
+    return [(int(reps[i]), int(reps[k])) for i, k in enumerate(label) if i != k]
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
