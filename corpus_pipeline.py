@@ -8,6 +8,7 @@ from docloom.llm.piece_codec import piece_encode
 from docloom.llm.quality_rules import keep_good
 from docloom.llm.queries import PIECE_FILE, vocabulary
 from docloom.llm.secret_scan import redacted
+from docloom.llm.shingle_join import keep_one
 from docloom.llm.source_mixing import Mix, mixed
 from docloom.llm.tables import read, written
 
@@ -16,6 +17,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return redacted(docs)
 
@@ -29,7 +34,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_encode(docs, vocabulary(PIECE_FILE), keep=("doc_id", "lang", "source"))
 
 
-STAGES = [("quality_rules", quality), ("secret_scan", secrets), ("source_mixing", mix), ("piece_encoding", tokens)]
+STAGES = [("quality_rules", quality), ("shingle_join", near_duplicates), ("secret_scan", secrets), ("source_mixing", mix), ("piece_encoding", tokens)]
 
 #: SQL can't express the rolling hashes' verdicts or the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
