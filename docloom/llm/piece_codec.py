@@ -16,7 +16,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from docloom.llm.tables import by_batch
 
 MARK = "▁"
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 
 
 class PieceCodec:
@@ -99,7 +101,7 @@ class PieceCodec:
             else:
                 last.append(chars[end - 1])  # a character without a piece, given as bytes
         if n % 4 == 0:
-            if len(self.begun) >= CACHE_ENTRIES // 2:
+            if len(self.begun) >= CACHE_ENTRIES // 3:
                 self.begun.clear()
             self.begun[chars] = last
         return last
@@ -224,7 +226,7 @@ def piece_encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
         texts = [s.as_py() or "" for s in batch.column(len(keep))]
         ids = [codec.encode(t) for t in texts]
         same = [codec.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-        flat = pa.array([x for i in ids for x in i], pa.int32())
+        flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32))
         ends = [0]
         for i in ids:
             ends.append(ends[-1] + len(i))

@@ -37,7 +37,7 @@ MOST = 40
 SMALL = 64
 HEAD = np.uint64(1 << 63)  # half of the hash range
 BUCKET_TOKENS = 1_000_000
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 2_000_000
 #: Sets of one block of a common token's list, and rows that are compared in one call.
 LIST_BLOCK = 1024
 LIST_ROWS = 4000

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,23 +52,25 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of one slice handed to Python code at a time, so that very long texts don't meet in memory.
-SLICE_CHARS = 8_000_000
+#: Bytes of text handed to Python code at a time, so that many long texts don't meet in memory.
+SLICE_BYTES = 4_000_000
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """batch in parts of about SLICE_CHARS bytes of the given column."""
-    col = batch.column(batch.schema.get_field_index(column))
-    if col.nbytes <= SLICE_CHARS:
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in parts with about SLICE_BYTES of its text and binary columns, of one row at least."""
+    sizes = None
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            n = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = n if sizes is None else sizes + n
+    if sizes is None or sizes.sum() <= SLICE_BYTES:
         yield batch
         return
-    first, size = 0, 0
-    for i, n in enumerate(len(x) if x is not None else 0 for x in (s.as_py() for s in col)):
-        if size and size + n > SLICE_CHARS:
-            yield batch.slice(first, i - first)
-            first, size = i, 0
-        size += n
-    yield batch.slice(first)
+    part = np.cumsum(sizes) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
@@ -75,6 +79,7 @@ def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield function(batch)
+                for part in slices(batch):
+                    yield function(part)
 
     return df.mapInArrow(run, schema)
