@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.oracles import ORACLES
 from docloom.llm.page_text import page_text
 from docloom.llm.piece_codec import piece_encode
 from docloom.llm.quality_net import fit, score
@@ -78,5 +79,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def oracle_sql() -> dict[str, str]:  # the others are tested against brute force in tests/llm
+    return dict(ORACLES)
