@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from docloom.llm.tables import by_batch
 
 MARK = "▁"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 240_000
 
 
 class PieceCodec:
@@ -235,7 +235,12 @@ def piece_encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
             [*keep, "ids", "n_ids", "round_trip"],
         )
 
-    return by_batch(docs.select(*keep, F.col("text").alias("__text")), encode, schema)
+    def forget() -> None:
+        codec = _loaded(path)
+        codec.cache.clear()
+        codec.begun.clear()
+
+    return by_batch(docs.select(*keep, F.col("text").alias("__text")), encode, schema, after=forget)
 
 
 def piece_decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

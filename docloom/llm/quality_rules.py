@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.llm.tables import by_batch
 
@@ -135,12 +134,9 @@ def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of docs whose text is kept, with all their columns, in one pass and without a shuffle."""
     lengths = tuple(k for k, _ in limits.coverage)
 
-    @F.pandas_udf(T.BooleanType())
-    def good(texts):
-        def one(text):
-            n, _, symbols, _, repeated, lines, share = measure(text or "", lengths)
-            return n >= limits.min_words and 100 * repeated <= limits.repeat_percent * n and lines <= limits.line_coverage and symbols <= limits.symbols_per_word * n and all(share[k] <= most for k, most in limits.coverage)
+    def good(text: str | None) -> bool:
+        n, _, symbols, _, repeated, lines, share = measure(text or "", lengths)
+        return n >= limits.min_words and 100 * repeated <= limits.repeat_percent * n and lines <= limits.line_coverage and symbols <= limits.symbols_per_word * n and all(share[k] <= most for k, most in limits.coverage)
 
-        return texts.map(one).astype(bool)
-
-    return docs.filter(good("text"))
+    place = docs.columns.index("text")
+    return by_batch(docs, lambda batch: batch.filter(pa.array([good(s.as_py()) for s in batch.column(place)], pa.bool_())), docs.schema)

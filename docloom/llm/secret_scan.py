@@ -18,7 +18,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 from docloom.llm.tables import by_batch
 
@@ -354,11 +354,19 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + ADDED_RULES
     """docs with secrets replaced in text, and n_chars made to fit where text changed; a null text stays null."""
     compiled = scanner(rules)
 
-    @F.pandas_udf(T.StringType())
-    def clean(texts):
-        return texts.map(lambda t: t if t is None else redact(t, compiled))
-
-    new = docs.withColumn("__text", clean("text"))
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("__text").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType))
-    return new.withColumn("text", F.col("__text")).select(docs.columns)
+    names = docs.columns
+    place = names.index("text")
+    types = docs.schema.fields
+    chars = names.index("n_chars") if "n_chars" in names else -1
+
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        old = batch.column(place).to_pylist()
+        new = [t if t is None else redact(t, compiled) for t in old]
+        columns = list(batch.columns)
+        columns[place] = pa.array(new, batch.column(place).type)
+        if chars >= 0:
+            sizes = [n if a == b else len(b) for a, b, n in zip(old, new, batch.column(chars).to_pylist(), strict=True)]
+            columns[chars] = pa.array(sizes, batch.column(chars).type)
+        return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return by_batch(docs, clean, StructType(types))

@@ -36,8 +36,8 @@ WORDS = 5
 MOST = 40
 SMALL = 64
 HEAD = np.uint64(1 << 63)  # half of the hash range
-BUCKET_TOKENS = 1_000_000
-FLUSH_TOKENS = 2_000_000
+BUCKET_TOKENS = 250_000
+FLUSH_TOKENS = 400_000
 #: Sets of one block of a common token's list, and rows that are compared in one call.
 LIST_BLOCK = 1024
 LIST_ROWS = 4000
@@ -104,8 +104,8 @@ def _set_of(words: np.ndarray) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def shingle_sets(texts: list[str | None], group: int = 1 << 20) -> Iterator[np.ndarray]:
-    """The set of each text, worked out in groups of about a megabyte; longer texts are cut at spaces."""
+def shingle_sets(texts: list[str | None], group: int = 1 << 18) -> Iterator[np.ndarray]:
+    """The set of each text, worked out in groups of about 256 kB; longer texts are cut at spaces."""
     np.seterr(over="ignore")
     waiting: list[bytes] = []
 
@@ -261,7 +261,13 @@ def _bucket_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     if not lefts:
         return told
     a, b = np.concatenate(lefts), np.concatenate(rights)
-    pair = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).groupby(["a", "b"], sort=False).size().reset_index(name="m")
+    lefts.clear()
+    rights.clear()
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    pair = pd.DataFrame({"a": a[begin], "b": b[begin], "m": np.diff(np.append(begin, len(a)))})
     pair["x"] = pair["y"] = 0
     return pd.concat([told, pair], ignore_index=True)
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,13 +74,18 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow of a function from one record batch to one; no state between batches, so tasks can be run again."""
+def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, after: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow of a function from one record batch to one; no state between batches, so tasks can be run again.
+
+    after: called once at the end of each task, to give back memory that the worker would keep for later stages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 for part in slices(batch):
                     yield function(part)
+        if after:
+            after()
 
     return df.mapInArrow(run, schema)
