@@ -47,6 +47,8 @@ class PieceCodec:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("this vocabulary has pieces with a word mark after another character")
         self.silent = {i for i in range(len(self.names)) if model_.is_control(i)}
+        #: the text of each id that stands for itself wherever it occurs; None for controls and parts of longer characters
+        self.plain = [None if i in self.silent or self.bytes_of.get(i, 0) >= 0x80 else chr(self.bytes_of[i]) if i in self.bytes_of else n for i, n in enumerate(self.names)]
         self.stable: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
         self.begun: dict[str, list[str]] = {}
@@ -185,6 +187,12 @@ class PieceCodec:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids. Runs of byte pieces are read as UTF-8, a wrong byte as U+FFFD; control ids give nothing."""
+        plain = self.plain
+        try:
+            text = "".join([plain[i] for i in ids]).replace(MARK, " ")
+            return text[1:] if text.startswith(" ") else text
+        except TypeError:
+            pass  # some id has no text of its own
         names, low, high = self.names, self.low, self.high
         parts: list[str] = []
         run = bytearray()
