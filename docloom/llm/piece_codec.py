@@ -8,15 +8,15 @@ backpointer paths of all boundaries in that window meet in one boundary, so memo
 
 No piece crosses from another character to a word mark (U+2581), so all paths meet in front of each mark that follows
 another character: there the search starts afresh, and its result for the characters up to the next such place can be
-looked up in a bounded cache. So can the search's state after every fourth character from such a place, from which the
-search goes on for words that begin alike.
+looked up in a bounded cache. The same holds between any two characters that no piece has side by side, so a chunk that
+isn't known is cut there, and its parts are looked up before they are searched.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from docloom.llm.tables import by_batch
 
 MARK = "▁"
+_INT = struct.Struct("=i")
 CACHE_ENTRIES = 240_000
 
 
@@ -33,12 +34,14 @@ class PieceCodec:
     """Encoder and decoder of a SentencePiece BPE model with byte fallback, from its serialized form."""
 
     def __init__(self, model: bytes):
+        import ahocorasick
         import sentencepiece
 
         model_ = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.names = [model_.id_to_piece(i) for i in range(model_.get_piece_size())]
         normal = [i for i in range(len(self.names)) if not (model_.is_byte(i) or model_.is_control(i) or model_.is_unknown(i) or model_.is_unused(i))]
         self.ids = {self.names[i]: i for i in normal}
+        self.id_bytes = {piece: _INT.pack(i) for piece, i in self.ids.items()}
         self.scores = {self.names[i]: model_.get_score(i) for i in normal}
         self.byte_ids = {int(self.names[i][3:5], 16): i for i in range(len(self.names)) if model_.is_byte(i)}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
@@ -50,14 +53,15 @@ class PieceCodec:
         #: the text of each id that stands for itself wherever it occurs; None for controls and parts of longer characters
         self.plain = [None if i in self.silent or self.bytes_of.get(i, 0) >= 0x80 else chr(self.bytes_of[i]) if i in self.bytes_of else n for i, n in enumerate(self.names)]
         self.stable: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.begun: dict[str, list[str]] = {}
-        self.endings: dict = {}  # a tree of the pieces' characters from last to first; None marks a whole piece
+        #: 32-bit ids of chunks and parts, in two generations
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: pairs of neighbouring characters inside pieces; no piece crosses any other pair
+        self.joined = {pair for piece in self.ids for pair in zip(piece, piece[1:])}
+        self.pieces = ahocorasick.Automaton()
         for piece in self.ids:
-            node = self.endings
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[None] = piece
+            self.pieces.add_word(piece, piece)
+        self.pieces.make_automaton()
 
     def merged(self, chars: str) -> list[str]:
         """The encoding of a few characters by merging best-scored neighbours, leftmost first."""
@@ -78,35 +82,27 @@ class PieceCodec:
         known = self.stable[pair] = (self.merged(pair[0] + pair[1]) == list(pair)) if pair[0] else self.merged(pair[1]) == [pair[1]]
         return known
 
-    def _last_pieces(self, chars: str) -> list[str]:
-        """The piece that ends at each boundary of a short text, on its surviving path."""
-        n = len(chars)
-        known = self.begun.get(chars)
-        if known is not None:
-            return known
-        last = list(self._last_pieces(chars[: (n - 1) // 4 * 4])) if n > 4 else [""]
-        endings, stable = self.endings, self.stable.get
-        for end in range(len(last), n + 1):
-            node, start, found = endings, end, []
-            while start:
-                start -= 1
-                node = node.get(chars[start])
-                if node is None:
-                    break
-                if None in node:
-                    found.append((last[start], node[None]))
-            for pair in reversed(found):
-                holds = stable(pair)
-                if holds or holds is None and self._stable(pair):
-                    last.append(pair[1])
-                    break
-            else:
-                last.append(chars[end - 1])  # a character without a piece, given as bytes
-        if n % 4 == 0:
-            if len(self.begun) >= CACHE_ENTRIES // 3:
-                self.begun.clear()
-            self.begun[chars] = last
-        return last
+    def _path(self, chars: str) -> list[str]:
+        """The pieces of a short text: the piece that ends at each boundary of the surviving paths, followed from the end."""
+        last, decided, stable = [""], 0, self.stable.get
+        for at, piece in self.pieces.iter(chars):  # by ends, longest first
+            if at < decided:
+                continue
+            while decided < at:
+                last.append(chars[decided])  # a character without a piece, given as bytes
+                decided += 1
+            pair = (last[at + 1 - len(piece)], piece)
+            holds = stable(pair)
+            if holds or holds is None and self._stable(pair):
+                last.append(piece)
+                decided += 1
+        last += chars[decided:]
+        path, b = [], len(chars)
+        while b:
+            path.append(last[b])
+            b -= len(last[b])
+        path.reverse()
+        return path
 
     def viterbi(self, chars: str) -> Iterator[str]:
         """Pieces of chars in order, each given out once every surviving path runs through it."""
@@ -142,24 +138,37 @@ class PieceCodec:
                 for b in [b for b in last if b < keep]:
                     del last[b]
 
-    def _chunk(self, chars: str) -> tuple[int, ...]:
-        out: list[int] = []
-        if len(chars) <= 2 * self.longest:
-            last, path, b = self._last_pieces(chars), [], len(chars)
-            while b:
-                path.append(last[b])
-                b -= len(last[b])
-            path.reverse()
-        else:
-            path = self.viterbi(chars)
-        for piece in path:
-            i = self.ids.get(piece)
-            out += [i] if i is not None else [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-        got = tuple(out)
+    def _remember(self, chars: str, ids: bytes) -> None:
+        """What is not used while the younger generation fills is forgotten. Both dictionaries stay the same objects."""
+        if len(self.cache) >= CACHE_ENTRIES:
+            self.older.clear()
+            self.older.update(self.cache)
+            self.cache.clear()
+        self.cache[chars] = ids
+
+    def _part(self, chars: str) -> bytes:
+        known, out = self.id_bytes.get, []
+        for piece in self._path(chars) if len(chars) <= 2 * self.longest else self.viterbi(chars):
+            out.append(known(piece) or b"".join([_INT.pack(self.byte_ids[b]) for b in piece.encode("utf-8", "surrogatepass")]))
+        return b"".join(out)
+
+    def _chunk(self, chars: str) -> bytes:
+        got = self.older.get(chars)
+        if got is None:
+            joined, out, start = self.joined, [], 0
+            cuts = [i for i, pair in enumerate(zip(chars, chars[1:]), 1) if pair not in joined]
+            for end in [*cuts, len(chars)] if cuts else ():
+                part = chars[start:end]
+                ids = self.cache.get(part) or self.older.get(part)
+                if ids is None:
+                    ids = self._part(part)
+                    if len(part) <= 64:
+                        self._remember(part, ids)
+                out.append(ids)
+                start = end
+            got = b"".join(out) if cuts else self._part(chars)
         if len(chars) <= 64:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[chars] = got
+            self._remember(chars, got)
         return got
 
     def chunks(self, text: str) -> list[str]:
@@ -176,14 +185,13 @@ class PieceCodec:
             out.append(marks[1:])
         return out
 
+    def encoded(self, text: str) -> bytes:
+        """The ids of a text, 32 bits each."""
+        known, search = self.cache.get, self._chunk
+        return b"".join([known(chunk) or search(chunk) for chunk in self.chunks(text)]) if text else b""
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        known = self.cache.get
-        for chunk in self.chunks(text):
-            out += known(chunk) or self._chunk(chunk)
-        return out
+        return np.frombuffer(self.encoded(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids. Runs of byte pieces are read as UTF-8, a wrong byte as U+FFFD; control ids give nothing."""
@@ -232,21 +240,20 @@ def piece_encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = _loaded(path)
         texts = [s.as_py() or "" for s in batch.column(len(keep))]
-        ids = [codec.encode(t) for t in texts]
-        same = [codec.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-        flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32))
-        ends = [0]
-        for i in ids:
-            ends.append(ends[-1] + len(i))
+        ids = [codec.encoded(t) for t in texts]
+        same = [codec.decode(np.frombuffer(i, np.int32).tolist()) == t for i, t in zip(ids, texts, strict=True)]
+        sizes = np.array([len(i) // 4 for i in ids], np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        flat = np.frombuffer(b"".join(ids), np.int32)
         return pa.RecordBatch.from_arrays(
-            [*(batch.column(k) for k in range(len(keep))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array([len(i) for i in ids], pa.int64()), pa.array(same)],
+            [*(batch.column(k) for k in range(len(keep))), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sizes), pa.array(same, pa.bool_())],
             [*keep, "ids", "n_ids", "round_trip"],
         )
 
     def forget() -> None:
         codec = _loaded(path)
         codec.cache.clear()
-        codec.begun.clear()
+        codec.older.clear()
 
     return by_batch(docs.select(*keep, F.col("text").alias("__text")), encode, schema, after=forget)
 
