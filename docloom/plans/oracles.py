@@ -5,6 +5,7 @@ from __future__ import annotations
 from docloom.functions.entities import PATTERNS
 from docloom.functions.text import STOP_WORDS, SUFFIXES
 from docloom.operators.reduce import FILLERS
+from docloom.operators.textrank import LEVELS
 from docloom.plans.inputs import INVOICES_SQL
 
 
@@ -63,6 +64,32 @@ _TRIMMED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _TITLE_CASE = r"array_to_string(list_transform(regexp_extract_all({k}, '[^\s_-]+|[\s_-]+'), lambda r: upper(r[1:1]) || lower(r[2:])), '')"
 _VALID = r"({k} <> '' AND strlen({k}) <= 40 AND NOT regexp_matches({k}, '[.,]$') AND NOT contains({k}, '://') AND NOT contains({k}, '@') AND regexp_matches({k}, '^\pL'))"
 
+_WALK = f"""{_SENT}, {_TERM}, {_TF}, mag AS (SELECT doc_id, idx, sqrt(sum(tf * tf)) AS mag FROM tf GROUP BY ALL),
+sim AS (SELECT a.doc_id, a.idx AS i, b.idx AS j, sum(a.tf * b.tf) / (any_value(x.mag) * any_value(y.mag)) AS w FROM tf a JOIN tf b ON a.doc_id = b.doc_id AND a.term = b.term AND a.idx <> b.idx
+  JOIN mag x ON x.doc_id = a.doc_id AND x.idx = a.idx JOIN mag y ON y.doc_id = b.doc_id AND y.idx = b.idx GROUP BY a.doc_id, a.idx, b.idx),
+edge AS (SELECT doc_id, i, j, w / sum(w) OVER (PARTITION BY doc_id, i) AS w FROM sim UNION ALL SELECT doc_id, idx, idx, 0 FROM sent),
+walk AS (SELECT 0 AS it, doc_id, idx AS j, 1.0::DOUBLE / n AS score, n FROM sent
+  UNION ALL SELECT w.it + 1, e.doc_id, e.j, any_value((1 - 0.85::DOUBLE) / w.n) + sum(0.85::DOUBLE * e.w * w.score), any_value(w.n) FROM walk w JOIN edge e ON e.doc_id = w.doc_id AND e.i = w.j WHERE w.it < 60 GROUP BY w.it, e.doc_id, e.j)"""
+
+
+def _reduce(level: str) -> str:
+    ratio, points, keys = LEVELS[level]
+    return rf"""
+WITH RECURSIVE {_WALK},
+scored AS (SELECT s.doc_id, s.idx, s.s, s.n, {_words("s.s")}::BIGINT AS w, k.score, max(k.score) OVER d AS top, min(round(k.score, 9)) OVER d = max(round(k.score, 9)) OVER d AS level
+  FROM sent s JOIN walk k ON k.it = 60 AND k.doc_id = s.doc_id AND k.j = s.idx WINDOW d AS (PARTITION BY s.doc_id)),
+chosen AS (SELECT doc_id, string_agg(s, ' ' ORDER BY idx) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, idx) AS r FROM scored WHERE w >= 4 OR level)
+  WHERE r <= greatest(1, floor(n * {ratio}::DOUBLE + 0.5)) GROUP BY doc_id),
+point AS (SELECT doc_id, string_agg(s, ' / ' ORDER BY idx) AS key_points FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(0.7::DOUBLE * score / greatest(1e-9, top) + 0.3::DOUBLE * (1 - idx::DOUBLE / n), 9) DESC, idx) AS r FROM scored WHERE w >= 4)
+  WHERE r <= {points} GROUP BY doc_id),
+total AS (SELECT doc_id, term, count(*) AS c, min(idx * 1000000 + p) AS first FROM term GROUP BY ALL),
+word AS (SELECT doc_id, string_agg(term, ' ' ORDER BY r) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, first) AS r FROM total) WHERE r <= {keys} GROUP BY doc_id),
+size AS (SELECT doc_id, sum(w)::BIGINT AS original_words, count(*) AS original_sentences FROM scored GROUP BY doc_id),
+made AS (SELECT doc_id, nullif(trim(regexp_extract(text, '(?m)^#\s+(.+)$', 1)), '') AS title, coalesce(summary, '') AS summary, coalesce(key_points, '') AS key_points, coalesce(keywords, '') AS keywords, coalesce(original_words, 0) AS original_words, coalesce(original_sentences, 0) AS original_sentences
+  FROM documents LEFT JOIN chosen USING (doc_id) LEFT JOIN point USING (doc_id) LEFT JOIN word USING (doc_id) LEFT JOIN size USING (doc_id))
+SELECT *, {_words("summary")}::BIGINT AS reduced_words, round(CASE WHEN original_words > 0 THEN (1 - {_words("summary")}::DOUBLE / original_words) * 100 ELSE 0 END, 6) AS reduction_percent FROM made"""
+
+
 ORACLES = {
     "q_detect_format": f"""SELECT 'documents' AS src, doc_id AS id, {_format("text")} AS format FROM documents UNION ALL SELECT 'pages', page_id, {_format("html")} FROM pages
       UNION ALL SELECT 'markdown', r_regionkey, 'markdown' FROM region""",
@@ -84,12 +111,7 @@ SELECT l_orderkey AS doc_id, count(*) + 1 AS n_rows, 3::BIGINT AS n_columns, tru
  first(l_linenumber::VARCHAR || ',' || l_partkey::VARCHAR || ',' || l_quantity::BIGINT::VARCHAR ORDER BY l_linenumber, l_partkey, l_quantity) AS first_row FROM lineitem GROUP BY l_orderkey""",
     "q_term_freq": f"WITH {_SENT}, {_TERM}, {_TF} SELECT doc_id, idx::BIGINT AS idx, term, tf FROM tf",
     "q_textrank": f"""
-WITH RECURSIVE {_SENT}, {_TERM}, {_TF}, mag AS (SELECT doc_id, idx, sqrt(sum(tf * tf)) AS mag FROM tf GROUP BY ALL),
-sim AS (SELECT a.doc_id, a.idx AS i, b.idx AS j, sum(a.tf * b.tf) / (any_value(x.mag) * any_value(y.mag)) AS w FROM tf a JOIN tf b ON a.doc_id = b.doc_id AND a.term = b.term AND a.idx <> b.idx
-  JOIN mag x ON x.doc_id = a.doc_id AND x.idx = a.idx JOIN mag y ON y.doc_id = b.doc_id AND y.idx = b.idx GROUP BY a.doc_id, a.idx, b.idx),
-edge AS (SELECT doc_id, i, j, w / sum(w) OVER (PARTITION BY doc_id, i) AS w FROM sim UNION ALL SELECT doc_id, idx, idx, 0 FROM sent),
-walk AS (SELECT 0 AS it, doc_id, idx AS j, 1.0::DOUBLE / n AS score, n FROM sent
-  UNION ALL SELECT w.it + 1, e.doc_id, e.j, any_value((1 - 0.85::DOUBLE) / w.n) + sum(0.85::DOUBLE * e.w * w.score), any_value(w.n) FROM walk w JOIN edge e ON e.doc_id = w.doc_id AND e.i = w.j WHERE w.it < 60 GROUP BY w.it, e.doc_id, e.j)
+WITH RECURSIVE {_WALK}
 SELECT doc_id, j::BIGINT AS idx, round(score, 6) AS score FROM walk WHERE it = 60""",
     "q_keywords": f"""
 WITH {_SENT}, {_TERM}, total AS (SELECT doc_id, term, count(*) AS n, min(idx * 1000000 + p) AS first FROM term GROUP BY ALL),
@@ -126,3 +148,11 @@ SELECT user_id, count(*) AS requests, sum((n <= 2)::BIGINT)::BIGINT AS allowed F
     "q_rbac": "SELECT user_id::VARCHAR AS actor, count(*) AS actions, max(floor(epoch(ts)))::BIGINT AS last FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 8) GROUP BY user_id",
     "q_audit": "SELECT event_type AS action, count(*) AS n, min(floor(epoch(ts)))::BIGINT AS first FROM events GROUP BY event_type",
 }
+ORACLES |= {
+    "q_reduce_light": _reduce("light"),
+    "q_reduce_basic": _reduce("medium"),
+    "q_reduce_aggressive": _reduce("aggressive"),
+    "q_extract": f"""
+SELECT doc_id, (coalesce(k.n, 0) + coalesce(e.n, 0))::BIGINT AS field_count, 1.0::DOUBLE AS confidence, 'heuristic' AS provider FROM ({INVOICES_SQL})
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({ORACLES["q_key_values"]}) GROUP BY doc_id) k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({ORACLES["q_invoice_entities"]}) GROUP BY doc_id) e USING (doc_id)""",
+}
