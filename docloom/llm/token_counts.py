@@ -37,6 +37,7 @@ class PrefixCounter:
     """Counts of a byte-level BPE vocabulary given as the text of a tokenizer's JSON file."""
 
     def __init__(self, source: str):
+        import ahocorasick
         import public_tokenizers
 
         spec = json.loads(source)
@@ -45,7 +46,10 @@ class PrefixCounter:
         self.tokens = {as_bytes(k) for k in spec["model"]["vocab"] if all(c in letters for c in k)}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.ranks = {(as_bytes(a), as_bytes(b)): r for r, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.tokens))
+        self.ends = ahocorasick.Automaton()  # bytes stand as Latin-1 characters
+        for token in self.tokens:
+            self.ends.add_word(token.decode("latin-1"), token)
+        self.ends.make_automaton()
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.stable: dict[tuple[bytes, bytes], bool] = {}
@@ -67,23 +71,27 @@ class PrefixCounter:
         if known is None:
             if len(self.stable) >= CACHE_ENTRIES:
                 self.stable.clear()
-            known = self.stable[pair] = self.merged(pair[0] + pair[1]) == list(pair)
+            known = self.stable[pair] = self.merged(pair[0] + pair[1]) == [t for t in pair if t]
         return known
 
     def prefixes(self, data: bytes) -> list[int]:
         """counts[i]: tokens of the first i bytes of one piece."""
         last: list[bytes] = [b""]
         counts = [0]
-        tokens, stable, longest = self.tokens, self._stable, self.longest
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = data[start:end]
-                if token in tokens and (not start or stable((last[start], token))) and (start or self.merged(token) == [token]):
-                    last.append(token)
-                    counts.append(counts[start] + 1)
-                    break
-            else:
-                raise ValueError(f"no token of the vocabulary ends a prefix of {data[:end]!r}")
+        stable = self.stable.get
+        for at, token in self.ends.iter(data.decode("latin-1")):  # by ends, longest first
+            if at < len(last) - 1:
+                continue
+            start = at + 1 - len(token)
+            if start >= len(last):
+                break
+            pair = (last[start], token)
+            holds = stable(pair)
+            if holds or holds is None and self._stable(pair):
+                last.append(token)
+                counts.append(counts[start] + 1)
+        if len(counts) <= len(data):
+            raise ValueError(f"no token of the vocabulary ends a prefix of {data[: len(counts)]!r}")
         return counts
 
     def _pieces(self, text: str) -> list[tuple[str, bool]]:
