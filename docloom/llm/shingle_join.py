@@ -13,8 +13,8 @@ before anything is joined.
    rule out nearly all pairs that don't link, without any set at hand. The other groups, made up of common tokens, are
    joined among each other once more over their whole sets, ordered from rare to common.
 3. Pairs of groups are expanded to pairs of their members' different sets and verified on the whole sets: first one pair
-   for each set, then only pairs whose sets aren't connected yet. The lists of common tokens never become pairs: a list
-   is a triangle of blocks of bounded size, whose sets are compared by a matrix product of their shared tokens, and what
+   for each set, then only pairs whose sets aren't connected yet. The different sets of one group, and the lists of
+   common tokens, never become pairs: a list is a triangle of blocks of bounded size, whose sets are compared by a matrix product of their shared tokens, and what
    leaves a block is a spanning forest of its links.
 """
 
@@ -381,18 +381,21 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     # pairs of two groups without enough such tokens come from the join of their whole sets
     pairs = pairs.filter(fits & (F.col("enough_a") | F.col("enough_b")))
     plain = pairs.filter("n_sets_a = 1 and n_sets_b = 1").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    sets_of = classes.join(sized.filter("n_sets > 1").select("g"), "g", "left_semi").select("g", "rep")
+    # different sets of one group; those of groups without enough such tokens come from that join, too
+    within = classes.join(sized.filter("n_sets > 1 and enough").select("g"), "g", "left_semi").select(F.col("g").alias("token"), "rep")
+    within = written(within, "shingle-lists")
     several = pairs.filter("n_sets_a > 1 or n_sets_b > 1").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
     member = classes.select("g", "rep")
     expanded = several.join(member.select(F.col("g").alias("ga"), F.col("rep").alias("a")), "ga").join(member.select(F.col("g").alias("gb"), F.col("rep").alias("b")), "gb").select("a", "b")
-    within = sets_of.select("g", F.col("rep").alias("a")).join(sets_of.select("g", F.col("rep").alias("b")), "g").filter("a < b").select("a", "b")
-    candidates = plain.union(expanded).union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
+    candidates = plain.union(expanded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
     candidates = written(candidates.distinct(), "shingle-candidates")
     common_groups = written(sized.filter(~F.col("enough")).select("g"), "shingle-common")
     common = classes.join(common_groups, "g", "left_semi")
-    ends = candidates.select(F.col("a").alias("rep")).union(candidates.select(F.col("b").alias("rep"))).union(common.select("rep")).distinct()
+    ends = candidates.select(F.col("a").alias("rep")).union(candidates.select(F.col("b").alias("rep"))).union(common.select("rep")).union(within.select("rep")).distinct()
     sets = _sets(docs, classes.select("rep", "h1", "h2").join(ends, "rep", "left_semi"))
     edges = _links(candidates, sets)
+    if not within.isEmpty():
+        edges = written(edges.union(_list_links(within, sets)), "shingle-links")
     if not common_groups.isEmpty():
         edges = _common_links(common, sets, edges)
     found = components(edges)
@@ -423,6 +426,11 @@ def _common_links(common: DataFrame, sets: DataFrame, known: DataFrame) -> DataF
     alone = tokens.join(counts, "token", "left").withColumn("c", F.coalesce("c", F.lit(1)))
     prefix = (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1).cast("long")
     lists = written(alone.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= prefix).filter("c > 1").select("token", "rep", "n").join(firsts, "token", "left_semi"), "common-lists")
+    return written(known.union(_list_links(lists, sets)), "shingle-links")
+
+
+def _list_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that connect all sets that link within one list; lists: (token, rep). A list's sets never become pairs."""
     rows = lists.count()
     sizes = lists.groupBy("token").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("k"))
     # a long list is a triangle of blocks, each row beside every block of its list
@@ -431,7 +439,7 @@ def _common_links(common: DataFrame, sets: DataFrame, known: DataFrame) -> DataF
     placed = lists.join(sizes, "token").join(sets.select("rep", "data"), "rep").select("token", "rep", "data", F.explode(beside).alias("at")).select("token", "rep", "data", "at.*")
     parts = max(1, -(-rows // LIST_ROWS))
     met = placed.groupBy(F.pmod(F.xxhash64("token", "i", "j"), F.lit(parts)).alias("part")).applyInPandas(_compared, "a long, b long")
-    return written(known.union(met.distinct()), "shingle-links")
+    return met.distinct()
 
 
 def _compared(rows: pd.DataFrame) -> pd.DataFrame:

@@ -179,6 +179,8 @@ def test_shingle_join(spark, monkeypatch, most):
         d = new(r.randint(20, 200))
         rows += [d, edit(d, r.randint(0, 4))]
     rows += [passage + new(r.randint(3, 100)) for _ in range(60)] + [edit(big, r.randint(0, 7)) for _ in range(70)] + [edit(big[:80] + passage, 2) for _ in range(40)]
+    ending = new(120)  # about half of these have one head and size, with different sets
+    rows += [ending + [f"t{i}"] for i in range(30)]
     rows = [(i, " ".join(w), "s") for i, w in enumerate(rows)] + [(900, None, "s"), (901, "", "s"), (902, " \n", "s")]
     docs = frame(spark, rows).repartition(3)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in shingle_join.shingle_components(docs).collect()}
