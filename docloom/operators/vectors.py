@@ -122,17 +122,24 @@ def rerank_mmr(results: DataFrame, weight: float = 0.5) -> DataFrame:
 
 
 def context(results: DataFrame, budget: int = 4000) -> DataFrame:
-    """(query_id, answer, n_sources): passages in rank order up to the first that passes the budget in bytes."""
+    """(query_id, context, n_sources): passages in rank order up to the first that passes the budget in bytes; none is 0."""
     order = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    held = results.withColumn("held", F.sum(F.octet_length("text")).over(order)).filter(F.col("held") <= budget)
+    held = F.sum(F.octet_length("text")).over(order) <= budget
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("text"), F.lit("\n"))
     return (
-        held.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
+        results.withColumn("held", held)
+        .groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("held"), F.struct("rank", line.alias("line"))))).alias("l"))
         .select("query_id", F.array_join(F.transform("l", lambda x: x["line"]), "").alias("context"), F.size("l").alias("n_sources"))
     )
 
 
-def answer(question: Column, passages: Column) -> Column:
-    """A fixed answer that cites the passages; a note where there are none."""
-    text = F.concat(F.lit("Question: "), question, F.lit("\n\nRelevant passages:\n"), passages)
-    return F.when(F.coalesce(passages, F.lit("")) == "", "No relevant passages were found.").otherwise(text)
+# The texts around a question and its passages.
+NOTHING_FOUND = ('No relevant passages were found to answer: "', '". Try ingesting more documents or rephrasing the question.')
+FOUND = ("Based on ", ' retrieved passage(s), here is what the document says about "', '":\n\n', "\n\n(Generated by the local-echo placeholder. Configure an LLM Generator for synthesized answers.)")
+
+
+def answer(question: Column, passages: Column, n_sources: Column) -> Column:
+    """A fixed answer that cites the passages; a note where nothing was retrieved (a null number of sources)."""
+    nothing = F.concat(F.lit(NOTHING_FOUND[0]), question, F.lit(NOTHING_FOUND[1]))
+    text = F.concat(F.lit(FOUND[0]), n_sources.cast("string"), F.lit(FOUND[1]), question, F.lit(FOUND[2]), passages, F.lit(FOUND[3]))
+    return F.when(n_sources.isNull(), nothing).otherwise(text)

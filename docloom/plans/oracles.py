@@ -21,6 +21,10 @@ def _sentences(t: str) -> str:
     return rf"list_filter(string_split(regexp_replace({_flat(t)}, '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
 
 
+def _without_fillers(t: str) -> str:
+    return _flat(rf"regexp_replace({t}, '(?i)\b(?:{'|'.join(FILLERS)})\b,?\s*', '', 'g')")
+
+
 def _format(t: str) -> str:
     left = rf"regexp_replace({t}, '^\s+', '')"
     line = r"regexp_replace(l, '^\s+', '')"
@@ -134,13 +138,13 @@ SELECT item_id, bucket, round((s / sqrt(sum(s * s) OVER (PARTITION BY item_id)))
     "q_vector_topk": """
 WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
-    "q_l2": "SELECT e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS distance, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id = 0",
-    "q_fillers": rf"SELECT doc_id, {_flat(rf"regexp_replace('Basically, in order to see: ' || text, '(?i)\b(?:{'|'.join(FILLERS)})\b,?\s*', '', 'g')")} AS text FROM documents",
+    "q_l2": "SELECT e.vec_id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS distance, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) q ON e.label IS NOT DISTINCT FROM q.label",
+    "q_fillers": f"SELECT doc_id, {_without_fillers("'Basically, in order to see: ' || text")} AS text FROM documents",
     "q_render": f"""
 WITH s AS (SELECT doc_id, {_sentences("text")} AS s FROM documents), k AS (SELECT doc_id, s[1] AS a, s[2:3] AS k, array_to_string(list_transform(s[2:3], lambda x: '- ' || x), chr(10)) AS l FROM s)
 SELECT doc_id, CASE WHEN len(k) > 0 THEN a || chr(10) || chr(10) || 'Key points:' || chr(10) || l || chr(10) ELSE a END AS plaintext, trim(CASE WHEN len(k) > 0 THEN a || chr(10) || chr(10) || '**Key points**' || chr(10) || chr(10) || l ELSE a END) AS markdown, a AS json FROM k""",
     "q_reduction_metrics": f"""
-WITH m AS (SELECT lang, {_words("text")} AS o, {_words("text[1:400]")} AS r FROM documents)
+WITH m AS (SELECT lang, {_words("text")} AS o, {_words(_without_fillers("text"))} AS r FROM documents)
 SELECT lang, sum(o)::BIGINT AS original_words, sum(r)::BIGINT AS reduced_words, round(avg(CASE WHEN o > 0 THEN (1 - r::DOUBLE / o) * 100 ELSE 0 END), 6) AS reduction_percent FROM m GROUP BY lang""",
     "q_rate_limit": """
 WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id, epoch(ts)::BIGINT - epoch(ts)::BIGINT % 3600 ORDER BY ts, event_id) AS n FROM events)
