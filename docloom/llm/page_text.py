@@ -1,9 +1,9 @@
 """Main text of web pages: markup rules, and differencing with the page of the nearest URL.
 
 Pages are sorted by host and URL path, so that a page's neighbours share the longest paths and, as a rule, its template.
-A page's lines of text that stand outside its main part (or all of them, where no element marks a main part) are aligned
-with those of its neighbours by longest common subsequence, and shared lines go: they come from the template. Lines inside
-an element that marks the main part stay, so copies of an article under two URLs keep their text.
+All lines of text of a page are aligned with those of its neighbours by longest common subsequence, and shared lines go:
+they come from the template. Copies of an article under two URLs keep their text: what only copies share isn't template.
+Markup is a further filter: where an element that marks a main part holds most of what is left, the rest goes too.
 """
 
 from __future__ import annotations
@@ -150,20 +150,38 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(found: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool]]]) -> str:
-    """The main text of a page with the given lines, beside the pages of the nearest URLs."""
-    if any(inside for _, inside in found):
-        # what stands outside a marked main part is template or not part of the article
-        return " ".join(line for line, inside in found if inside)
+def kept_lines(found: list[tuple[str, bool]], near: list[list[tuple[str, bool]]], far: list[list[tuple[str, bool]]] = ()) -> list[int]:
+    """Indexes of the lines that alignment leaves.
+
+    near: the nearest other pages of the host, far: further ones, which only tell a copy from a template. Lines that all of
+    these pages have tell nothing about copies (unless they are nine tenths of the text: then all pages are copies); a page
+    with most of the others is a copy of this one, and what it shares goes only where a page that is no copy has it too.
+    A single other page is a copy if it shares over half the text.
+    """
     own = [line for line, _ in found]
+    theirs = [[line for line, _ in x] for x in (*near, *far)]
+    sets = [set(x) for x in theirs]
+    rest = [x for x in own if not all(x in s for s in sets)]
+    if len(sets) == 1 or 10 * sum(map(len, rest)) < sum(map(len, own)):
+        rest = own
+    size = sum(map(len, rest))
+    copy = [2 * sum(len(x) for x in rest if x in s) > size for s in sets]
     gone: set[int] = set()
-    for other in neighbours:
-        theirs = [line for line, inside in other if not inside]
-        shared = common(own, theirs)
-        # a copy of this page says nothing about its template
-        if 2 * sum(len(own[i]) for i in shared) <= sum(map(len, own)):
-            gone |= shared
-    return " ".join(line for i, line in enumerate(own) if i not in gone)
+    for k in range(len(near)):
+        shared = common(own, theirs[k])
+        gone |= {i for i in shared if any(own[i] in s for s, c in zip(sets, copy, strict=True) if not c)} if copy[k] else shared
+    return [i for i in range(len(own)) if i not in gone]
+
+
+def main_text(found: list[tuple[str, bool]], near: list[list[tuple[str, bool]]], far: list[list[tuple[str, bool]]] = ()) -> str:
+    """The main text of a page with the given lines, beside other pages of its host (see kept_lines).
+
+    Of what alignment leaves, lines outside a marked main part go where the main part has most of the text.
+    """
+    kept = kept_lines(found, near, far)
+    inside = sum(len(found[i][0]) for i in kept if found[i][1])
+    marked = 2 * inside >= sum(len(found[i][0]) for i in kept) and inside > 0
+    return " ".join(found[i][0] for i in kept if found[i][1] or not marked)
 
 
 def page_text(pages: DataFrame) -> DataFrame:

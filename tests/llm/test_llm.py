@@ -268,6 +268,18 @@ def test_page_text(spark):
     assert main_text(lines(loose("one")), [lines(loose("two"))]) == "Own words of page one that differ from others"
 
 
+def test_page_text_aligns_marked_pages():
+    page = lambda x: lines(f"<body><article><p>Posted by the editors<p>The article on {x} says much about {x}</article><p>All rights")
+    a, b, c = (page(x) for x in ("ants", "bees", "cows"))
+    assert main_text(a, [b, c]) == "The article on ants says much about ants"
+    # a copy keeps the article, and loses what other pages have
+    assert main_text(a, [a[:2] + [("Copy", False)], b], [c]) == "The article on ants says much about ants"
+    tale = [("A tale that all of these pages tell in the same words, at some length", False)]
+    assert main_text([*tale, ("Jan 1", False)], [[*tale, ("Jan 2", False)], [*tale, ("Jan 3", False)]]).startswith("A tale")
+    teaser = lines("<body><p>Site<p>A long text that stands outside of any marked element of the page<article>Teaser</article>")
+    assert main_text(teaser, [lines("<p>Site<p>Other")]) == "A long text that stands outside of any marked element of the page Teaser"
+
+
 def test_quality_net(spark):
     r = random.Random(9)
     good = [" ".join("".join(r.choices(["th", "an", "er", "in"], k=3)) for _ in range(r.randint(30, 300))) for _ in range(160)]
