@@ -8,14 +8,18 @@ Markup is a further filter: where an element that marks a main part holds most o
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.tables import by_batch, written
 from docloom.llm.urls import host_of, path_of
 
 # Elements by role.
@@ -184,46 +188,155 @@ def main_text(found: list[tuple[str, bool]], near: list[list[tuple[str, bool]]],
     return " ".join(found[i][0] for i in kept if found[i][1] or not marked)
 
 
+#: Distinct pages on either side that a page is compared with: the nearest is aligned, the others tell copies apart.
+SIDE = 2
+#: Rows of one range of the sorted table, about.
+RANGE = 5000
+
+_ROW = "bucket int, host string, path string, page_id long, digest string, url string, lines array<string>, inside array<boolean>"
+_KEY = ["bucket", "host", "path", "page_id", "digest"]
+
+
+def _edges(rows: pd.DataFrame) -> pd.DataFrame:
+    """The first and last distinct pages of one range: its outermost runs of equal pages, SIDE + 1 at each end."""
+    rows = rows.assign(none=rows["page_id"].notna()).sort_values(["host", "path", "none", "page_id", "digest"], kind="stable")
+    new = (rows["host"] != rows["host"].shift()) | (rows["digest"] != rows["digest"].shift())
+    runs = rows[new].assign(at=range(int(new.sum())))
+    return runs[(runs["at"] <= SIDE) | (runs["at"] >= len(runs) - SIDE - 1)][["bucket", "at", "host", "path", "page_id", "digest"]]
+
+
+def _halo(edges: list[tuple]) -> list[tuple]:
+    """(range, host, path, page_id, digest) of the rows that ranges take over from those around them.
+
+    edges: (range, place, host, path, page_id, digest) of _edges. A range takes as many distinct pages of the host at its
+    edge as there are within SIDE runs, over as many ranges as these lie in.
+    """
+    by_range: dict[int, list[tuple]] = {}
+    for e in sorted(edges, key=lambda e: e[:2]):
+        by_range.setdefault(e[0], []).append(e)
+    order = sorted(by_range)
+    out = []
+    for step in (-1, 1):
+        for k, b in enumerate(order):
+            edge = by_range[b][0 if step < 0 else -1]
+            last, taken, other = edge[5], 0, k + step
+            while 0 <= other < len(order) and taken < SIDE:
+                runs = by_range[order[other]]
+                for e in reversed(runs) if step < 0 else runs:
+                    if e[2] != edge[2] or taken == SIDE:
+                        break
+                    if e[5] != last:
+                        out.append((b, *e[2:]))
+                        last, taken = e[5], taken + 1
+                else:
+                    other += step
+                    continue
+                break
+    return out
+
+
 def page_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars.
 
-    Null html is empty. A page is compared with the pages before and after it among those of its host, sorted by path,
-    within its range of the sorted table (ranges are of even size, hot hosts lie in several). Repeated pages are each
-    a row, and as copies of each other delete nothing.
+    Null html is empty. Among the pages of a host, sorted by path, equal pages in a row are one; each is compared with the
+    nearest distinct pages before and after it. Ranges of the sorted table hold the distinct pages beyond their edges as
+    well, so results don't depend on where these lie. Repeated pages are each a row with the same text.
     """
+    spark = pages.sparkSession
+    url = F.col("url")
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(url).alias("host"), path_of(url).alias("path"))
+    n = keyed.count()
+    every = max(1, n // 200_000)
+    cuts: list[tuple] = []
+    if n > RANGE:
+        some = keyed.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0).select("host", "path", "page_id").collect()
+        some = sorted(_key(*x) for x in some)
+        step = max(1, RANGE // every)
+        cuts = sorted(set(some[step::step]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple | None = None
-        now: tuple | None = None
-        rows: list[tuple] = []
-
-        def close(after: tuple | None) -> None:
-            if now is not None:
-                near = [x[3] for x in (before, after) if x is not None and x[2] == now[2]]
-                text = main_text(now[3], near)
-                rows.append((now[0], now[1], text, len(text)))
-
-        def batch() -> pa.RecordBatch:
-            ids, urls, texts, sizes = zip(*rows, strict=True)
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-        size = 0
-        for b in batches:
-            for id_, url, host, page in zip(*(b.column(i) for i in range(4)), strict=True):
-                page = page.as_py() or ""
-                after = (id_.as_py(), url.as_py(), host.as_py(), lines(page))
-                close(after)
-                before, now = now, after
-                size += len(page)
-                if size > 8_000_000 and rows:
-                    yield batch()
-                    size = 0
-        close(None)
-        if rows:
-            yield batch()
+    def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, hosts, paths, page = (batch.column(c).to_pylist() for c in ("page_id", "host", "path", "html"))
+        found = [lines(x or "") for x in page]
+        digests = [hashlib.md5(repr(x).encode("utf-8", "surrogatepass")).hexdigest() for x in found]
+        buckets = [bisect.bisect_right(cuts, _key(*k)) for k in zip(hosts, paths, ids, strict=True)]
+        columns = [pa.array(buckets, pa.int32()), *(batch.column(c) for c in ("host", "path", "page_id")), pa.array(digests, pa.string()), batch.column("url")]
+        columns += [pa.array([[y for y, _ in x] for x in found], pa.list_(pa.string())), pa.array([[y for _, y in x] for x in found], pa.list_(pa.bool_()))]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "host", "path", "page_id", "digest", "url", "lines", "inside"])
 
-    url = F.col("url")
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(url).alias("host"), "html", path_of(url).alias("path"))
-    dealt = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return dealt.select("page_id", "url", "host", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    parsed = by_batch(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(url).alias("host"), path_of(url).alias("path"), "html"), parse, _ROW)
+    if cuts:
+        parsed = written(parsed, "page-lines")
+        thin = parsed.select(*_KEY)
+        edges = thin.groupBy("bucket").applyInPandas(_edges, "bucket int, at int, host string, path string, page_id long, digest string").collect()
+        halo = spark.createDataFrame(_halo([tuple(e) for e in edges]), "to int, host string, path string, page_id long, digest string")
+        same = F.col("h.page_id").eqNullSafe(F.col("p.page_id")) & (F.col("h.host") == F.col("p.host")) & (F.col("h.path") == F.col("p.path")) & (F.col("h.digest") == F.col("p.digest"))
+        taken = parsed.alias("p").join(F.broadcast(halo.alias("h")), same).select(F.col("to").alias("bucket"), *(F.col(f"p.{c}") for c in ("host", "path", "page_id", "digest", "url", "lines", "inside")))
+        rows = parsed.withColumn("own", F.lit(True)).union(taken.dropDuplicates(_KEY).withColumn("own", F.lit(False)))
+    else:
+        rows = parsed.withColumn("own", F.lit(True))
+    dealt = rows.repartition("bucket").sortWithinPartitions(*_KEY)
+    return dealt.select("bucket", "host", "digest", "page_id", "url", "own", "lines", "inside").mapInArrow(_compared, "page_id long, url string, text string, n_chars long")
+
+
+def _key(host: str, path: str, page_id: int | None) -> tuple:
+    """What the table is sorted by; a null page_id comes first."""
+    return host, path, page_id is not None, page_id or 0
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of rows sorted by range, host and path: a window over runs of equal pages of one host."""
+    runs: list[tuple[list, list[tuple]]] = []  # lines, (page_id, url) of rows to be told
+    at = 0  # the first run not yet told
+    now: tuple | None = None
+    digest = None
+    rows: list[tuple] = []
+
+    def tell() -> None:
+        """Tells of the run at `at`; runs too far behind are let go."""
+        nonlocal at
+        found, own = runs[at]
+        if own:
+            near = [runs[j][0] for j in (at - 1, at + 1) if 0 <= j < len(runs)]
+            far = [runs[j][0] for k in range(2, SIDE + 1) for j in (at - k, at + k) if 0 <= j < len(runs)]
+            text = main_text(found, near, far)
+            rows.extend((i, u, text, len(text)) for i, u in own)
+        at += 1
+        while at > SIDE:
+            runs.pop(0)
+            at -= 1
+
+    def batch(part: list[tuple]) -> pa.RecordBatch:
+        ids, urls, texts, sizes = zip(*part, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    def full() -> Iterator[pa.RecordBatch]:
+        part, size = [], 0
+        for r in rows:
+            part.append(r)
+            size += r[3]
+            if size > 8_000_000:
+                yield batch(part)
+                part, size = [], 0
+        rows[:] = part
+
+    for b in batches:
+        for range_, host, page, id_, url, own, line, inside in zip(*b.columns, strict=True):
+            if (range_.as_py(), host.as_py()) != now:
+                while at < len(runs):
+                    tell()
+                runs.clear()
+                at, now, digest = 0, (range_.as_py(), host.as_py()), None
+            if page.as_py() != digest:
+                digest = page.as_py()
+                runs.append((list(zip(line.as_py(), inside.as_py(), strict=True)), []))
+                if len(runs) - at > SIDE + 1:
+                    tell()
+            if own.as_py():
+                runs[-1][1].append((id_.as_py(), url.as_py()))
+        if sum(r[3] for r in rows) > 8_000_000:
+            yield from full()
+    while at < len(runs):
+        tell()
+    yield from full()
+    if rows:
+        yield batch(rows)

@@ -280,6 +280,18 @@ def test_page_text_aligns_marked_pages():
     assert main_text(teaser, [lines("<p>Site<p>Other")]) == "A long text that stands outside of any marked element of the page Teaser"
 
 
+def test_page_text_ranges_and_copies(spark, monkeypatch):
+    page = lambda x: f"<body><p>The name of this site and what it is all about<p>Own words of page {x} alone<p>All rights of these pages reserved"
+    words = [f"{i:02} {'xyz'[i % 3]}" for i in (*range(8), *[8] * 7, *range(15, 24))]
+    rows = [(i, f"http://{'h' if i < 20 else 'k'}.com/{i:02}", page(w)) for i, w in enumerate(words)] + [(None, "http://h.com/03", page("none")), (3, "http://h.com/03", page(words[3]))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(repr, page_text(pages).collect()))
+    assert len(whole) == len(rows) and all("'Own " in x and "rights" not in x for x in whole)
+    for size in (1, 2, 5):
+        monkeypatch.setattr("docloom.llm.page_text.RANGE", size)
+        assert sorted(map(repr, page_text(pages).collect())) == whole
+
+
 def test_quality_net(spark):
     r = random.Random(9)
     good = [" ".join("".join(r.choices(["th", "an", "er", "in"], k=3)) for _ in range(r.randint(30, 300))) for _ in range(160)]
