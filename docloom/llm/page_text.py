@@ -12,14 +12,14 @@ import bisect
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.tables import by_batch, written
+from docloom.llm.tables import by_batch
 from docloom.llm.urls import host_of, path_of
 
 # Elements by role.
@@ -43,24 +43,44 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _unwanted(name: str, attributes: str, in_main: bool) -> bool:
+def _marked(token: str) -> bool:
+    """Whether a class or an id is made up of marking words only, as cookie-notice is and with-sidebar isn't."""
+    words = _WORDS.findall(token)
+    return token.isascii() and bool(words) and all(w in MARKED for w in words)
+
+
+def _unwanted(name: str, attributes: str, in_main: bool) -> int:
+    """0: wanted, 1: unwanted by a class or id only, 2: unwanted."""
     if name in DROPPED or (name == "header" and not in_main):
-        return True
+        return 2
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return 0
+    found = 0
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "role" and value in MARKED_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return 2
         if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key in ("class", "id") and name not in ("html", "body") and any(w in MARKED for w in _WORDS.findall(value)):
-            return True
-    return False
+            return 2
+        if key in ("class", "id") and name not in ("html", "body", *MAIN) and any(map(_marked, value.split())):
+            found = 1
+    return found
 
 
 def lines(page: str) -> list[tuple[str, bool]]:
-    """Lines of text in page order, one for each block, and whether each stands inside a main part."""
+    """Lines of text in page order, one for each block, and whether each stands inside a main part.
+
+    A class or id drops no element that marks a main part or contains one.
+    """
+    around: set[int] = set()
+    found = _lines(page, around, frozenset())
+    return _lines(page, set(), around) if around else found
+
+
+def _lines(page: str, around: set[int], spared: Set[int]) -> list[tuple[str, bool]]:
+    """Lines as in lines(). Elements are known by where they begin; around takes those unwanted by class around a main
+    part, and those in spared are wanted whatever their class."""
+    by_class: list[tuple[int, int]] = []  # place in open_, begin
     out: list[tuple[str, bool]] = []
     text: list[str] = []
     open_: list[tuple[str, bool, bool]] = []  # name, begins an unwanted part, begins a main part
@@ -68,6 +88,11 @@ def lines(page: str) -> list[tuple[str, bool]]:
     at = 0
     raw: str | None = None
 
+    def shut_last() -> tuple[str, bool, bool]:
+        if by_class and by_class[-1][0] == len(open_) - 1:
+            by_class.pop()
+        return open_.pop()
+
     def flush() -> None:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
@@ -89,7 +114,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
                 if name in BLOCKS:
                     flush()
                 while True:
-                    shut, drops, mains = open_.pop()
+                    shut, drops, mains = shut_last()
                     if drops or mains:
                         if not drops:
                             flush()
@@ -103,10 +128,16 @@ def lines(page: str) -> list[tuple[str, bool]]:
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
             continue
         if name in ("p", "li", "option", "dt", "dd") and open_ and open_[-1][0] == name:
-            _, drops, mains = open_.pop()
+            _, drops, mains = shut_last()
             unwanted -= drops
             main -= mains
-        drops = _unwanted(name, m[3], main > 0)
+        why = _unwanted(name, m[3], main > 0)
+        drops = why == 2 or why == 1 and m.start() not in spared
+        if name in MAIN:
+            around.update(begin for _, begin in by_class)
+            by_class.clear()
+        if drops and why == 1:
+            by_class.append((len(open_), m.start()))
         mains = not drops and not unwanted and name in MAIN
         if drops and name not in BLOCKS:
             flush()
@@ -191,7 +222,7 @@ def main_text(found: list[tuple[str, bool]], near: list[list[tuple[str, bool]]],
 #: Distinct pages on either side that a page is compared with: the nearest is aligned, the others tell copies apart.
 SIDE = 2
 #: Rows of one range of the sorted table, about.
-RANGE = 5000
+RANGE = 1000
 
 _ROW = "bucket int, host string, path string, page_id long, digest string, url string, lines array<string>, inside array<boolean>"
 _KEY = ["bucket", "host", "path", "page_id", "digest"]
@@ -244,15 +275,14 @@ def page_text(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     url = F.col("url")
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(url).alias("host"), path_of(url).alias("path"))
-    n = keyed.count()
-    every = max(1, n // 200_000)
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(url).alias("host"), path_of(url).alias("path"), "html")
+    n = pages.count()
     cuts: list[tuple] = []
     if n > RANGE:
+        every = max(1, RANGE // 20, n // 100_000)
         some = keyed.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0).select("host", "path", "page_id").collect()
-        some = sorted(_key(*x) for x in some)
         step = max(1, RANGE // every)
-        cuts = sorted(set(some[step::step]))
+        cuts = sorted(set(sorted(_key(*x) for x in some)[step::step]))
 
     def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, hosts, paths, page = (batch.column(c).to_pylist() for c in ("page_id", "host", "path", "html"))
@@ -263,17 +293,15 @@ def page_text(pages: DataFrame) -> DataFrame:
         columns += [pa.array([[y for y, _ in x] for x in found], pa.list_(pa.string())), pa.array([[y for _, y in x] for x in found], pa.list_(pa.bool_()))]
         return pa.RecordBatch.from_arrays(columns, ["bucket", "host", "path", "page_id", "digest", "url", "lines", "inside"])
 
-    parsed = by_batch(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(url).alias("host"), path_of(url).alias("path"), "html"), parse, _ROW)
+    rows = by_batch(keyed, parse, _ROW).withColumn("own", F.lit(True))
     if cuts:
-        parsed = written(parsed, "page-lines")
-        thin = parsed.select(*_KEY)
-        edges = thin.groupBy("bucket").applyInPandas(_edges, "bucket int, at int, host string, path string, page_id long, digest string").collect()
-        halo = spark.createDataFrame(_halo([tuple(e) for e in edges]), "to int, host string, path string, page_id long, digest string")
-        same = F.col("h.page_id").eqNullSafe(F.col("p.page_id")) & (F.col("h.host") == F.col("p.host")) & (F.col("h.path") == F.col("p.path")) & (F.col("h.digest") == F.col("p.digest"))
-        taken = parsed.alias("p").join(F.broadcast(halo.alias("h")), same).select(F.col("to").alias("bucket"), *(F.col(f"p.{c}") for c in ("host", "path", "page_id", "digest", "url", "lines", "inside")))
-        rows = parsed.withColumn("own", F.lit(True)).union(taken.dropDuplicates(_KEY).withColumn("own", F.lit(False)))
-    else:
-        rows = parsed.withColumn("own", F.lit(True))
+        # pages are parsed twice instead of writing their lines, which takes as much disk as the shuffle
+        edges = by_batch(keyed, parse, _ROW).select(*_KEY).groupBy("bucket").applyInPandas(_edges, "bucket int, at int, host string, path string, page_id long, digest string")
+        halo = F.broadcast(spark.createDataFrame(_halo([tuple(e) for e in edges.collect()]), "to int, host string, path string, page_id long, digest string"))
+        same = [F.col(f"h.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("host", "path", "page_id")]
+        near = by_batch(keyed.alias("p").join(halo.alias("h"), same, "left_semi"), parse, _ROW).drop("bucket")
+        taken = near.alias("p").join(halo.alias("h"), [*same, F.col("h.digest") == F.col("p.digest")]).select(F.col("to").alias("bucket"), "p.*")
+        rows = rows.union(taken.dropDuplicates(_KEY).withColumn("own", F.lit(False)))
     dealt = rows.repartition("bucket").sortWithinPartitions(*_KEY)
     return dealt.select("bucket", "host", "digest", "page_id", "url", "own", "lines", "inside").mapInArrow(_compared, "page_id long, url string, text string, n_chars long")
 

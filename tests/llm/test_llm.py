@@ -280,6 +280,13 @@ def test_page_text_aligns_marked_pages():
     assert main_text(teaser, [lines("<p>Site<p>Other")]) == "A long text that stands outside of any marked element of the page Teaser"
 
 
+@pytest.mark.parametrize("wrap", ['<main class="content with-sidebar">{}</main>', '<div id="page" class="no-sidebar">{}</div>', '<article class="ad-free">{}</article>', '<main class="search">{}</main>', '<div class="social"><b>x</b><div class="ad">{}</div></div>'])
+def test_page_text_class_words(wrap):
+    assert "The text" in main_text(lines(wrap.format('<div class="ad">Buy</div><article>The text</article>')), [])
+    assert "Buy" not in main_text(lines(wrap.format('<div class="top ad">Buy</div><article>The text</article>')), [])
+    assert main_text(lines('<div class="with-sidebar">Text<div class="sidebar">Links</div></div>'), []) == "Text"
+
+
 def test_page_text_ranges_and_copies(spark, monkeypatch):
     page = lambda x: f"<body><p>The name of this site and what it is all about<p>Own words of page {x} alone<p>All rights of these pages reserved"
     words = [f"{i:02} {'xyz'[i % 3]}" for i in (*range(8), *[8] * 7, *range(15, 24))]
