@@ -4,7 +4,7 @@ A rotation is learned on a bounded sample so that the signs of the rotated, cent
 codes that lose little (iterative quantisation: alternate signs and an orthogonal Procrustes solution). Codes are cut into
 substrings of w bits, each with a table of its own; vectors whose substrings differ in at most r bits meet in a bucket.
 w and r are chosen from the number of vectors so that a pair at the threshold is met with probability 0.9 or more, at the
-least expected work. Pairs that meet are compared by cosine of the original vectors in double precision.
+least expected work; that probability is measured on pairs made from the sample, since centring widens angles. Pairs that meet are compared by cosine of the original vectors in double precision.
 
 No pair becomes a row. A bucket is a grid of blocks of bounded size, a block pair is one matrix product, and what leaves it
 are sums of links for each vector and the edges of a spanning forest. A pair that meets in several tables counts in the
@@ -14,7 +14,7 @@ first of them, which both codes tell.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -39,6 +39,8 @@ class Search:
     rounds: int = 30
     most_rotations: int = 8
     seed: int = 3
+    #: share of bits in which a pair at the threshold differs; None: that of the angle between the original vectors
+    differ: float | None = None
 
 
 @dataclass(frozen=True)
@@ -68,7 +70,7 @@ class Tables:
 
 def choose(n: int, bits: int, search: Search) -> Tables:
     """The cheapest tables that meet a pair at the threshold with the wanted probability."""
-    differ = math.acos(search.threshold) / math.pi
+    differ = math.acos(search.threshold) / math.pi if search.differ is None else search.differ
     best, cost = None, math.inf
     for words in range(1, search.most_rotations + 1):
         for width in range(min(4, bits), min(bits, 32) + 1):
@@ -82,7 +84,7 @@ def choose(n: int, bits: int, search: Search) -> Tables:
                 now = tables * (n * (1 + probes * (radius > 0)) * 20 + n * probes * (n / 2**width) * 0.05 + min(n, 2**width) * 200)
                 if now < cost:
                     best, cost = Tables(words, bits, width, min(radius, width)), now
-    return best or Tables(1, bits, min(bits, 8), 0)
+    return best or Tables(1, min(bits, 4), min(bits, 4), min(bits, 4))  # all pairs meet
 
 
 def learn(sample: np.ndarray, bits: int, words: int, search: Search) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -104,6 +106,51 @@ def learn(sample: np.ndarray, bits: int, words: int, search: Search) -> tuple[np
     return mean, out
 
 
+def _codes(x: np.ndarray, mean: np.ndarray, matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """For each word, the codes of unit vectors."""
+    return [((((x - mean) @ m) >= 0) * (1 << np.arange(m.shape[1], dtype=np.uint64))).sum(1).astype(np.uint64).view(np.int64) for m in matrices]
+
+
+def at_threshold(sample: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors whose cosine is the threshold, that differ as vectors of the sample differ from its mean."""
+    r = np.random.default_rng(search.seed)
+    x = sample[r.permutation(len(sample))[:4000]]
+    t = (sample - sample.mean(0))[r.integers(0, len(sample), len(x))]
+    t = t - (t * x).sum(1, keepdims=True) * x
+    size = np.linalg.norm(t, axis=1, keepdims=True)
+    good = size[:, 0] > 1e-9
+    x, t = x[good], t[good] / size[good]
+    return x, search.threshold * x + math.sqrt(1 - search.threshold**2) * t
+
+
+def met(tables: Tables, x: list[np.ndarray], y: list[np.ndarray]) -> float:
+    """The share of pairs with codes x and y that meet in some table."""
+    x, y = np.stack(x, 1), np.stack(y, 1)
+    hit = np.zeros(len(x), bool)
+    for t in range(tables.count):
+        hit |= np.bitwise_count(tables.substring(x, t) ^ tables.substring(y, t)) <= tables.radius
+    return hit.mean() if len(x) else 1.0
+
+
+def fitted(n: int, bits: int, sample: np.ndarray, search: Search) -> tuple[Tables, np.ndarray, list[np.ndarray]]:
+    """Tables, mean and matrices that meet pairs at the threshold as often as wanted, measured on such pairs.
+
+    Centring widens angles of vectors with a common mean, so the share of differing bits is that of codes, and is raised
+    until the tables chosen for it reach the wanted share.
+    """
+    x, y = at_threshold(sample, search)
+    mean, matrices = learn(sample, bits, 1, search)
+    unlike = _codes(x, mean, matrices)[0] ^ _codes(y, mean, matrices)[0]
+    apart = np.bitwise_count(unlike.view(np.uint64)).mean() / bits if len(x) else 0.0
+    differ = max(math.acos(search.threshold) / math.pi, float(apart))
+    while True:
+        tables = choose(n, bits, replace(search, differ=min(differ, 0.5)))
+        mean, matrices = learn(sample, tables.bits, tables.words, search)
+        if differ >= 0.5 or met(tables, _codes(x, mean, matrices), _codes(y, mean, matrices)) >= search.recall + 0.02:
+            return tables, mean, matrices
+        differ *= 1.05
+
+
 def _units(raw: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -187,8 +234,7 @@ def near_vectors(vectors: DataFrame, search: Search = Search(), vec: str = "embe
         some = [bytes(r["raw"]) for r in one.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("raw").collect()] if n > 1 else []
         if not some:
             continue
-        tables = choose(n, min(64, dim), search)
-        mean, matrices = learn(_units(some, kind), tables.bits, tables.words, search)
+        tables, mean, matrices = fitted(n, min(64, dim), _units(some, kind), search)
         part = _links(one, tables, mean, matrices, kind, search.threshold)
         found = part if found is None else found.union(part)
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
@@ -212,11 +258,9 @@ def near_vectors(vectors: DataFrame, search: Search = Search(), vec: str = "embe
 def _links(classes: DataFrame, tables: Tables, mean: np.ndarray, matrices: list[np.ndarray], kind: str, threshold: float) -> DataFrame:
     """(a, b, links): sums of links of a, and edges of spanning forests where a <> b; classes are of one length."""
     names = [f"code{i}" for i in range(tables.words)]
-    weights = 1 << np.arange(tables.bits, dtype=np.uint64)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = _units(batch.column("raw").to_pylist(), kind) - mean
-        codes = [((x @ m >= 0) * weights).sum(1).astype(np.uint64).view(np.int64) for m in matrices]
+        codes = _codes(_units(batch.column("raw").to_pylist(), kind), mean, matrices)
         return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in codes)], [*batch.schema.names, *names])
 
     coded = by_batch(classes.select("rep", "weight", "raw"), encode, "rep long, weight long, raw binary, " + ", ".join(f"{c} long" for c in names))

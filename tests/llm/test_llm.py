@@ -210,6 +210,21 @@ def test_near_vectors(spark, monkeypatch, tables):
     assert all(real.component_id[i] == real.component_id[c] for i, c in copies.items())
 
 
+@pytest.mark.parametrize("norm", [0.0, 0.7, 0.8])
+@pytest.mark.parametrize("n", [8_000, 1_000_000])
+def test_vector_tables_with_common_mean(norm, n):
+    r = np.random.default_rng(1)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    away = unit(np.concatenate([np.zeros((8_000, 1)), r.normal(size=(8_000, 63))], 1))
+    step = np.concatenate([np.zeros((2_000, 1)), r.normal(size=(2_000, 63))], 1)
+    step = unit(step - (step * away[:2_000]).sum(1, keepdims=True) * away[:2_000])
+    c = (r.uniform(0.9, 0.93, (2_000, 1)) - norm**2) / (1 - norm**2)
+    place = lambda g: norm * np.eye(64)[0] + np.sqrt(1 - norm**2) * g
+    x, y = place(away), place(c * away[:2_000] + np.sqrt(1 - c**2) * step)
+    tables, mean, matrices = vector_dedup.fitted(n, 64, x, vector_dedup.Search())
+    assert vector_dedup.met(tables, *(vector_dedup._codes(v, mean, matrices) for v in (x[:2_000], y))) >= 0.9
+
+
 def test_mixing(spark):
     r = random.Random(8)
     rows = [(i, "w " * r.randint(1, 40), "big" if i % 3 else f"s{i % 4}") for i in range(600)] + [(700, "w w", None), (701, None, "empty"), (5, "w", "big")]
