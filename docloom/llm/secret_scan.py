@@ -28,6 +28,7 @@ class Rule:
     """A kind of secret. The match is pattern, of min_length bytes at least.
 
     head: where given, the match is head followed by a value of min_value bytes at least (head is matched longest).
+    tail: where given, a match goes on over the longest tail behind it, if there is one.
     """
 
     kind: str
@@ -35,6 +36,7 @@ class Rule:
     min_length: int = 1
     head: str = ""
     min_value: int = 0
+    tail: str = ""
 
 
 def either_case(word: str) -> str:
@@ -49,8 +51,14 @@ BASE_RULES = (
     Rule("access", "AKIA[A-Z0-9]+", min_length=20),
     Rule("hex", "[0-9a-f]{24,}", min_length=24),
 )
+# A PEM key: old forms' headers, then the body to the END marker; without that marker all base64 runs of 16 bytes or more
+# and one shorter run after them. Between runs are blanks or escaped line ends.
+_GAP = "([ \t\r\n]|\\[nrt])"
+_HEADS = f"({_GAP}*(Proc-Type|DEK-Info): *[A-Za-z0-9,-]+)*"
+_TO_END = f"([A-Za-z0-9+/=\"',>]|{_GAP})*-----END [A-Z ]*PRIVATE KEY-----"
+_RUNS = f"({_GAP}*[A-Za-z0-9+/=]{{16,}})+({_GAP}+[A-Za-z0-9+/=]+)?"
 ADDED_RULES = (
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", tail=f"{_HEADS}({_TO_END}|{_RUNS})"),
     Rule("forge_token", "gh[pousr]_[A-Za-z0-9]+", min_length=40),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]+", min_length=20),
 )
@@ -277,6 +285,7 @@ class Scanner:
         self.forward = [Automaton([t], anywhere=False) for t in trees]
         self.backward = [Automaton([reverse(t)], anywhere=True) for t in trees]
         self.heads = [Automaton([parse(r.head)], anywhere=False) if r.head else None for r in rules]
+        self.tails = [Automaton([parse(r.tail)], anywhere=False) if r.tail else None for r in rules]
 
     def byte_spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule's number, end) of every accepted match, in order."""
@@ -288,6 +297,8 @@ class Scanner:
                 if start < done:
                     continue
                 end = self.forward[k].longest(data, start)
+                if rule.tail:
+                    end = max(end, self.tails[k].longest(data, end))
                 done = end
                 value = end - self.heads[k].longest(data, start) if rule.head else end - start
                 if end - start >= rule.min_length and value >= rule.min_value:

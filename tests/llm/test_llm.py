@@ -149,6 +149,19 @@ def test_secret_scan(spark):
     assert clean[1]["text"] == "é [assign] [access]" and clean[1]["n_chars"] == 19 and clean[2]["text"] is None and clean[3]["text"] == "clean"
 
 
+@pytest.mark.parametrize("gap", ["\n", "\r\n", "\\n", " "])
+@pytest.mark.parametrize("heads", ["", "Proc-Type: 4,ENCRYPTED{0}DEK-Info: AES-128-CBC,0A1B2C{0}{0}"])
+def test_private_keys(gap, heads):
+    s = secret_scan.scanner(secret_scan.BASE_RULES + secret_scan.ADDED_RULES)
+    body = gap.join(["MIIEpAIBAAKCAQEA" + "aB3+/xYz" * 6] * 3 + ["c29tZQ=="])
+    key = f"-----BEGIN RSA PRIVATE KEY-----{gap}{heads.format(gap)}{body}"
+    whole = f"{key}{gap}-----END RSA PRIVATE KEY-----"
+    assert secret_scan.redact(f"é see {whole}. Then text", s) == "é see [private_key]. Then text"
+    assert secret_scan.redact(f"{whole}\n{whole} and", s) == "[private_key]\n[private_key] and"
+    assert secret_scan.redact(f"cut: {key}", s) == "cut: [private_key]"
+    assert secret_scan.redact("the line -----BEGIN PRIVATE KEY----- opens a key", s) == "the line [private_key] opens a key"
+
+
 def brute_join(rows):
     sets = {}
     for i, t in rows:
