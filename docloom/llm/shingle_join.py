@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.llm.components import components
 from docloom.llm.tables import by_batch, written
@@ -299,19 +300,19 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, data): packed sets of the documents that represent a set; reps: (rep, h1, h2)."""
+    """(rep, data): packed sets of the documents that represent a set; reps: (rep, h1, h2, doc_id)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = list(shingle_sets(s.as_py() for s in batch.column("text")))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([_folded(x, 1) for x in found]), pa.array([_folded(x, 2) for x in found]), pa.array([x.tobytes() for x in found], pa.binary())], ["rep", "h1", "h2", "data"]
+            [batch.column("doc_id"), pa.array([_folded(x, 1) for x in found]), pa.array([_folded(x, 2) for x in found]), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "h1", "h2", "data"]
         )
 
     reps = written(reps, "shingle-reps")
-    rows = _read_again(docs, reps.select(F.col("rep").alias("doc_id")).distinct(), reps.count())
-    made = by_batch(rows, run, "rep long, h1 long, h2 long, data binary")
-    # an id may be repeated with other texts: only the set that it represents counts, once
-    return written(made.join(reps, ["rep", "h1", "h2"], "left_semi").dropDuplicates(["rep"]), "shingle-sets")
+    rows = _read_again(docs, reps.select("doc_id").distinct(), reps.count())
+    made = by_batch(rows, run, "doc_id long, h1 long, h2 long, data binary")
+    # an id may be repeated, with other texts or the same: each set that it represents counts, once
+    return written(made.join(reps, ["doc_id", "h1", "h2"]).select("rep", "data").dropDuplicates(["rep"]), "shingle-sets")
 
 
 def _connected(edges: DataFrame) -> DataFrame:
@@ -340,17 +341,12 @@ def _links(pairs: DataFrame, sets: DataFrame, known: DataFrame | None = None) ->
     return written(edges.union(_verify(rest, sets)), "shingle-links")
 
 
-def shingle_components(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
-
-    Words are runs of characters other than space and U+0009 to U+000D, A-Z lower-cased; a document's set is its distinct
-    five-word shingles, or its whole sequence if it has fewer words. Null, empty and blank texts have an empty set and
-    link with nothing. Documents link when 100 * shared >= 75 * united. Equal documents are linked; rows that repeat an
-    id are documents of their own under one id. A null doc_id links with nothing and has a null component. Other columns
-    are ignored. Sets are 64-bit hashes.
-    """
+def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h1, h2, n, ...) of documents, and of each set (h1, h2, n): its smallest doc_id, the smallest of those
+    reachable by links (component_id), and its component. A set is a node by its hash, as one id may stand for several."""
     thin = written(thin_rows(docs), "shingle-rows")
-    classes = written(thin.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n", "g", "low", "head").agg(F.min("doc_id").alias("rep")), "shingle-classes")
+    grouped = thin.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n", "g", "low", "head").agg(F.min("doc_id").alias("doc_id"))
+    classes = written(grouped.withColumn("rep", F.xxhash64("h1", "h2")), "shingle-classes")
     groups = written(classes.groupBy("g", "n", "low", "head").agg(F.min("rep").alias("rep"), F.count("*").alias("n_sets")), "shingle-groups")
     total = groups.agg(F.sum("head")).first()[0] or 0
     buckets = max(32, -(-total // BUCKET_TOKENS))
@@ -392,15 +388,30 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     common_groups = written(sized.filter(~F.col("enough")).select("g"), "shingle-common")
     common = classes.join(common_groups, "g", "left_semi")
     ends = candidates.select(F.col("a").alias("rep")).union(candidates.select(F.col("b").alias("rep"))).union(common.select("rep")).union(within.select("rep")).distinct()
-    sets = _sets(docs, classes.select("rep", "h1", "h2").join(ends, "rep", "left_semi"))
+    sets = _sets(docs, classes.select("rep", "h1", "h2", "doc_id").join(ends, "rep", "left_semi"))
     edges = _links(candidates, sets)
     if not within.isEmpty():
         edges = written(edges.union(_list_links(within, sets)), "shingle-links")
     if not common_groups.isEmpty():
         edges = _common_links(common, sets, edges)
     found = components(edges)
-    reps = classes.select("h1", "h2", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
-    linked = thin.filter("n > 0 and doc_id is not null").join(reps, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    of = classes.select("h1", "h2", "n", "rep", "doc_id").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    of = of.select("h1", "h2", "n", "doc_id", F.coalesce("component", "rep").alias("component"))
+    least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return thin, written(of.join(least, "component"), "shingle-reps")
+
+
+def shingle_components(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+
+    Words are runs of characters other than space and U+0009 to U+000D, A-Z lower-cased; a document's set is its distinct
+    five-word shingles, or its whole sequence if it has fewer words. Null, empty and blank texts have an empty set and
+    link with nothing. Documents link when 100 * shared >= 75 * united. Equal documents are linked; rows that repeat an
+    id are documents of their own under one id. A null doc_id links with nothing and has a null component. Other columns
+    are ignored. Sets are 64-bit hashes.
+    """
+    thin, reps = _classified(docs)
+    linked = thin.filter("n > 0 and doc_id is not null").join(reps.select("h1", "h2", "n", "component_id"), ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = thin.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.union(alone)
 
@@ -484,11 +495,33 @@ def forest(reps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs of which each group of linked documents has one: that with the smallest doc_id.
 
-    Rows that repeat that id with the same text are equal copies, of which one stays; documents without words link with
-    nothing and stay, as do rows with a null doc_id.
+    Of rows that repeat that id in the group, one stays; documents without words link with nothing and stay, as do rows
+    with a null doc_id.
     """
-    kept = shingle_components(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    thin, reps = _classified(docs)
+    # of a component, one set with its smallest id
+    first = reps.filter("doc_id = component_id").groupBy("component", "doc_id").agg(F.min(F.struct("h1", "h2")).alias("k")).select("doc_id", "k.h1", "k.h2")
+    empty = thin.filter("n = 0 and doc_id is not null").select("doc_id").distinct()
+    repeated = written(thin.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "shingle-repeated")
     names = docs.columns
     marked = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    found = marked.join(kept.withColumnRenamed("doc_id", "__id"), "__id", "left_semi").select(names)
-    return found.union(docs.filter("doc_id is null"))
+    twice = repeated.withColumnRenamed("doc_id", "__id")
+    kept = first.select("doc_id").union(empty).distinct().withColumnRenamed("doc_id", "__id")
+    found = marked.join(kept, "__id", "left_semi")
+    once = found.join(twice, "__id", "left_anti").select(names)
+    out = once.union(docs.filter("doc_id is null"))
+    if repeated.isEmpty():
+        return out
+
+    schema = StructType([*docs.schema.fields, StructField("__h1", LongType()), StructField("__h2", LongType()), StructField("__n", LongType())])
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = list(shingle_sets(t.as_py() for t in batch.column("text")))
+        more = [pa.array([_folded(x, 1) for x in sets], pa.int64()), pa.array([_folded(x, 2) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
+        return pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
+
+    several = by_batch(found.join(twice, "__id", "left_semi").select(names), hashed, schema)
+    keys = first.select(F.col("doc_id").cast("long").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"))
+    full = several.filter("__n > 0").withColumn("__id", F.col("doc_id").cast("long")).join(keys, ["__id", "__h1", "__h2"], "left_semi")
+    one = full.withColumn("__r", F.row_number().over(Window.partitionBy("__id", "__h1", "__h2").orderBy("text"))).filter("__r = 1")
+    return out.union(one.select(names)).union(several.filter("__n = 0").select(names))

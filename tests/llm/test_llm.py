@@ -203,6 +203,13 @@ def test_shingle_join(spark, monkeypatch, most):
         assert shingle_join.shingle_components(docs.limit(0)).count() == 0
 
 
+def test_keep_one_of_repeated_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "s"), (1, a, "s"), (2, a + " end", "s"), (3, c, "s"), (3, b, "s"), (4, b + " end", "s"), (4, c + " end", "s"), (2, c + " tail", "s"), (5, "", "s"), (5, "", "s"), (None, a, "s")]
+    got = sorted((x["doc_id"] or 0, x["text"]) for x in shingle_join.keep_one(frame(spark, rows)).collect())
+    assert got == sorted([(1, a), (2, c + " tail"), (3, b), (5, ""), (5, ""), (0, a)])
+
+
 @pytest.mark.parametrize("tables", [None, vector_dedup.Tables(2, 32, 8, 1)])
 def test_near_vectors(spark, monkeypatch, tables):
     if tables:
