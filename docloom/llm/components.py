@@ -1,8 +1,10 @@
 """Connected components of an undirected graph, by DataFrame joins only.
 
 Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014).
-Every step is an aggregation with map-side combine and one equi-join that adaptive execution can split at a hot node; no
-adjacency list is gathered anywhere. The number of steps grows with the logarithm of the longest path.
+Every step is an aggregation with map-side combine and a join that hands each node's smallest neighbour to its edges; no
+adjacency list is gathered anywhere. Nodes with many edges, of which there are at most MOST_HUBS, get it by broadcast, so
+the edges of a hub stay where they are; the others' edges meet by shuffle. The number of steps grows with the logarithm of
+the longest path.
 """
 
 from __future__ import annotations
@@ -12,12 +14,18 @@ from pyspark.sql import functions as F
 
 from docloom.llm.tables import drop, written
 
+#: A node with more edges is a hub; where that would make more than MOST_HUBS of them (2 MB), the limit rises.
+HUB_EDGES, MOST_HUBS = 256, 100_000
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+
+def _star(edges: DataFrame, small: bool, hub: int) -> DataFrame:
     """edges (u, v), u > v. small: each node and its smaller neighbours go to the smallest of them; else: its larger ones go to the smallest of all its neighbours and itself."""
     both = edges if small else edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-    met = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+    hubs = least.filter(F.col("c") > hub).select("u", F.col("m").alias("hub_m"))
+    known = both.join(F.broadcast(hubs), "u", "left")
+    others = least.filter(F.col("c") <= hub).select("u", "m")
+    met = known.filter("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).union(known.filter("hub_m is null").select("u", "v").join(others, "u"))
     if small:
         out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     else:
@@ -43,7 +51,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if tuple(found) == state or found[0] == 0:
             break
         state = tuple(found)
-        following = written(_star(_star(now, False), True), "edges")
+        hub = max(HUB_EDGES, 2 * found[0] // MOST_HUBS)
+        following = written(_star(_star(now, False, hub), True, hub), "edges")
         drop(now)
         now = following
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
