@@ -2,21 +2,23 @@
 
 The lattice of a text has an edge for every piece of the vocabulary. For a BPE vocabulary the best path is the one on
 which every two neighbouring pieces are stable: merging their joined characters gives back just these two. A path with
-an unstable pair scores minus infinity, all others zero, and exactly one path survives at each boundary. The search keeps
-the boundaries of the last few pieces only (no piece is longer than `longest`) and hands out ids as soon as the
-backpointer paths of all boundaries in that window meet in one boundary, so memory doesn't grow with the text.
+an unstable pair scores minus infinity, all others zero, and exactly one path survives at each boundary. The search goes
+over the text from left to right; later pieces begin in a window of the last `longest` boundaries, and as soon as the
+backpointer paths of all boundaries in it meet in one boundary, the ids up to there are handed out and forgotten.
 
 No piece crosses from another character to a word mark (U+2581), so all paths meet in front of each mark that follows
-another character: there the search starts afresh, and its result for the characters up to the next such place can be
-looked up in a bounded cache. The same holds between any two characters that no piece has side by side, so a chunk that
-isn't known is cut there, and its parts are looked up before they are searched.
+another character: there the search goes on as if it began, and what it found for the characters up to the next such place
+can be looked up in a bounded cache. The same holds between any two characters that no piece has side by side. Texts are
+taken in blocks, stretches without such a place in slices, so beside the ids only a block and the window are held.
 """
 
 from __future__ import annotations
 
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,9 @@ from docloom.llm.tables import by_batch
 MARK = "▁"
 _INT = struct.Struct("=i")
 CACHE_ENTRIES = 240_000
+#: Characters of a text, and of a stretch without a meeting place, that are taken at a time; cached are stretches up to SHORT.
+BLOCK, SLICE, SHORT = 1 << 16, 1 << 12, 64
+_EDGE = re.compile(f"(?<=[^ {MARK}])[ {MARK}]")
 
 
 class PieceCodec:
@@ -82,61 +87,48 @@ class PieceCodec:
         known = self.stable[pair] = (self.merged(pair[0] + pair[1]) == list(pair)) if pair[0] else self.merged(pair[1]) == [pair[1]]
         return known
 
-    def _path(self, chars: str) -> list[str]:
-        """The pieces of a short text: the piece that ends at each boundary of the surviving paths, followed from the end."""
-        last, decided, stable = [""], 0, self.stable.get
-        for at, piece in self.pieces.iter(chars):  # by ends, longest first
-            if at < decided:
-                continue
-            while decided < at:
-                last.append(chars[decided])  # a character without a piece, given as bytes
-                decided += 1
-            pair = (last[at + 1 - len(piece)], piece)
-            holds = stable(pair)
-            if holds or holds is None and self._stable(pair):
-                last.append(piece)
-                decided += 1
-        last += chars[decided:]
-        path, b = [], len(chars)
+    def viterbi(self, blocks: Iterable[str]) -> Iterator[str]:
+        """Pieces of the characters in blocks, in order, each given out once every surviving path runs through it.
+
+        last[i]: the piece that ends at boundary i behind the last one given out, on the one path that survives there.
+        root[i]: the first boundary of that path. All paths that can go on run through one boundary when the roots of the
+        last `longest` boundaries are the same; before the window is that long, the beginning itself can go on.
+        """
+        longest, stable = self.longest, self.stable.get
+        held, last, root, same = "", [""], [0], 0
+        for block in blocks:
+            window = held[1 - longest :]  # a piece that ends in this block begins there at the earliest
+            shift = len(held) - len(window)
+            held += block
+            for at, piece in chain(self.pieces.iter(window + block), [(len(window) + len(block), "")]):  # by ends, longest first
+                at += shift
+                if at < len(last) - 1:
+                    continue
+                while len(last) <= at:
+                    last.append(held[len(last) - 1])  # a character without a piece, given as bytes
+                if piece:
+                    pair = (last[at + 1 - len(piece)], piece)
+                    holds = stable(pair)
+                    if not (holds or holds is None and self._stable(pair)):
+                        continue
+                    last.append(piece)
+                while len(last) > longest:
+                    for b in range(len(root), len(last)):
+                        start = b - len(last[b])
+                        root.append(root[start] if start > 0 else b if start == 0 else -1)
+                        if root[b] != root[b - 1]:
+                            same = b
+                    if same > len(last) - longest:
+                        break
+                    meet = root[-1]
+                    yield last[meet]
+                    held, last, root, same = held[meet:], last[meet:], [0], 0
+                    shift -= meet
+        path, b = [], len(held)
         while b:
             path.append(last[b])
             b -= len(last[b])
-        path.reverse()
-        return path
-
-    def viterbi(self, chars: str) -> Iterator[str]:
-        """Pieces of chars in order, each given out once every surviving path runs through it."""
-        longest, pieces = self.longest, self.ids
-        last = {0: ""}  # boundary -> the piece that ends there on the surviving path; the window only
-        done = 0
-        for end in range(1, len(chars) + 1):
-            for start in range(max(done, end - longest), end):
-                piece = chars[start:end]
-                if end - start == 1 or piece in pieces:
-                    pair = (last[start], piece)
-                    if self.stable.get(pair) or pair not in self.stable and self._stable(pair):
-                        last[end] = piece
-                        break
-            else:
-                raise ValueError("no piece ends here")
-            if end - done >= 4 * longest or end == len(chars):
-                # every later piece starts at one of these boundaries
-                heads = {end} if end == len(chars) else set(range(max(done, end - longest + 1), end + 1))
-                while len(heads) > 1:
-                    b = max(heads)
-                    heads.discard(b)
-                    heads.add(b - len(last[b]))
-                meet = heads.pop()
-                path = []
-                b = meet
-                while b > done:
-                    path.append(last[b])
-                    b -= len(last[b])
-                yield from reversed(path)
-                done = meet
-                keep = max(0, min(done, end - longest))
-                for b in [b for b in last if b < keep]:
-                    del last[b]
+        yield from reversed(path)
 
     def _remember(self, chars: str, ids: bytes) -> None:
         """What is not used while the younger generation fills is forgotten. Both dictionaries stay the same objects."""
@@ -148,33 +140,38 @@ class PieceCodec:
 
     def _part(self, chars: str) -> bytes:
         known, out = self.id_bytes.get, []
-        for piece in self._path(chars) if len(chars) <= 2 * self.longest else self.viterbi(chars):
+        for piece in self.viterbi([chars] if len(chars) <= SLICE else (chars[a : a + SLICE] for a in range(0, len(chars), SLICE))):
             out.append(known(piece) or b"".join([_INT.pack(self.byte_ids[b]) for b in piece.encode("utf-8", "surrogatepass")]))
         return b"".join(out)
 
     def _chunk(self, chars: str) -> bytes:
+        """The ids of a stretch between two marks: what is known, or what the search finds between its meeting places."""
         got = self.older.get(chars)
         if got is None:
             joined, out, start = self.joined, [], 0
-            cuts = [i for i, pair in enumerate(zip(chars, chars[1:]), 1) if pair not in joined]
-            for end in [*cuts, len(chars)] if cuts else ():
-                part = chars[start:end]
-                ids = self.cache.get(part) or self.older.get(part)
-                if ids is None:
-                    ids = self._part(part)
-                    if len(part) <= 64:
-                        self._remember(part, ids)
-                out.append(ids)
-                start = end
-            got = b"".join(out) if cuts else self._part(chars)
-        if len(chars) <= 64:
+            for end, pair in enumerate(zip(chars, chars[1:]), 1):
+                if pair not in joined:
+                    out.append(self._between(chars[start:end]))
+                    start = end
+            out.append(self._between(chars[start:]) if start else self._part(chars))
+            got = b"".join(out)
+        if len(chars) <= SHORT:
             self._remember(chars, got)
         return got
 
-    def chunks(self, text: str) -> list[str]:
-        """The text with word marks, cut in front of each mark that follows another character."""
-        words = text.replace(MARK, " ").split(" ")
-        out, marks = [], MARK
+    def _between(self, part: str) -> bytes:
+        ids = self.cache.get(part) or self.older.get(part)
+        if ids is None:
+            ids = self._part(part)
+            if len(part) <= SHORT:
+                self._remember(part, ids)
+        return ids
+
+    def chunks(self, block: str, marks: str = MARK) -> list[str]:
+        """A block with word marks, cut in front of each mark that follows another character. marks: those in front of it;
+        a text begins with one."""
+        words = block.replace(MARK, " ").split(" ")
+        out = []
         for word in words:
             if word:
                 out.append(marks + word)
@@ -185,10 +182,19 @@ class PieceCodec:
             out.append(marks[1:])
         return out
 
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """The chunks of text, block by block; a block ends in front of a mark that follows another character."""
+        at, n, marks = 0, len(text), MARK
+        while at < n:
+            edge = _EDGE.search(text, at + BLOCK) if at + BLOCK < n else None
+            end = edge.start() if edge else n
+            yield self.chunks(text[at:end] if at or end < n else text, marks)
+            at, marks = end, ""
+
     def encoded(self, text: str) -> bytes:
         """The ids of a text, 32 bits each."""
         known, search = self.cache.get, self._chunk
-        return b"".join([known(chunk) or search(chunk) for chunk in self.chunks(text)]) if text else b""
+        return b"".join([b"".join([known(chunk) or search(chunk) for chunk in block]) for block in self.blocks(text)])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encoded(text), np.int32).tolist()
@@ -225,16 +231,24 @@ def _loaded(path: str) -> PieceCodec:
         return PieceCodec(f.read())
 
 
+def _kept(df: DataFrame, keep: tuple[str, ...], made: tuple[str, ...]) -> dict[str, str]:
+    """Types of the columns named in keep."""
+    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    if missing := [k for k in keep if k not in fields]:
+        raise ValueError(f"no such column: {missing}")
+    if clash := [k for k in keep if k in made] + [k for i, k in enumerate(keep) if k in keep[:i]]:
+        raise ValueError(f"keep names an output column, or one twice: {clash}")
+    return fields
+
+
 def piece_encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns named in keep, ids (array of int), n_ids, and round_trip: whether decoding the ids gives the text back.
 
     A null or empty text has no ids and round_trip true. A text with U+2581 reads back with a space in its place, so its
-    round_trip is false. Repeated rows are encoded each.
+    round_trip is false. Repeated rows are encoded each; an empty table gives an empty one. Columns that aren't named in
+    keep are ignored, whatever their names; ValueError where keep names an output column, or one that there isn't.
     """
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    missing = [k for k in keep if k not in fields]
-    if missing:
-        raise ValueError(f"no such column: {missing}")
+    fields = _kept(docs, keep, ("ids", "n_ids", "round_trip"))
     schema = ", ".join(f"`{k}` {fields[k]}" for k in keep) + ", ids array<int>, n_ids long, round_trip boolean"
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -255,16 +269,16 @@ def piece_encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
         codec.cache.clear()
         codec.older.clear()
 
-    return by_batch(docs.select(*keep, F.col("text").alias("__text")), encode, schema, after=forget)
+    return by_batch(docs.select(*[F.col(f"`{k}`") for k in keep], F.col("text").alias("__text")), encode, schema, after=forget)
 
 
 def piece_decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in keep, and text: what the column ids decodes to; null ids give an empty text."""
-    fields = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
+    """The columns named in keep, and text: what the column ids decodes to; null ids give an empty text. keep as in piece_encode()."""
+    fields = _kept(encoded, keep, ("text",))
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = _loaded(path)
         texts = [codec.decode(s.as_py() or []) for s in batch.column(len(keep))]
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(texts, pa.string())], [*keep, "text"])
 
-    return by_batch(encoded.select(*keep, F.col("ids").alias("__ids")), decode, ", ".join(f"`{k}` {fields[k]}" for k in keep) + ", text string")
+    return by_batch(encoded.select(*[F.col(f"`{k}`") for k in keep], F.col("ids").alias("__ids")), decode, ", ".join(f"`{k}` {fields[k]}" for k in keep) + ", text string")
