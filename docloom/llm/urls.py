@@ -29,7 +29,7 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """What names a page: its URL without scheme and fragment, the host in lower case; null where there is no ://."""
-    rest = _rest(url)
+    """What names a page: its URL without scheme and fragment, the host in lower case, / for an empty path; null where there is no ://."""
+    rest, path = _rest(url), path_of(url)
     query = F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)?", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), path_of(url), query))
+    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), F.when(path == "", "/").otherwise(path), query))
