@@ -12,9 +12,10 @@ before anything is joined.
    tokens that aren't common in its head meets all that it links with; the number of shared tokens and the sizes then
    rule out nearly all pairs that don't link, without any set at hand. The other groups, made up of common tokens, are
    joined among each other once more over their whole sets, ordered from rare to common.
-3. Pairs of groups are expanded to pairs of their members' different sets and verified on the whole sets: first one pair
-   for each set, then only pairs whose sets aren't connected yet. The different sets of one group, and the lists of
-   common tokens, never become pairs: a list is a triangle of blocks of bounded size, whose sets are compared by a matrix product of their shared tokens, and what
+3. Of each pair of groups one pair of sets is verified: first one pair for each set, then only pairs whose sets aren't
+   connected yet. Where a group has several sets, its members are expanded into lists: the sets of one group, those of two
+   groups that meet and aren't connected as a whole yet, and those that have a common token. A list never becomes pairs: it
+   is a grid of blocks of bounded bytes, whose sets are compared by a matrix product of their shared tokens, and what
    leaves a block is a spanning forest of its links.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.llm.components import components
-from docloom.llm.tables import by_batch, written
+from docloom.llm.tables import by_batch, scratch, written
 
 WORDS = 5
 #: Links hold at 100 * shared >= 75 * united; a prefix is a quarter of the set and one token.
@@ -39,11 +40,10 @@ SMALL = 64
 HEAD = np.uint64(1 << 63)  # half of the hash range
 BUCKET_TOKENS = 250_000
 FLUSH_TOKENS = 400_000
-#: Sets of one block of a common token's list, and rows that are compared in one call.
-LIST_BLOCK = 1024
-LIST_ROWS = 4000
-#: Ids of documents whose sets are read again are sent to all tasks up to this number (8 MB); beyond it they are joined.
-MOST_BROADCAST = 1_000_000
+#: Sets and bytes of one block of a list, about, and bytes of the blocks that are compared in one call.
+LIST_BLOCK, BLOCK_BYTES, CALL_BYTES = 1024, 6_000_000, 12_000_000
+#: Ids of documents whose sets are read again are sent to all tasks up to this number (about 20 MB); beyond it they are joined.
+MOST_BROADCAST = 250_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -342,9 +342,15 @@ def _links(pairs: DataFrame, sets: DataFrame, known: DataFrame | None = None) ->
 
 
 def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    with scratch():
+        thin, reps = _classes(docs)
+        return thin, written(reps, "shingle-reps", keep=True)
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, h1, h2, n, ...) of documents, and of each set (h1, h2, n): its smallest doc_id, the smallest of those
     reachable by links (component_id), and its component. A set is a node by its hash, as one id may stand for several."""
-    thin = written(thin_rows(docs), "shingle-rows")
+    thin = written(thin_rows(docs), "shingle-rows", keep=True)
     grouped = thin.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n", "g", "low", "head").agg(F.min("doc_id").alias("doc_id"))
     classes = written(grouped.withColumn("rep", F.xxhash64("h1", "h2")), "shingle-classes")
     groups = written(classes.groupBy("g", "n", "low", "head").agg(F.min("rep").alias("rep"), F.count("*").alias("n_sets")), "shingle-groups")
@@ -376,29 +382,30 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = _size_fits("n_a", "n_b") & (F.col("m") + 2 >= F.greatest(F.col("rare_low_a") - F.col("n_a") + need, F.col("rare_low_b") - F.col("n_b") + need))
     # pairs of two groups without enough such tokens come from the join of their whole sets
     pairs = pairs.filter(fits & (F.col("enough_a") | F.col("enough_b")))
-    plain = pairs.filter("n_sets_a = 1 and n_sets_b = 1").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    pairs = written(pairs.select("a", "b", "rep_a", "rep_b", (F.greatest("n_sets_a", "n_sets_b") > 1).alias("several")), "shingle-met")
+    candidates = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    several = pairs.filter("several").select("a", "b")
     # different sets of one group; those of groups without enough such tokens come from that join, too
-    within = classes.join(sized.filter("n_sets > 1 and enough").select("g"), "g", "left_semi").select(F.col("g").alias("token"), "rep")
-    within = written(within, "shingle-lists")
-    several = pairs.filter("n_sets_a > 1 or n_sets_b > 1").select(F.col("a").alias("ga"), F.col("b").alias("gb"))
-    member = classes.select("g", "rep")
-    expanded = several.join(member.select(F.col("g").alias("ga"), F.col("rep").alias("a")), "ga").join(member.select(F.col("g").alias("gb"), F.col("rep").alias("b")), "gb").select("a", "b")
-    candidates = plain.union(expanded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
-    candidates = written(candidates.distinct(), "shingle-candidates")
+    lists = written(classes.join(sized.filter("n_sets > 1 and enough").select("g"), "g", "left_semi").select(F.col("g").alias("token"), "rep"), "shingle-lists")
     common_groups = written(sized.filter(~F.col("enough")).select("g"), "shingle-common")
     common = classes.join(common_groups, "g", "left_semi")
-    ends = candidates.select(F.col("a").alias("rep")).union(candidates.select(F.col("b").alias("rep"))).union(common.select("rep")).union(within.select("rep")).distinct()
+    of_several = classes.join(several.select(F.explode(F.array("a", "b")).alias("g")).distinct(), "g", "left_semi").select("g", "rep")
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("rep")).union(common.select("rep")).union(lists.select("rep")).union(of_several.select("rep")).distinct()
     sets = _sets(docs, classes.select("rep", "h1", "h2", "doc_id").join(ends, "rep", "left_semi"))
     edges = _links(candidates, sets)
-    if not within.isEmpty():
-        edges = written(edges.union(_list_links(within, sets)), "shingle-links")
+    if not lists.isEmpty():
+        edges = written(edges.union(_list_links(lists, sets)), "shingle-links")
+    if not several.isEmpty():
+        edges = written(edges.union(_group_links(several, of_several, sets, _connected(edges))), "shingle-links")
     if not common_groups.isEmpty():
         edges = _common_links(common, sets, edges)
     found = components(edges)
     of = classes.select("h1", "h2", "n", "rep", "doc_id").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     of = of.select("h1", "h2", "n", "doc_id", F.coalesce("component", "rep").alias("component"))
-    least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return thin, written(of.join(least, "component"), "shingle-reps")
+    # written, so that a join of many sets of one component can be split
+    of = written(of, "shingle-sets-of")
+    least = written(of.groupBy("component").agg(F.min("doc_id").alias("component_id")), "shingle-least")
+    return thin, of.join(least, "component")
 
 
 def shingle_components(docs: DataFrame) -> DataFrame:
@@ -442,86 +449,127 @@ def _common_links(common: DataFrame, sets: DataFrame, known: DataFrame) -> DataF
 
 def _list_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect all sets that link within one list; lists: (token, rep). A list's sets never become pairs."""
-    rows = lists.count()
-    sizes = lists.groupBy("token").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("k"))
+    lists = lists.join(_sizes(sets), "rep")
     # a long list is a triangle of blocks, each row beside every block of its list
+    sizes = written(lists.groupBy("token").agg(_n_blocks().alias("k"), F.sum("bytes").alias("bytes")), "list-sizes")
+    total = sizes.agg(F.sum(F.col("k") * F.col("bytes"))).first()[0] or 0
     block = F.pmod(F.xxhash64("rep", "token"), F.col("k")).cast("int")
     beside = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
-    placed = lists.join(sizes, "token").join(sets.select("rep", "data"), "rep").select("token", "rep", "data", F.explode(beside).alias("at")).select("token", "rep", "data", "at.*")
-    parts = max(1, -(-rows // LIST_ROWS))
-    met = placed.groupBy(F.pmod(F.xxhash64("token", "i", "j"), F.lit(parts)).alias("part")).applyInPandas(_compared, "a long, b long")
-    return met.distinct()
+    placed = lists.select("token", "rep").join(sizes.select("token", "k"), "token").select("token", "rep", F.lit(_ONE_LIST).alias("side"), F.explode(beside).alias("at"))
+    return _block_links(placed, sets, total)
+
+
+def _group_links(several: DataFrame, members: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Links between the sets of two groups that connect all that such links connect, where the groups aren't wholly
+    connected yet; several: pairs (a, b) of groups, members: (g, rep). One group's blocks stand beside the other's."""
+    members = written(members.join(_sizes(sets), "rep").join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "group-members")
+    sizes = members.groupBy("g").agg(_n_blocks().alias("k"), F.sum("bytes").alias("bytes"), F.min("component").alias("low"), F.max("component").alias("high"))
+    pairs = several
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("g").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("k", "bytes", "low", "high"))), side)
+    apart = written(pairs.filter("least(low_a, low_b) < greatest(high_a, high_b)").withColumn("token", F.xxhash64("a", "b")), "group-pairs")
+    total = apart.agg(F.sum(F.col("bytes_a") * F.col("k_b") + F.col("bytes_b") * F.col("k_a"))).first()[0] or 0
+    spot = F.xxhash64("rep", "token")
+    one = apart.join(members.select(F.col("g").alias("a"), "rep"), "a")
+    own = F.pmod(spot, F.col("k_a")).cast("int")
+    left = one.select("token", "rep", F.lit(0).alias("side"), F.explode(F.transform(F.sequence(F.lit(0), F.col("k_b") - 1), lambda j: F.struct(own.alias("i"), j.alias("j")))).alias("at"))
+    other = apart.join(members.select(F.col("g").alias("b"), "rep"), "b")
+    theirs = F.pmod(spot, F.col("k_b")).cast("int")
+    right = other.select("token", "rep", F.lit(1).alias("side"), F.explode(F.transform(F.sequence(F.lit(0), F.col("k_a") - 1), lambda i: F.struct(i.alias("i"), theirs.alias("j")))).alias("at"))
+    return _block_links(left.union(right), sets, total)
+
+
+#: The side of sets that are compared with all others of their block; those on sides 0 and 1 are compared across.
+_ONE_LIST = 2
+
+
+def _sizes(sets: DataFrame) -> DataFrame:
+    return sets.select("rep", F.octet_length("data").alias("bytes"))
+
+
+def _n_blocks():
+    return F.greatest(F.ceil(F.count("*") / LIST_BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+
+
+def _block_links(placed: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """Links within the blocks that placed(token, rep, side, at(i, j)) deals sets to; total: their bytes, copies included."""
+    parts = max(1, -(-total // CALL_BYTES))
+    rows = placed.select("token", "rep", "side", "at.*").join(sets.select("rep", "data"), "rep")
+    return rows.groupBy(F.pmod(F.xxhash64("token", "i", "j"), F.lit(parts)).alias("part")).applyInPandas(_compared, "a long, b long").distinct()
 
 
 def _compared(rows: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest (a, b) of the links within each list block of rows."""
+    """A spanning forest (a, b) of the links within each block of rows."""
     out = []
     for _, one in rows.groupby(["token", "i", "j"], sort=False):
         if len(one) > 1:
-            out += forest(one["rep"].to_numpy(np.int64), [np.frombuffer(d, np.uint64) for d in one["data"]])
+            side = one["side"].to_numpy()
+            out += forest(one["rep"].to_numpy(np.int64), [np.frombuffer(d, np.uint64) for d in one["data"]], None if side[0] == _ONE_LIST else side == 0)
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def forest(reps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(rep, smallest rep it reaches) of the sets that link with another; shared tokens are counted by matrix products."""
+def forest(reps: np.ndarray, sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(rep, smallest rep it reaches) of the sets that link with another; shared tokens are counted by matrix products.
+
+    left: marks one side, whose sets are compared with the others only; None: all are compared with all.
+    """
     order = np.argsort(reps, kind="stable")
     reps, sets = reps[order], [sets[i] for i in order]
     n = len(reps)
+    x = np.arange(n) if left is None else np.flatnonzero(left[order])
+    y = x if left is None else np.flatnonzero(~left[order])
     sizes = np.array([len(s) for s in sets], np.int64)
     of = np.repeat(np.arange(n), sizes)
     _, token, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = counts[token] > 1  # the others are in one set only
     place = np.cumsum(counts > 1) - 1
     of, token = of[shared], place[token[shared]]
-    both = np.zeros((n, n), np.float32)
+    both = np.zeros((len(x), len(y)), np.float32)
     by_token = np.argsort(token, kind="stable")
     of, token = of[by_token], token[by_token]
     for a in range(0, int(counts.size and (counts > 1).sum()), 4096):
         s = slice(*np.searchsorted(token, [a, a + 4096]))
         has = np.zeros((n, 4096), np.float32)
         has[of[s], token[s] - a] = 1
-        both += has @ has.T
-    links = 100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both)
-    np.fill_diagonal(links, True)
+        both += has[x] @ has[y].T if left is not None else has @ has.T
+    links = 100 * both >= 75 * (sizes[x][:, None] + sizes[y][None, :] - both)
     label = np.arange(n)
-    while True:
-        new = np.where(links, label[None, :], n).min(1)
-        if (new == label).all():
+    while len(x) and len(y):
+        before = label.copy()
+        label[x] = np.minimum(label[x], np.where(links, label[y][None, :], n).min(1))
+        label[y] = np.minimum(label[y], np.where(links, label[x][:, None], n).min(0))
+        if (label == before).all():
             break
-        label = new
     return [(int(reps[i]), int(reps[k])) for i, k in enumerate(label) if i != k]
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs of which each group of linked documents has one: that with the smallest doc_id.
 
-    Of rows that repeat that id in the group, one stays; documents without words link with nothing and stay, as do rows
-    with a null doc_id.
+    Of rows that repeat that id in the group, one stays (that of the least text, then of the least row);
+    documents without words link with nothing and stay, as do rows with a null doc_id. Columns may have any names; an empty
+    table gives an empty one.
     """
     thin, reps = _classified(docs)
     # of a component, one set with its smallest id
-    first = reps.filter("doc_id = component_id").groupBy("component", "doc_id").agg(F.min(F.struct("h1", "h2")).alias("k")).select("doc_id", "k.h1", "k.h2")
-    empty = thin.filter("n = 0 and doc_id is not null").select("doc_id").distinct()
-    repeated = written(thin.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "shingle-repeated")
-    names = docs.columns
-    marked = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    twice = repeated.withColumnRenamed("doc_id", "__id")
-    kept = first.select("doc_id").union(empty).distinct().withColumnRenamed("doc_id", "__id")
-    found = marked.join(kept, "__id", "left_semi")
-    once = found.join(twice, "__id", "left_anti").select(names)
-    out = once.union(docs.filter("doc_id is null"))
-    if repeated.isEmpty():
-        return out
-
-    schema = StructType([*docs.schema.fields, StructField("__h1", LongType()), StructField("__h2", LongType()), StructField("__n", LongType())])
+    first = reps.filter("doc_id = component_id").groupBy("component", "doc_id").agg(F.min(F.struct("h1", "h2")).alias("k")).select(F.col("doc_id").alias("id"), "k.h1", "k.h2")
+    empty = thin.filter("n = 0 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    twice = written(thin.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().filter("count > 1").select("id"), "shingle-repeated")
+    # a row is one column, so that no name of docs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    found = rows.join(first.select("id").union(empty).distinct(), "id", "left_semi")
+    nameless = rows.filter("id is null").select("row")
+    if twice.isEmpty():
+        return found.select("row").union(nameless).select("row.*")
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = list(shingle_sets(t.as_py() for t in batch.column("text")))
-        more = [pa.array([_folded(x, 1) for x in sets], pa.int64()), pa.array([_folded(x, 2) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
-        return pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
-
-    several = by_batch(found.join(twice, "__id", "left_semi").select(names), hashed, schema)
-    keys = first.select(F.col("doc_id").cast("long").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"))
-    full = several.filter("__n > 0").withColumn("__id", F.col("doc_id").cast("long")).join(keys, ["__id", "__h1", "__h2"], "left_semi")
-    one = full.withColumn("__r", F.row_number().over(Window.partitionBy("__id", "__h1", "__h2").orderBy("text"))).filter("__r = 1")
-    return out.union(one.select(names)).union(several.filter("__n = 0").select(names))
+        more = [[_folded(x, 1) for x in sets], [_folded(x, 2) for x in sets], [len(x) for x in sets]]
+        return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(m, pa.int64()) for m in more), batch.column("text"), batch.column("row")], ["id", "h1", "h2", "n", "text", "row"])
+
+    schema = StructType([*(StructField(c, LongType()) for c in ("id", "h1", "h2", "n")), docs.schema["text"], found.schema["row"]])
+    several = by_batch(found.join(twice, "id", "left_semi").select("id", F.col("row")["text"].alias("text"), "row"), hashed, schema)
+    one = several.filter("n > 0").join(first, ["id", "h1", "h2"], "left_semi")
+    one = one.groupBy("id").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row")).select("row")
+    once = found.join(twice, "id", "left_anti").select("row")
+    return once.union(one).union(several.filter("n = 0").select("row")).union(nameless).select("row.*")
