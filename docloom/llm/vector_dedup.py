@@ -4,11 +4,15 @@ A rotation is learned on a bounded sample so that the signs of the rotated, cent
 codes that lose little (iterative quantisation: alternate signs and an orthogonal Procrustes solution). Codes are cut into
 substrings of w bits, each with a table of its own; vectors whose substrings differ in at most r bits meet in a bucket.
 w and r are chosen from the number of vectors so that a pair at the threshold is met with probability 0.9 or more, at the
-least expected work; that probability is measured on pairs made from the sample, since centring widens angles. Pairs that meet are compared by cosine of the original vectors in double precision.
+least expected work; that probability is measured on pairs made from the sample, since centring widens angles.
+
+Buckets are filled with codes alone: of the pairs that meet there, those whose whole codes differ in more bits than pairs at
+the threshold do drop out, and only vectors that are left with a partner are fetched and compared by cosine in double
+precision. A pair that meets in several tables counts in the first of them, which both codes tell, so a vector is fetched
+for that one.
 
 No pair becomes a row. A bucket is a grid of blocks of bounded size, a block pair is one matrix product, and what leaves it
-are sums of links for each vector and the edges of a spanning forest. A pair that meets in several tables counts in the
-first of them, which both codes tell.
+are sums of links for each vector and the edges of a spanning forest.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
-from docloom.llm.tables import by_batch, written
+from docloom.llm.tables import by_batch, scratch, written
 
-#: Vectors of one block of a bucket.
-BLOCK = 1024
+#: Vectors of one block of a bucket; rows of codes, and bytes of vectors, that one call takes, about.
+BLOCK, CALL_ROWS, CALL_BYTES = 1024, 60_000, 16_000_000
 
 
 @dataclass(frozen=True)
@@ -45,12 +49,13 @@ class Search:
 
 @dataclass(frozen=True)
 class Tables:
-    """words codes of `bits` bits; substrings of width bits; bits may differ in radius places."""
+    """words codes of `bits` bits; substrings of width bits that may differ in radius places; first words in reach places."""
 
     words: int
     bits: int
     width: int
     radius: int
+    reach: int = 64
 
     @property
     def per_word(self) -> int:
@@ -129,24 +134,30 @@ def met(tables: Tables, x: list[np.ndarray], y: list[np.ndarray]) -> float:
     hit = np.zeros(len(x), bool)
     for t in range(tables.count):
         hit |= np.bitwise_count(tables.substring(x, t) ^ tables.substring(y, t)) <= tables.radius
-    return hit.mean() if len(x) else 1.0
+    return (hit & (_apart(x[:, 0], y[:, 0]) <= tables.reach)).mean() if len(x) else 1.0
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits codes differ."""
+    return np.bitwise_count((x ^ y).view(np.uint64))
 
 
 def fitted(n: int, bits: int, sample: np.ndarray, search: Search) -> tuple[Tables, np.ndarray, list[np.ndarray]]:
     """Tables, mean and matrices that meet pairs at the threshold as often as wanted, measured on such pairs.
 
     Centring widens angles of vectors with a common mean, so the share of differing bits is that of codes, and is raised
-    until the tables chosen for it reach the wanted share.
+    until the tables chosen for it reach the wanted share. Whole codes may differ in as many bits as those of these pairs do.
     """
     x, y = at_threshold(sample, search)
     mean, matrices = learn(sample, bits, 1, search)
-    unlike = _codes(x, mean, matrices)[0] ^ _codes(y, mean, matrices)[0]
-    apart = np.bitwise_count(unlike.view(np.uint64)).mean() / bits if len(x) else 0.0
-    differ = max(math.acos(search.threshold) / math.pi, float(apart))
+    unlike = _apart(_codes(x, mean, matrices)[0], _codes(y, mean, matrices)[0])
+    differ = max(math.acos(search.threshold) / math.pi, float(unlike.mean()) / bits if len(x) else 0.0)
     while True:
         tables = choose(n, bits, replace(search, differ=min(differ, 0.5)))
         mean, matrices = learn(sample, tables.bits, tables.words, search)
-        if differ >= 0.5 or met(tables, _codes(x, mean, matrices), _codes(y, mean, matrices)) >= search.recall + 0.02:
+        x_codes, y_codes = _codes(x, mean, matrices), _codes(y, mean, matrices)
+        tables = replace(tables, reach=int(_apart(x_codes[0], y_codes[0]).max(initial=0)) + 1 if len(x) >= 1000 else tables.bits)
+        if differ >= 0.5 or met(tables, x_codes, y_codes) >= search.recall + 0.02:
             return tables, mean, matrices
         differ *= 1.05
 
@@ -175,26 +186,66 @@ def _usable(vectors: DataFrame, vec: str, kind: str) -> DataFrame:
     return rows.filter("raw is not null and vec_id is not null").withColumn("key", F.md5("raw"))
 
 
-def _block_links(tables: Tables, kind: str, threshold: float):
+_PLACE = ["t", "bucket", "x_block", "y_block"]
+
+
+def _met_first(tables: Tables, t: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of codes x and y (a column for each word), met in table t, are near enough and not met in a table before."""
+    close = _apart(x[:, None, 0], y[None, :, 0]) <= tables.reach
+    for s in range(t):
+        if not close.any():
+            break
+        close &= np.bitwise_count(tables.substring(x, s)[:, None] ^ tables.substring(y, s)[None, :]) > tables.radius
+    return close
+
+
+def _sides(one: pd.DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a block pair's rows: those of x and of y; a block beside itself is both."""
+    if tables.radius == 0 and one["x_block"].iloc[0] == one["y_block"].iloc[0]:
+        every = np.arange(len(one))
+        return every, every
+    side = one["side"].to_numpy()
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+
+def _with_partner(tables: Tables):
+    """Rows of a call's block pairs that have a partner by their codes."""
     names = [f"code{i}" for i in range(tables.words)]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        t = int(rows["t"].iloc[0])
-        same_side = tables.radius == 0 and rows["x_block"].iloc[0] == rows["y_block"].iloc[0]
-        x = rows if same_side else rows[rows["side"] == 0]
-        y = rows if same_side else rows[rows["side"] == 1]
+        kept = []
+        rows = rows.sort_values([*_PLACE, "rep", "side"], kind="stable", ignore_index=True)
+        key = rows[_PLACE].to_numpy()
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(rows)]
+        codes, reps = rows[names].to_numpy(np.int64), rows["rep"].to_numpy()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a < 2:
+                continue
+            x, y = _sides(rows.iloc[a:b], tables)
+            x, y = x + a, y + a
+            close = _met_first(tables, int(key[a, 0]), codes[x], codes[y])
+            close &= reps[x][:, None] != reps[y][None, :]
+            kept += [x[close.any(1)], y[close.any(0)]]
+        found = np.unique(np.concatenate(kept)) if kept else np.empty(0, np.int64)
+        return rows.iloc[found][["rep", *_PLACE, "side"]]
+
+    return run
+
+
+def _block_links(tables: Tables, kind: str, threshold: float):
+    """Links of the vectors of a call's block pairs."""
+    names = [f"code{i}" for i in range(tables.words)]
+
+    def block(one: pd.DataFrame) -> pd.DataFrame | None:
+        x, y = _sides(one, tables)
         if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
-        close = _units(x["raw"].tolist(), kind) @ _units(y["raw"].tolist(), kind).T >= threshold
-        xi, yi = x["rep"].to_numpy(), y["rep"].to_numpy()
-        close &= xi[:, None] != yi[None, :]
-        cx, cy = x[names].to_numpy(np.int64), y[names].to_numpy(np.int64)
-        for s in range(t):  # met before
-            if not close.any():
-                break
-            apart = tables.substring(cx, s)[:, None] ^ tables.substring(cy, s)[None, :]
-            close &= (np.bitwise_count(apart) > tables.radius)
-        links = close @ y["weight"].to_numpy(np.int64)
+            return None
+        xi, yi, codes = one["rep"].to_numpy()[x], one["rep"].to_numpy()[y], one[names].to_numpy(np.int64)
+        units = _units(one["raw"].tolist(), kind)
+        close = (units[x] @ units[y].T >= threshold) & (xi[:, None] != yi[None, :])
+        if close.any():
+            close &= _met_first(tables, int(one["t"].iloc[0]), codes[x], codes[y])
+        links = close @ one["weight"].to_numpy(np.int64)[y]
         # labels of connected vectors: the smallest rep that is reached
         far = np.iinfo(np.int64).max
         lx, ly = xi.copy(), yi.copy()
@@ -208,6 +259,11 @@ def _block_links(tables: Tables, kind: str, threshold: float):
         found = links > 0
         return pd.DataFrame({"a": np.concatenate([xi[found], yi[on_y]]), "b": np.concatenate([lx[found], ly[on_y]]), "links": np.concatenate([links[found], np.zeros(int(on_y.sum()), np.int64)])})
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [block(one) for _, one in rows.groupby(_PLACE, sort=False)]
+        parts = [p for p in parts if p is not None and len(p)]
+        return pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
+
     return run
 
 
@@ -217,15 +273,21 @@ def near_vectors(vectors: DataFrame, search: Search = Search(), vec: str = "embe
     Vectors link at cosine >= threshold. n_links counts other vectors linked directly, component_id is the smallest vec_id
     reachable by links, kept tells vec_id = component_id. Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing, and vectors of different lengths don't link. Equal vectors are compared once and count
-    each; rows of one vec_id with different vectors share their links and do not link with each other. A null vec_id has no links, a null component and isn't kept.
+    each; rows of one vec_id with different vectors share their links and do not link with each other. A null vec_id has no
+    links, a null component and isn't kept. Other columns are ignored; an empty table gives an empty one.
     """
+    with scratch():
+        return _near_vectors(vectors, search, vec)
+
+
+def _near_vectors(vectors: DataFrame, search: Search, vec: str) -> DataFrame:
     spark = vectors.sparkSession
     kind = "<f8" if "double" in vectors.schema[vec].dataType.simpleString() else "<f4"
     usable = _usable(vectors, vec, kind)
     classes = usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("raw").alias("raw"), F.min("dim").alias("dim"))
     # a rep stands for one class: repeated ids with different vectors are told apart by the key
-    classes = written(classes, "vector-classes")
-    members = written(usable.select("vec_id", "key"), "vector-members")
+    classes = written(classes, "vector-classes", keep=True)
+    members = written(usable.select("vec_id", "key"), "vector-members", keep=True)
     sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
     found = None
     for dim, n in sorted(sizes.items()):
@@ -235,15 +297,15 @@ def near_vectors(vectors: DataFrame, search: Search = Search(), vec: str = "embe
         if not some:
             continue
         tables, mean, matrices = fitted(n, min(64, dim), _units(some, kind), search)
-        part = _links(one, tables, mean, matrices, kind, search.threshold)
+        part = _links(one, dim, tables, mean, matrices, kind, search.threshold)
         found = part if found is None else found.union(part)
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
     if found is None:
         links = spark.createDataFrame([], "a long, b long, links long")
     else:
-        links = written(found, "vector-links")
+        links = found
     sums = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    groups = components(links.select("a", "b").filter("a <> b"))
+    groups = written(components(links.select("a", "b").filter("a <> b")), "vector-components", keep=True)
     by_class = (
         classes.select("key", "rep", "weight")
         .join(sums, "rep", "left")
@@ -255,7 +317,7 @@ def near_vectors(vectors: DataFrame, search: Search = Search(), vec: str = "embe
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(classes: DataFrame, tables: Tables, mean: np.ndarray, matrices: list[np.ndarray], kind: str, threshold: float) -> DataFrame:
+def _links(classes: DataFrame, dim: int, tables: Tables, mean: np.ndarray, matrices: list[np.ndarray], kind: str, threshold: float) -> DataFrame:
     """(a, b, links): sums of links of a, and edges of spanning forests where a <> b; classes are of one length."""
     names = [f"code{i}" for i in range(tables.words)]
 
@@ -267,23 +329,38 @@ def _links(classes: DataFrame, tables: Tables, mean: np.ndarray, matrices: list[
     coded = written(coded, "vector-codes")
     mask = (1 << tables.width) - 1
     keys = F.array(*(F.struct(F.lit(t).alias("t"), F.shiftrightunsigned(f"code{t // tables.per_word}", t % tables.per_word * tables.width).bitwiseAND(F.lit(mask)).alias("bucket")) for t in range(tables.count)))
-    own = coded.select("*", F.explode(keys).alias("k")).select("rep", "weight", "raw", *names, "k.t", "k.bucket")
+    own = coded.select("rep", *names, F.explode(keys).alias("k")).select("rep", *names, "k.t", "k.bucket")
     counted = own.groupBy("t", "bucket").agg(F.count("*").alias("n"))
     salt = F.xxhash64("rep", "t")
     grid = F.sequence
+
+    def blocks(n: str):
+        return F.ceil(F.col(n) / BLOCK).cast("int")
+
     if tables.radius == 0:
-        large = written(counted.filter(F.col("n") > BLOCK).select("t", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("m")), "large-buckets")
+        large = written(counted.filter(F.col("n") > BLOCK).select("t", "bucket", blocks("n").alias("m")), "large-buckets")
         placed = own.join(large, ["t", "bucket"], "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("i", F.pmod(salt, F.col("m")).cast("int"))
         # as x (0) beside every y block, as y (1) beside every x block; the block beside itself once
         as_x = F.transform(grid(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.col("i").alias("x_block"), j.alias("y_block"), F.lit(0).alias("side")))
         as_y = F.transform(F.filter(grid(F.lit(0), F.col("m") - 1), lambda j: j != F.col("i")), lambda j: F.struct(j.alias("x_block"), F.col("i").alias("y_block"), F.lit(1).alias("side")))
-        rows = placed.select("rep", "weight", "raw", *names, "t", "bucket", F.explode(F.concat(as_x, as_y)).alias("g"))
+        rows = placed.select("rep", *names, "t", "bucket", F.explode(F.concat(as_x, as_y)).alias("g"))
+        moved = counted.select(F.col("n") * (2 * blocks("n") - 1))
     else:
         flips = F.array(*(F.lit(f).cast("long") for f in tables.flips()))
         probes = own.withColumn("flip", F.explode(flips)).withColumn("bucket", F.col("bucket").bitwiseXOR(F.col("flip"))).drop("flip")
         both = counted.join(probes.groupBy("t", "bucket").agg(F.count("*").alias("nx")), ["t", "bucket"])
-        sized = written(both.select("t", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("m"), F.ceil(F.col("nx") / BLOCK).cast("int").alias("mx")), "buckets")
-        x = probes.join(sized, ["t", "bucket"]).select("rep", "weight", "raw", *names, "t", "bucket", F.explode(F.transform(grid(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.pmod(salt, F.col("mx")).cast("int").alias("x_block"), j.alias("y_block"), F.lit(0).alias("side")))).alias("g"))
-        y = own.join(sized, ["t", "bucket"]).select("rep", "weight", "raw", *names, "t", "bucket", F.explode(F.transform(grid(F.lit(0), F.col("mx") - 1), lambda j: F.struct(j.alias("x_block"), F.pmod(salt, F.col("m")).cast("int").alias("y_block"), F.lit(1).alias("side")))).alias("g"))
+        sized = written(both.filter("nx > 1").select("t", "bucket", "n", "nx", blocks("n").alias("m"), blocks("nx").alias("mx")), "buckets")
+        x = probes.join(sized, ["t", "bucket"]).select("rep", *names, "t", "bucket", F.explode(F.transform(grid(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.pmod(salt, F.col("mx")).cast("int").alias("x_block"), j.alias("y_block"), F.lit(0).alias("side")))).alias("g"))
+        y = own.join(sized, ["t", "bucket"]).select("rep", *names, "t", "bucket", F.explode(F.transform(grid(F.lit(0), F.col("mx") - 1), lambda j: F.struct(j.alias("x_block"), F.pmod(salt, F.col("m")).cast("int").alias("y_block"), F.lit(1).alias("side")))).alias("g"))
         rows = x.union(y)
-    return rows.select("rep", "weight", "raw", *names, "t", "bucket", "g.*").groupBy("t", "bucket", "x_block", "y_block").applyInPandas(_block_links(tables, kind, threshold), "a long, b long, links long")
+        moved = sized.select(F.col("n") * F.col("mx") + F.col("nx") * F.col("m"))
+    moved = moved.toDF("rows").agg(F.sum("rows")).first()[0] or 0
+    met = rows.select("rep", *names, "t", "bucket", "g.*").groupBy(_call(moved, CALL_ROWS)).applyInPandas(_with_partner(tables), "rep long, t int, bucket long, x_block int, y_block int, side int")
+    met = written(met, "vector-partners")
+    found = met.join(coded, "rep").groupBy(_call(met.count(), max(64, CALL_BYTES // (dim * 8)))).applyInPandas(_block_links(tables, kind, threshold), "a long, b long, links long")
+    return written(found, "vector-links", keep=True)
+
+
+def _call(rows: int, most: int):
+    """Which call compares a block pair."""
+    return F.pmod(F.xxhash64(*_PLACE), F.lit(max(1, -(-rows // most)))).alias("call")
