@@ -7,8 +7,9 @@ in one aggregation over the table of sources, which halves the interval several
 
 The weights are then realised as a budget of tokens for each source. A source's documents lie in blocks by hash, each
 epoch visits the blocks in a permutation of its own, whole epochs take every block, and the last, partial one takes blocks
-in its order while they fit; of the block at the edge it takes documents in hash order while they fit. So all that is
-summed in order are blocks, and the documents of one block of each source.
+in its order while they fit; of the block at the edge it takes documents in hash order while they fit. Blocks are summed in
+order at two levels: ranges of the order first, then the blocks of the range at the edge. So all that is summed in order
+by one task are RANGES sums, the blocks of one range, or the documents with tokens of one block of a source.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docloom.llm.tables import written
+from docloom.llm.tables import scratch, written
 
 GRID = 32
+#: Ranges of a source's block order, a power of two.
+RANGES = 4096
 #: Sources are sent to every task up to this number of them (under 10 MB); beyond it they are joined by shuffle.
 MOST_BROADCAST = 50_000
 SALTS = 64
@@ -106,11 +109,13 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     Training order is by mix_epoch, mix_order (the block's place in the permutation of its source's blocks in that epoch),
     mix_block and doc_id. Tokens are words. A null source is a source of its own; a null text has no tokens. Rows of
     a source without tokens are taken once. Rows that are equal in doc_id and source are taken or left together. An empty
-    table gives an empty one.
+    table gives an empty one. Columns of docs with the names of the three new ones are replaced.
     """
-    for name in ("mix_epoch", "mix_block", "mix_order"):
-        if name in docs.columns:
-            raise ValueError(f"docs already has a column {name}")
+    with scratch():
+        return _mixed(docs, mix)
+
+
+def _mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     key, spot = _key(F.col("source")), _hashed(F.lit(str(mix.seed)), id_text)
     thin = written(docs.select(key.alias("k"), spot.alias("h"), word_count(F.col("text")).alias("tokens")), "mix-rows")
@@ -148,23 +153,27 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         return _hashed(F.lit(f"{mix.seed}/block"), F.col("k"), F.col("b").cast("string"), epoch.cast("string"))
 
     sized = with_source(thin, sources).select("k", "h", "tokens", "whole", "rest", block.alias("b"))
-    taken = Window.partitionBy("k").orderBy("o", "b").rowsBetween(Window.unboundedPreceding, 0)
-    edge = (
-        sized.filter("rest > 0").groupBy("k", "b", "whole", "rest").agg(F.sum("tokens").alias("tokens"))
-        .withColumn("o", order(F.col("whole") + 1))
-        .withColumn("sum", F.sum("tokens").over(taken))
-        .filter("sum > rest")
-        .groupBy("k").agg(F.min(F.struct("o", "b", (F.col("rest") - F.col("sum") + F.col("tokens")).alias("room"))).alias("e"))
-        .select("k", "e.*")
-    )
-    edge = written(edge, "mix-edges")
-    within = Window.partitionBy("k").orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
-    at_edge = with_source(thin, sources.join(edge, "k").select("k", "n_blocks", F.col("b").alias("edge_b"), "room")).filter(block == F.col("edge_b"))
-    limits = at_edge.withColumn("sum", F.sum("tokens").over(within)).filter("sum <= room").groupBy("k").agg(F.max("h").alias("last_h"))
+    dealt = sized.filter("rest > 0").groupBy("k", "b", "whole", "rest").agg(F.sum("tokens").alias("tokens")).withColumn("o", order(F.col("whole") + 1))
+    dealt = written(dealt.withColumn("range", F.shiftright("o", 60 - RANGES.bit_length() + 1)), "mix-blocks")
+
+    def first_beyond(sums: DataFrame, by: list[str]) -> DataFrame:
+        """Of each source, the first row, ordered by `by`, up to which more than rest is summed, and what is left for it (room)."""
+        taken = Window.partitionBy("k").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+        beyond = sums.withColumn("sum", F.sum("tokens").over(taken)).filter("sum > rest")
+        return beyond.groupBy("k").agg(F.min(F.struct(*by, (F.col("rest") - F.col("sum") + F.col("tokens")).alias("room"))).alias("e")).select("k", "e.*")
+
+    ranges = written(first_beyond(dealt.groupBy("k", "rest", "range").agg(F.sum("tokens").alias("tokens")), ["range"]), "mix-ranges")
+    within_range = dealt.select("k", "b", "o", "range", "tokens").join(ranges.withColumnRenamed("room", "rest"), ["k", "range"])
+    edge = written(first_beyond(within_range, ["o", "b"]), "mix-edges")
+    at_edge = with_source(thin.filter("tokens > 0"), sources.join(edge, "k").select("k", "n_blocks", F.col("b").alias("edge_b"), "room")).filter(block == F.col("edge_b"))
+    by_hash = at_edge.groupBy("k", "h", "room").agg(F.sum("tokens").alias("tokens"))  # rows of one id stay together
+    within = Window.partitionBy("k").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    limits = by_hash.withColumn("sum", F.sum("tokens").over(within)).filter("sum <= room").groupBy("k").agg(F.max("h").alias("last_h"))
     table = written(
-        sources.join(edge.withColumnRenamed("b", "edge_b").withColumnRenamed("o", "edge_o"), "k", "left").join(limits, "k", "left").drop("rest", "room"), "mix-plan"
+        sources.join(edge.withColumnRenamed("b", "edge_b").withColumnRenamed("o", "edge_o"), "k", "left").join(limits, "k", "left").drop("rest", "room"), "mix-plan", keep=True
     )
-    names = docs.columns
+    made = ("mix_epoch", "mix_block", "mix_order")
+    names = [c for c in docs.columns if c.lower() not in made]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("k"), spot.alias("h"))
     placed = with_source(rows, table).withColumn("b", block)
     last = F.col("whole") + 1
