@@ -14,6 +14,7 @@ import html
 import re
 from collections.abc import Iterator, Set
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,10 +68,16 @@ def _unwanted(name: str, attributes: str, in_main: bool) -> int:
     return found
 
 
+def _comment(attributes: str) -> bool:
+    """Whether a class or id says that an element is a reader's comment."""
+    return any(m[1].lower() in ("class", "id") and any(t.startswith("comment") for t in (m[2] or m[3] or m[4] or "").lower().split()) for m in _ATTRIBUTE.finditer(attributes))
+
+
 def lines(page: str) -> list[tuple[str, bool]]:
     """Lines of text in page order, one for each block, and whether each stands inside a main part.
 
-    A class or id drops no element that marks a main part or contains one.
+    A class or id drops no element that marks a main part or contains one; but behind the beginning of a main part,
+    article elements that are comments by class or id are none, and are dropped.
     """
     around: set[int] = set()
     found = _lines(page, around, frozenset())
@@ -86,7 +93,7 @@ def _lines(page: str, around: set[int], spared: Set[int]) -> list[tuple[str, boo
     open_: list[tuple[str, bool, bool]] = []  # name, begins an unwanted part, begins a main part
     unwanted = main = 0
     at = 0
-    raw: str | None = None
+    any_main = False
 
     def shut_last() -> tuple[str, bool, bool]:
         if by_class and by_class[-1][0] == len(open_) - 1:
@@ -131,9 +138,11 @@ def _lines(page: str, around: set[int], spared: Set[int]) -> list[tuple[str, boo
             _, drops, mains = shut_last()
             unwanted -= drops
             main -= mains
-        why = _unwanted(name, m[3], main > 0)
+        comment = name == "article" and any_main and "comment" in m[3].lower() and _comment(m[3])
+        why = 2 if comment else _unwanted(name, m[3], main > 0)
         drops = why == 2 or why == 1 and m.start() not in spared
-        if name in MAIN:
+        any_main |= name in MAIN and not drops and not unwanted
+        if name in MAIN and not comment:
             around.update(begin for _, begin in by_class)
             by_class.clear()
         if drops and why == 1:
@@ -163,26 +172,60 @@ def common(a: list[str], b: list[str]) -> set[int]:
         low += 1
     while end_a > low and end_b > low and a[end_a - 1] == b[end_b - 1]:
         end_a, end_b = end_a - 1, end_b - 1
-    found = {*range(low), *range(end_a, len(a))}
     shared = set(a[low:end_a]) & set(b[low:end_b])
     x = [i for i in range(low, end_a) if a[i] in shared]
-    y = [i for i in range(low, end_b) if b[i] in shared]
-    rows = [[0] * (len(y) + 1)]
-    for i in x:
-        before, row = rows[-1], [0]
-        for k, j in enumerate(y):
-            row.append(before[k] + 1 if a[i] == b[j] else max(before[k + 1], row[k]))
-        rows.append(row)
-    i, j = len(x), len(y)
+    number = {line: i for i, line in enumerate(shared)}
+    return {*range(low), *range(end_a, len(a)), *(x[i] for i in aligned([number[a[i]] for i in x], [number[line] for line in b[low:end_b] if line in shared]))}
+
+
+#: Bits of the table by which two lists are aligned at once; longer lists are halved first.
+TABLE_BITS = 1 << 27
+
+
+def _steps(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each prefix of b, the places of a as bits: 0 where the longest common subsequence with a's prefix gets longer.
+
+    One row of the usual table at a time, as a carry that runs through an integer (Hyyro, "Bit-parallel LCS-length
+    computation revisited", 2004).
+    """
+    places: dict[int, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        met = row & places.get(y, 0)
+        row = (row + met | row - met) & full
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Of longest common subsequences of b with each prefix of a."""
+    row = 0
+    for row in _steps(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def aligned(a: list[int], b: list[int]) -> list[int]:
+    """Places in a of a longest common subsequence with b; memory grows with the lists, not with their product."""
+    if not a or not b:
+        return []
+    if len(b) > 1 and len(a) * len(b) > TABLE_BITS:
+        mid = len(b) // 2
+        cut = int(np.argmax(_lengths(a, b[:mid]) + _lengths(a[::-1], b[:mid - 1 : -1])[::-1]))
+        return aligned(a[:cut], b[:mid]) + [cut + i for i in aligned(a[cut:], b[mid:])]
+    rows = list(_steps(a, b))
+    out, i, j = [], len(a), len(b)
     while i and j:
-        if a[x[i - 1]] == b[y[j - 1]]:
-            found.add(x[i - 1])
-            i, j = i - 1, j - 1
-        elif rows[i - 1][j] >= rows[i][j - 1]:
+        if rows[j - 1] >> i - 1 & 1:
             i -= 1
-        else:
-            j -= 1
-    return found
+            continue
+        j -= 1
+        if not j or rows[j - 1] >> i - 1 & 1:  # b's prefix without this line does not get as far
+            i -= 1
+            out.append(i)
+    return out[::-1]
 
 
 def kept_lines(found: list[tuple[str, bool]], near: list[list[tuple[str, bool]]], far: list[list[tuple[str, bool]]] = ()) -> list[int]:
@@ -271,7 +314,8 @@ def page_text(pages: DataFrame) -> DataFrame:
 
     Null html is empty. Among the pages of a host, sorted by path, equal pages in a row are one; each is compared with the
     nearest distinct pages before and after it. Ranges of the sorted table hold the distinct pages beyond their edges as
-    well, so results don't depend on where these lie. Repeated pages are each a row with the same text.
+    well, so results don't depend on where these lie. Repeated pages are each a row with the same text. Other columns are
+    ignored; an empty table gives an empty one.
     """
     spark = pages.sparkSession
     url = F.col("url")
@@ -302,7 +346,7 @@ def page_text(pages: DataFrame) -> DataFrame:
         near = by_batch(keyed.alias("p").join(halo.alias("h"), same, "left_semi"), parse, _ROW).drop("bucket")
         taken = near.alias("p").join(halo.alias("h"), [*same, F.col("h.digest") == F.col("p.digest")]).select(F.col("to").alias("bucket"), "p.*")
         rows = rows.union(taken.dropDuplicates(_KEY).withColumn("own", F.lit(False)))
-    dealt = rows.repartition("bucket").sortWithinPartitions(*_KEY)
+    dealt = rows.repartition(len(cuts) + 1, "bucket").sortWithinPartitions(*_KEY)
     return dealt.select("bucket", "host", "digest", "page_id", "url", "own", "lines", "inside").mapInArrow(_compared, "page_id long, url string, text string, n_chars long")
 
 
