@@ -28,11 +28,15 @@ class Limits:
 
     min_words: int = 50
     repeat_percent: int = 50
-    #: n-gram length -> most coverage by repeated windows after their first occurrence
+    #: n-gram length, from 1 -> most coverage by repeated windows after their first occurrence
     coverage: tuple[tuple[int, float], ...] = ((5, 0.30), (7, 0.28), (10, 0.26))
     line_coverage: float = 0.30
     symbols_per_word: float = 0.25
 
+    def __post_init__(self) -> None:
+        if any(k < 1 for k, _ in self.coverage):
+            raise ValueError("n-grams have one word at least")
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -96,7 +100,7 @@ def measure(text: str, lengths: tuple[int, ...]) -> tuple[int, int, int, int, in
         twice = again | np.isin(keys, keys[again]) if again.any() else again
         repeated = int(_spread(twice, 3, n).sum())
     share = dict.fromkeys(lengths, 0.0)
-    if repeated:  # a repeated longer window holds repeated windows of three words
+    if repeated or min(lengths, default=3) < 3:  # a repeated longer window holds repeated windows of three words
         length = np.fromiter((len(w.decode("utf-8", "replace")) for w in number), np.int64, len(number))[ids]
         total = max(1, int(length.sum()))
         for k, h in rolling_hashes(ids, lengths).items():
@@ -111,7 +115,8 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     Words are runs of characters other than space and U+0009 to U+000D. n_dup_lines counts lines with a word that equal
     an earlier line; n_repeat_words counts words in any three-word window found at least twice, its first place included.
     base_failed: fewer than min_words words, or more than repeat_percent % of them such words. kept: not base_failed, and
-    no coverage or symbol limit passed. A null or empty text has no words and fails. Repeated rows are judged each.
+    no coverage or symbol limit passed. A null or empty text has no words and fails. Repeated rows are judged each; other
+    columns are ignored; an empty table gives an empty one.
     """
     lengths = tuple(k for k, _ in limits.coverage)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_coverage double, " + ", ".join(f"coverage_{k} double" for k in lengths) + ", base_failed boolean, kept boolean"
@@ -131,7 +136,8 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows of docs whose text is kept, with all their columns, in one pass and without a shuffle."""
+    """The rows of docs whose text is kept, with all their columns, in one pass and without a shuffle; repeated rows each.
+    Columns of any name pass through; an empty table gives an empty one."""
     lengths = tuple(k for k, _ in limits.coverage)
 
     def good(text: str | None) -> bool:

@@ -13,12 +13,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docloom.llm import quality_net, quality_rules, secret_scan, shingle_join, source_mixing, url_filter, vector_dedup
+from docloom.llm import page_text as page_text_module
+from docloom.llm import piece_codec, quality_net, quality_rules, secret_scan, shingle_join, source_mixing, tables, url_filter, vector_dedup
+from docloom.llm import token_counts as token_counts_module
 from docloom.llm.components import components
 from docloom.llm.page_text import common, lines, main_text, page_text
 from docloom.llm.piece_codec import PieceCodec, piece_decode, piece_encode
 from docloom.llm.queries import ORACLES, queries
-from docloom.llm.token_counts import PrefixCounter, token_counts
+from docloom.llm.token_counts import PrefixCounter, fits, prefix_tables, token_counts, truncated
 
 DATA = "/root/testdata/sf0.001"
 BITS = ["a", "th", "he", " ", "  ", "\n", "\t", "'s", "'t", "12", "é", "ß", "漢", "🙂", "▁", "<s>", "<|endoftext|>", "\x1c", "\x85", "　", "\x00", "...", "aaaa", " " * 20, "\r\n"]
@@ -57,38 +59,100 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_token_counts(spark):
+def test_token_counts(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
     t, c = Tokenizer.from_file(path), PrefixCounter(open(path, encoding="utf-8").read())
-    for x in texts(1500):
-        assert sum(c.counts(x)) == len(t.encode(x, add_special_tokens=False).ids), repr(x)
+    size = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    for x in texts(1000):
+        assert c.count(x) == size(x), repr(x)
     word = "internationalisation" * 3
-    assert c.prefixes(word.encode()) == [len(t.encode(word[:i], add_special_tokens=False).ids) for i in range(len(word) + 1)]
-    text = " ".join(texts(40, 5)).replace("<|endoftext|>", "")
-    assert c.at_every_prefix(text)[-1] == sum(c.counts(text))
-    for budget in (0, 1, 7, 50):
-        assert sum(c.counts(text[: c.budget_end(text, budget)])) <= budget + 2
-    got = {r["doc_id"]: r for r in token_counts(frame(spark, [(1, None, "s"), (2, "", "s"), (3, "hi " * 2000, "s"), (3, "hi " * 2000, "s")]), path).collect()}
-    assert got[1]["n_tokens"] == got[2]["n_bytes"] == 0 and got[3]["over_limit"] and got[3]["cut_chars"] < 6000
-
-
-def test_piece_codec(spark):
+    assert c.prefixes(word.encode()) == [size(word[:i]) for i in range(len(word) + 1)]
+    for block in (1 << 16, 7):
+        monkeypatch.setattr(token_counts_module, "BLOCK", block)
+        for x in [*texts(250, 5), "it's we're don't ''s 'r", "a" + " " * 40 + "b <|endof<|endoftext|><|endoftext|>", "x  <|endoftext|> y"]:
+            want = [size(x[:i]) for i in range(len(x) + 1)]
+            assert c.at_every_prefix(x).tolist() == want, repr(x)
+            for budget in (0, 1, 3, 9):
+                assert c.measured(x, budget) == (want[-1], max(i for i, n in enumerate(want) if n <= budget))
+    docs = frame(spark, [(1, None, "s"), (2, "", "s"), (3, "hi " * 2000, "s"), (3, "hi " * 2000, "s"), (4, "don't  stop", "s")])
+    got = {r["doc_id"]: r for r in token_counts(docs, path).collect()}
+    assert got[1]["n_tokens"] == got[2]["n_bytes"] == 0 and got[3]["over_limit"] and size(("hi " * 2000)[: got[3]["cut_chars"]]) == 1024
+    tables = prefix_tables(docs, path)
+    assert {r["doc_id"]: list(r["counts"]) for r in tables.collect()}[4] == [size("don't  stop"[:i]) for i in range(1, 12)]
+    cut = {r["doc_id"]: r["n"] for r in tables.select("doc_id", fits(F.col("counts"), 1024).alias("n")).collect()}
+    short = {r["doc_id"]: r["text"] for r in truncated(docs, path, 1024).collect()}
+    assert cut == {i: r["cut_chars"] for i, r in got.items()} and short[1] is None and all(len(short[i] or "") == n for i, n in cut.items())
+
+
+def test_piece_codec(spark, monkeypatch):
     import sentencepiece
 
     path = P.path("piece_bpe_32k.model")
     s, c = sentencepiece.SentencePieceProcessor(model_file=path), PieceCodec(open(path, "rb").read())
-    for x in [*texts(1500, 3), "abcthe" * 2000, "漢" * 500 + " " * 300]:
+    for x in [*texts(1000, 3), "abcthe" * 2000, "漢" * 500 + " " * 300]:
         ids = c.encode(x)
         assert ids == s.encode(x) and c.decode(ids) == s.decode(ids), repr(x)
-    long = "streamingviterbi" * 40
-    assert list(c.viterbi(long)) == [c.names[i] for i in s.encode(long)] or c.encode(long) == s.encode(long)
+    fresh = PieceCodec(open(path, "rb").read())
+    monkeypatch.setattr(piece_codec, "BLOCK", 8)
+    monkeypatch.setattr(piece_codec, "SLICE", 5)
+    for x in [*texts(400, 4), "streamingviterbi" * 40, "漢" * 50]:
+        assert fresh.encode(x) == s.encode(x), repr(x)
     docs = frame(spark, [(1, None, "s"), (2, "Hello  you\n", "s"), (3, "a▁b", "s")])
     enc = piece_encode(docs, path)
     got = {r["doc_id"]: r for r in enc.collect()}
     assert got[1]["ids"] == [] and got[2]["round_trip"] and not got[3]["round_trip"]
     assert {r["doc_id"]: r["text"] for r in piece_decode(enc, path).collect()} == {1: "", 2: "Hello  you\n", 3: "a b"}
+    for wrong in (("ids",), ("doc_id", "doc_id"), ("nothing",)):
+        with pytest.raises(ValueError):
+            piece_encode(docs.withColumn("ids", F.lit(1)), path, keep=wrong)
+    with pytest.raises(ValueError):
+        piece_decode(enc, path, keep=("text",))
+
+
+def test_viterbi_streams():
+    """Pieces are given out when all paths meet: a little behind the window, however long the text; all of them in order."""
+    c = PieceCodec(open(P.path("piece_bpe_32k.model"), "rb").read())
+    r = random.Random(5)
+    for x in ["a" * 3000, "abcthe" * 500, "internationalization" * 60 + "xqzj" * 90, "漢" * 300, "".join(r.choices("etaoinshrdlu", k=1500))]:
+        fed = given = 0
+        late = []
+
+        def feed():
+            nonlocal fed
+            for ch in x:
+                fed += 1
+                yield ch
+
+        out = []
+        for piece in c.viterbi(feed()):
+            out.append(piece)
+            given += len(piece)
+            late.append(fed - given)
+        assert out == c.merged(x) and max(late) <= 6 * c.longest
+
+
+def test_viterbi_runs_on_all_texts(spark, monkeypatch):
+    """Every distinct stretch of the table goes through the search."""
+    c = PieceCodec(open(P.path("piece_bpe_32k.model"), "rb").read())
+    seen, search = set(), c.viterbi
+
+    def counted(blocks):
+        blocks = list(blocks)
+        seen.add("".join(blocks))
+        return search(blocks)
+
+    monkeypatch.setattr(c, "viterbi", counted)
+    every = [t for (t,) in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect() if t]
+    want = set()
+    for t in every:
+        c.encoded(t)
+        for block in c.blocks(t):
+            for chunk in block:
+                cuts = [0, *(i for i, p in enumerate(zip(chunk, chunk[1:]), 1) if p not in c.joined), len(chunk)]
+                want |= {chunk[a:b] for a, b in zip(cuts, cuts[1:])}
+    assert seen == want
 
 
 def brute_measures(t):
@@ -106,16 +170,26 @@ def brute_measures(t):
 def test_quality_rules(spark):
     r = random.Random(4)
     some = ["".join(r.choices(["a", "b", " ", "\n", "é#", " x y z ", "\x1c"], k=r.randint(0, 200))) for _ in range(300)]
+    some += ["a b c a b d " * 30, "a b " * 3, "x " * 200, "one two three one two"]
     for t in some:
-        assert quality_rules.measure(t, (5,))[:5] == brute_measures(t)
-
+        found = quality_rules.measure(t, tuple(range(1, 12)))
+        assert found[:5] == brute_measures(t)
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
-        grams, seen, covered = [tuple(w[i : i + 5]) for i in range(len(w) - 4)], set(), set()
-        for i, g in enumerate(grams):
-            covered |= set(range(i, i + 5)) if g in seen else set()
-            seen.add(g)
-        share = sum(len(w[i]) for i in covered) / max(1, sum(map(len, w)))
-        assert abs(quality_rules.measure(t, (5,))[6][5] - share) < 1e-9
+        for k, share in found[6].items():
+            seen, covered = set(), set()
+            for i in range(len(w) - k + 1):
+                g = tuple(w[i : i + k])
+                covered |= set(range(i, i + k)) if g in seen else set()
+                seen.add(g)
+            assert abs(share - sum(len(w[i]) for i in covered) / max(1, sum(map(len, w)))) < 1e-9
+        lines, dup = set(), 0
+        for line in t.split("\n"):
+            inside = sum(map(len, re.findall(r"[^\x20\x09-\x0D]+", line)))
+            dup += inside * (line in lines)
+            lines.add(line)
+        assert abs(found[5] - dup / max(1, sum(map(len, w)))) < 1e-9
+    with pytest.raises(ValueError):
+        quality_rules.Limits(coverage=((0, 0.5),))
     good, bad = " ".join(f"word{i}" for i in range(80)), "spam " * 100
     docs = frame(spark, [(1, good, "s"), (2, bad, "s"), (3, None, "s"), (4, "", "s"), (5, good.replace(" ", " ### "), "s"), (1, good, "s")])
     got = {x["doc_id"]: x for x in quality_rules.quality_rules(docs).collect()}
@@ -357,6 +431,70 @@ def test_quality_net(spark):
         assert abs((up - down) / (2 * e) - g[at]) < 0.05 * abs(g[at]) + 2e-4, k
 
 
+def plain_score(net, text):
+    """The score by plain loops over filter positions and chunks."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    n_parts = (len(text) + quality_net.WIDTH) // quality_net.PART + 1
+    data = text + b" " * ((n_parts + 1) * quality_net.PART)
+    parts = []
+    for i in range(n_parts):
+        best = np.full(quality_net.FILTERS, -np.inf)
+        for at in range(i * quality_net.PART, (i + 1) * quality_net.PART, quality_net.STEP):
+            best = np.maximum(best, p["embed"][list(data[at : at + quality_net.WIDTH])].ravel() @ p["filter"] + p["bias"])
+        parts.append(np.maximum(best, 0))
+    hidden, first = [], 0
+    while True:
+        hidden.append(np.tanh(np.max(parts[first : first + quality_net.PARTS], 0) @ p["hidden"] + p["hidden_bias"]))
+        if first + quality_net.PARTS >= n_parts:
+            break
+        first += quality_net.HOP
+    z = np.concatenate([np.mean(hidden, 0), np.max(hidden, 0)]) @ p["out"] + p["out_bias"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_depend_on_the_text_alone(spark, monkeypatch):
+    r = random.Random(3)
+    net = quality_net.Net(2)
+    for k in net.p:
+        net.p[k] = net.p[k] * 3
+    some = [bytes(r.choices(range(32, 256), k=r.choice([0, 1, 40, 52, 53, 64, 199, 1000, 5000]))) for _ in range(60)]
+    exact = net.precise()
+    alone = [exact.score(x) for x in some]
+    assert np.allclose(alone, [plain_score(net, x) for x in some], atol=2e-9) and len(set(alone)) > 30
+    monkeypatch.setattr(quality_net, "STRIP", 3)
+    assert np.allclose([exact.score(x) for x in some], alone, atol=2e-9)
+    monkeypatch.undo()
+    # training's pass over several texts agrees, whatever stands behind a text
+    for order in ([*range(60)], [*range(59, -1, -1)], r.sample(range(60), 60)):
+        z = net.forward([some[i] for i in order])["z"]
+        assert np.allclose(1 / (1 + np.exp(-z.astype(float))), [alone[i] for i in order], atol=1e-4)
+    rows = [(i, "".join(r.choices("abc d\né", k=r.randint(0, 400))), "s") for i in range(80)]
+    rows += [(1000 + i, t, "s") for i, t, _ in rows]
+    want = None
+    for size in ("1", "7", "50", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        for _ in range(2):
+            r.shuffle(rows)
+            got = {x["doc_id"]: x["score"] for x in quality_net.score(frame(spark, rows).repartition(3), net).collect()}
+            want = want or got
+            assert got == want and all(got[i] == got[i + 1000] for i in range(80))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_quality_sample(spark):
+    docs = frame(spark, [(i, f"{i} " * i, "s") for i in range(1, 60)] + [(7, "b", "s"), (7, "a", "s"), (8, None, "s"), (None, "x", "s")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 50)] + [(7, 0), (99, 1), (5, 3), (None, 1)], "doc_id long, quality int")
+    whole = quality_net.sample(docs, labels, quality_net.Training(texts=1000))
+    assert len(whole[0]) == 49 and b"7 " * 7 in whole[0] and b"a" not in whole[0] and max(map(len, whole[0])) == 49 * 3
+    again = quality_net.sample(docs.repartition(7), labels.repartition(3), quality_net.Training(texts=1000))
+    assert whole[0] == again[0] and (whole[1] == again[1]).all()
+    few = quality_net.sample(docs, labels, quality_net.Training(texts=20, sample_bytes=400))
+    assert 1 <= len(few[0]) < 20 and sum(map(len, few[0])) <= 400 and set(few[0]) <= set(whole[0])
+    assert len(quality_net.sample(docs, labels, quality_net.Training(sample_bytes=0))[0]) == 1
+    empty = quality_net.fit(docs.limit(0), labels.limit(0))
+    assert quality_net.score(docs.limit(0), empty).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
