@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom import __version__
+from docloom.functions.entities import PATTERNS, find_entities
 from docloom.functions.fields import extracted, tables
 from docloom.operators import vectors as V
-from docloom.operators.chunking import _recursive_chunks, _sentence_chunks, sentence_chunks
+from docloom.operators.chunking import Sentence, Strategy, _recursive_chunks, _sentence_chunks, chunk
 from docloom.operators.reduce import reduce_documents
 from docloom.operators.textrank import Options
-from docloom.sources.parse import full_text, parsed, read_documents
+from docloom.providers import EchoGenerator, EmbeddingProvider, Generator, HashEmbedder
+from docloom.sources.parse import lines_text, parsed, read_documents
+
+KINDS = tuple(PATTERNS)
 
 
 def version() -> str:
@@ -29,7 +32,7 @@ def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def extract_documents(df: DataFrame, with_tables: bool = True, with_fields: bool = True, with_entities: bool = True) -> DataFrame:
     """df(doc_id, content) with format, result (tables, key_values, entities, field_count, confidence, provider) and error."""
     docs = read_documents(df)
-    return docs.select("doc_id", "format", extracted(full_text(F.col("doc")), with_tables, with_fields, with_entities).alias("result"), F.col("doc.error").alias("error"))
+    return docs.select("doc_id", "format", extracted(lines_text(F.col("format"), F.col("content"), F.col("doc")), with_tables, with_fields, with_entities).alias("result"), F.col("doc.error").alias("error"))
 
 
 def to_json(df: DataFrame, pretty: bool = True) -> DataFrame:
@@ -77,39 +80,60 @@ class Rag:
     """Questions answered from the passages of documents.
 
     chunks: (vec_id, doc_id, text, start_offset), vectors: (vec_id, embedding). vec_id is a hash of the document's id and
-    the chunk's index. Both are plain DataFrames, so they can be written and read again between runs.
+    the chunk's index. Both are plain DataFrames, so they can be written and read again between runs. embedder and
+    generator may be the user's own.
     """
 
     chunks: DataFrame
     vectors: DataFrame
-    dim: int = V.DIM
+    embedder: EmbeddingProvider = HashEmbedder()
+    generator: Generator = EchoGenerator()
     budget: int = 4000
 
     @classmethod
-    def ingest(cls, docs: DataFrame, chunks: Callable[[Column], Column] = sentence_chunks, dim: int = V.DIM, budget: int = 4000) -> Rag:
-        """docs: (doc_id, text). chunks: from a text to its array of chunks."""
-        made = docs.select("doc_id", F.explode(chunks(F.col("text"))).alias("c"))
+    def ingest(cls, docs: DataFrame, strategy: Strategy = Sentence(), embedder: EmbeddingProvider = HashEmbedder(), generator: Generator = EchoGenerator(), budget: int = 4000) -> Rag:
+        """docs: (doc_id, text). strategy: how texts are cut."""
+        made = docs.select("doc_id", F.explode(chunk(F.col("text"), strategy)).alias("c"))
         made = made.select(F.xxhash64("doc_id", "c.index").alias("vec_id"), "doc_id", "c.text", "c.start_offset")
-        return cls(made, V.embed_rows(made, ["vec_id"], dim=dim), dim, budget)
+        return cls(made, made.select("vec_id", embedder.column(F.col("text")).alias("embedding")), embedder, generator, budget)
 
     def add(self, other: Rag) -> Rag:
-        if other.dim != self.dim:
+        if other.embedder.dim != self.embedder.dim:
             raise ValueError("vectors have different lengths")
-        return Rag(self.chunks.unionByName(other.chunks), self.vectors.unionByName(other.vectors), self.dim, self.budget)
+        return replace(self, chunks=self.chunks.unionByName(other.chunks), vectors=self.vectors.unionByName(other.vectors))
+
+    def clear(self) -> Rag:
+        """The same without any passage."""
+        return replace(self, chunks=self.chunks.limit(0), vectors=self.vectors.limit(0))
 
     def chunk_count(self) -> int:
         return self.chunks.count()
 
     def retrieve(self, questions: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
         """(query_id, vec_id, score, rank, doc_id, text, start_offset) of the k best passages; questions: (query_id, question)."""
-        asked = V.embed_rows(questions, ["query_id"], text="question", dim=self.dim)
+        asked = questions.select("query_id", self.embedder.column(F.col("question")).alias("embedding"))
         return V.top_k(asked, self.vectors, k, min_score).join(self.chunks, "vec_id")
 
+    def rerank(self, results: DataFrame, weight: float = 0.7) -> DataFrame:
+        """retrieve()'s rows in an order that weighs closeness to the question against closeness among themselves."""
+        ordered = V.rerank_mmr(results.select("query_id", "vec_id", "score", "rank").join(self.vectors, "vec_id"), weight)
+        return ordered.join(self.chunks, "vec_id")
+
+    def answer(self, questions: DataFrame, results: DataFrame) -> DataFrame:
+        """(query_id, answer, sources, n_sources, provider), one row per question, from retrieve()'s rows."""
+        found = V.sources(results, self.budget)
+        rows = questions.join(found, "query_id", "left")
+        told = self.generator.column(F.col("question"), F.col("sources"))
+        none = F.array().cast(found.schema["sources"].dataType)
+        return rows.select("query_id", told.alias("answer"), F.coalesce("sources", none).alias("sources"), F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"), F.lit(self.generator.name).alias("provider"))
+
     def ask(self, questions: DataFrame, k: int) -> DataFrame:
-        """(query_id, answer, n_sources, provider), one row per question."""
-        found = V.context(self.retrieve(questions, k), self.budget)
-        told = V.answer(F.col("question"), F.col("context"), F.col("n_sources"))
-        return questions.join(found, "query_id", "left").select("query_id", told.alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.lit("local-echo").alias("provider"))
+        return self.answer(questions, self.retrieve(questions, k))
+
+    def ask_with_retrieval(self, questions: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """ask(), and the passages that retrieval found."""
+        found = self.retrieve(questions, k)
+        return self.answer(questions, found), found
 
 
 _CHUNK = "text string, index int, start_offset int, token_estimate long"
@@ -125,8 +149,17 @@ class _RecursiveChunks:
         yield from _recursive_chunks(text or "", tuple(separators), max_tokens)
 
 
+class _Entities:
+    def eval(self, text: str):
+        data = text or ""
+        for start, end, kind in find_entities(data):
+            place = len(data[:start].encode())
+            yield KINDS[kind], data[start:end], place, place + len(data[start:end].encode())
+
+
 def register(spark: SparkSession, prefix: str = "doc_") -> None:
-    """SQL names: table functions <prefix>sentence_chunks, <prefix>recursive_chunks; functions <prefix>parse, <prefix>tables."""
+    """SQL names: table functions <prefix>sentence_chunks, <prefix>recursive_chunks, <prefix>entities; functions <prefix>parse, <prefix>tables."""
+    spark.udtf.register(f"{prefix}entities", F.udtf(_Entities, returnType="entity_type string, value string, start int, end int"))
     spark.udtf.register(f"{prefix}sentence_chunks", F.udtf(_SentenceChunks, returnType=_CHUNK))
     spark.udtf.register(f"{prefix}recursive_chunks", F.udtf(_RecursiveChunks, returnType=_CHUNK))
     spark.udf.register(f"{prefix}parse", parsed)

@@ -95,6 +95,27 @@ def column_count(table: Column) -> Column:
     return F.array_max(F.transform(table["rows"], F.size))
 
 
+def header(table: Column) -> Column:
+    """The header's cells, or null."""
+    return F.when(table["has_header"], F.get(table["rows"], F.lit(0)))
+
+
+def data_rows(table: Column) -> Column:
+    """The rows below the header."""
+    first = F.when(table["has_header"], 2).otherwise(1)
+    return F.slice(table["rows"], first, F.size(table["rows"]))
+
+
+def row_count(table: Column) -> Column:
+    return F.size(table["rows"])
+
+
+def nothing_extracted(provider: str) -> Column:
+    """extracted() of a text without tables, fields and entities, with confidence 0."""
+    none = F.struct(F.array().cast(TABLE).alias("tables"), F.array().cast(f"array<{FIELD}>").alias("key_values"), F.array().cast("array<struct<entity_type:string,value:string,start:int,end:int>>").alias("entities"))
+    return F.struct(none["tables"].alias("tables"), none["key_values"].alias("key_values"), none["entities"].alias("entities"), F.lit(0).alias("field_count"), F.lit(0.0).alias("confidence"), F.lit(provider).alias("provider"))
+
+
 def extracted(text: Column, with_tables: bool = True, with_fields: bool = True, with_entities: bool = True) -> Column:
     """struct(tables, key_values, entities, field_count, confidence, provider); a part that isn't wanted is empty and not computed."""
     from docloom.functions.entities import entities

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -130,3 +131,51 @@ def recursive_chunks(text: Column, separators: tuple[str, ...] = ("\n\n", "\n",
         return texts.map(lambda t: _recursive_chunks(t or "", separators, max_tokens))
 
     return run(text)
+
+
+@dataclass(frozen=True)
+class Fixed:
+    size: int
+    overlap: int = 0
+
+    def column(self, text: Column) -> Column:
+        return fixed(text, self.size, self.overlap)
+
+
+@dataclass(frozen=True)
+class Sentence:
+    max_tokens: int = 500
+
+    def column(self, text: Column) -> Column:
+        return sentence_chunks(text, self.max_tokens)
+
+
+@dataclass(frozen=True)
+class Paragraph:
+    def column(self, text: Column) -> Column:
+        return paragraphs(text)
+
+
+@dataclass(frozen=True)
+class Recursive:
+    separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")
+    max_tokens: int = 500
+
+    def column(self, text: Column) -> Column:
+        return recursive_chunks(text, self.separators, self.max_tokens)
+
+
+@dataclass(frozen=True)
+class Semantic:
+    target_tokens: int = 500
+
+    def column(self, text: Column) -> Column:
+        return semantic_chunks(text, self.target_tokens)
+
+
+Strategy = Fixed | Sentence | Paragraph | Recursive | Semantic
+
+
+def chunk(text: Column, strategy: Strategy = Sentence()) -> Column:
+    """The chunks of a text by a strategy that is a value."""
+    return strategy.column(text)

@@ -1,38 +1,19 @@
-"""Reduction of documents: compression, metrics, rendering, and the whole of it over bytes."""
+"""Reduction of documents over bytes: parse, summarise, compress, render; at one level or several from one parse."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docloom.functions.text import sentences, word_count
-from docloom.operators.textrank import LEVELS, Options, reduced, sentence_scores
+from docloom.functions.text import word_count
+from docloom.operators.compression import compress_sentences, compressed
+from docloom.operators.textrank import LEVELS, REDUCED, Options, picked, ranked, summary_places
+from docloom.providers import AbstractiveProvider, Parsers
 from docloom.sources.parse import full_text, read_documents
 
-# Phrases that compression takes out, in either case.
-FILLERS = ("in order to", "due to the fact that", "at this point in time", "it is important to note that", "as a matter of fact", "for the most part", "in other words", "basically", "actually", "essentially", "literally", "needless to say")
-
-
-def without_fillers(text: Column) -> Column:
-    pattern = r"(?i)\b(?:" + "|".join(FILLERS) + r")\b,?\s*"
-    return F.trim(F.regexp_replace(F.regexp_replace(text, pattern, ""), r"\s+", " "))
-
-
-def compressed(text: Column, ratio: float) -> Column:
-    """Fillers out, then, while the text has more than ratio of its original words, its lowest-scored sentence out; one stays."""
-    clean = without_fillers(text)
-    most = F.ceil(word_count(text) * F.lit(ratio))
-    parts = F.zip_with(sentences(clean), sentence_scores(clean), lambda s, r: F.struct(F.round(-r, 9).alias("r"), s.alias("s")))
-    numbered = F.array_sort(F.transform(parts, lambda p, i: F.struct(p["r"].alias("r"), i.alias("i"), p["s"].alias("s"), word_count(p["s"]).alias("n"))))
-    first = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<i:int,s:string>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        fits = (acc["n"] + p["n"] <= most) | (F.size(acc["out"]) == 0)
-        return F.struct((acc["n"] + p["n"]).alias("n"), F.when(fits, F.concat(acc["out"], F.array(F.struct(p["i"].alias("i"), p["s"].alias("s"))))).otherwise(acc["out"]).alias("out"))
-
-    kept = F.array_sort(F.aggregate(numbered, first, step)["out"])
-    return F.array_join(F.transform(kept, lambda k: k["s"]), " ")
-
 
 def render(summary: Column, key_points: Column, kind: str) -> Column:
     """plaintext: summary and listed points; markdown: with a bold caption; json: the summary alone."""
@@ -44,15 +25,68 @@ def render(summary: Column, key_points: Column, kind: str) -> Column:
     return F.when(F.size(key_points) > 0, F.concat(summary, F.lit("\n\nKey points:\n"), listed, F.lit("\n"))).otherwise(summary)
 
 
+def export_markdown(title: Column, summary: Column, key_points: Column) -> Column:
+    """A page of its own: title (Summary without one), summary, and a section of key points."""
+    listed = F.array_join(F.transform(key_points, lambda k: F.concat(F.lit("- "), k)), "\n")
+    return F.concat(F.lit("# "), F.coalesce(title, F.lit("Summary")), F.lit("\n\n"), summary, F.lit("\n\n## Key points\n"), listed)
+
+
 def metrics(original: Column, reduced_words: Column) -> Column:
     """struct(original_words, reduced_words, retention_ratio, reduction_percent), zeros where there was nothing."""
     ratio = F.when(original > 0, reduced_words / original).otherwise(0.0)
     return F.struct(original.alias("original_words"), reduced_words.alias("reduced_words"), ratio.alias("retention_ratio"), F.when(original > 0, (1 - ratio) * 100).otherwise(0.0).alias("reduction_percent"))
 
 
-def reduce_documents(df: DataFrame, options: Options = Options(), kind: str = "plaintext", hint: str | None = None) -> DataFrame:
-    """df(doc_id, content) with format, title, output, key_points, keywords, metrics and error; parse, summarise, compress, render."""
-    docs = read_documents(df, hint=hint).withColumn("text", full_text(F.col("doc")))
-    r = docs.withColumn("r", reduced(F.col("text"), options)).withColumn("summary", compressed(F.col("r.summary"), max(LEVELS[options.level][0], 0.5)))
-    measured = metrics(word_count(F.col("text")), word_count(F.col("summary")))
-    return r.select("doc_id", "format", F.coalesce("doc.title", "r.title").alias("title"), render(F.col("summary"), F.col("r.key_points"), kind).alias("output"), "r.key_points", "r.keywords", measured.alias("metrics"), F.col("doc.error").alias("error"))
+LEVEL = T.StructType([T.StructField("level", T.StringType()), *REDUCED.fields, T.StructField("compressed", T.StringType())])
+
+
+def _ratio(o: Options) -> float:
+    """A summary keeps the level's share of its words in compression, half at least."""
+    return max(LEVELS[o.level][0], 0.5)
+
+
+def reduced_levels(text: Column, options: Sequence[Options]) -> Column:
+    """An array with one struct for each of options: the level, what picked() has, and the compressed summary. The text is
+    split and ranked once; compression drops the summary's sentences that rank lowest in the text."""
+
+    def one(text: str) -> list[dict]:
+        r, out = {}, []
+        for o in options:
+            found = r[o.weighting] = r.get(o.weighting) or ranked(text, o.weighting)
+            places = summary_places(found, o)
+            short = compress_sentences([found.sentences[i] for i in places], [float(found.scores[i]) for i in places], _ratio(o))
+            out.append({"level": o.level, **picked(found, o), "compressed": short})
+        return out
+
+    @F.pandas_udf(T.ArrayType(LEVEL))
+    def run(texts):
+        return texts.map(lambda t: one(t or ""))
+
+    return run(text)
+
+
+def reduce_levels(df: DataFrame, options: Sequence[Options], kind: str = "plaintext", hint: str | None = None, parsers: Parsers | None = None, abstractive: AbstractiveProvider | None = None) -> DataFrame:
+    """reduce_documents() at several levels from one parse: a row for each document and level."""
+    docs = read_documents(df, hint=hint, parsers=parsers)
+    rows = docs.select("doc_id", "format", F.col("doc.title").alias("doc_title"), F.col("doc.error").alias("error"), full_text(F.col("doc"), ("code",)).alias("text"))
+    rows = rows.select("*", F.explode(reduced_levels(F.col("text"), options)).alias("r")).drop("text")
+    summary = F.col("r.compressed")
+    if abstractive is not None:
+        parts = [F.when(F.col("r.level") == o.level, compressed(F.col("told"), _ratio(o))) for o in options]
+        rows = rows.withColumn("told", abstractive.column(F.col("r.summary")))
+        summary = F.coalesce(*parts)
+    rows = rows.withColumn("summary", summary)
+    measured = F.struct(
+        metrics(F.col("r.original_words"), word_count(F.col("summary"))).alias("m"),
+        F.col("r.original_sentences").alias("original_sentences"), F.size("r.key_points").cast("long").alias("key_points"), F.size("r.keywords").cast("long").alias("keywords"),
+    )
+    flat = F.struct(*(measured["m"][c].alias(c) for c in ("original_words", "reduced_words", "retention_ratio", "reduction_percent")), *(measured[c].alias(c) for c in ("original_sentences", "key_points", "keywords")))
+    return rows.select("doc_id", F.col("r.level").alias("level"), "format", F.coalesce("doc_title", "r.title").alias("title"), "summary", render(F.col("summary"), F.col("r.key_points"), kind).alias("output"), "r.key_points", "r.keywords", flat.alias("metrics"), "error")
+
+
+def reduce_documents(df: DataFrame, options: Options = Options(), kind: str = "plaintext", hint: str | None = None, parsers: Parsers | None = None, abstractive: AbstractiveProvider | None = None) -> DataFrame:
+    """df(doc_id, content) with format, title, summary, output, key_points, keywords, metrics and error; parse, summarise, compress, render.
+
+    Code blocks have no part in a summary. abstractive: rewrites the extracted summary before it is compressed.
+    """
+    return reduce_levels(df, [options], kind, hint, parsers, abstractive).drop("level")

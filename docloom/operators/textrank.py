@@ -85,31 +85,53 @@ def order(scores: np.ndarray) -> np.ndarray:
     return np.argsort(-np.round(scores, 9), kind="stable")
 
 
-def reduce_text(text: str, o: Options) -> dict:
-    """title, summary, key_points, keywords and counts of one text."""
-    ratio, points, keys = LEVELS[o.level]
+@dataclass(frozen=True)
+class Ranked:
+    """What all levels share of one text."""
+
+    title: str | None
+    sentences: list[str]
+    bags: list[list[str]]
+    scores: np.ndarray
+    words: np.ndarray
+
+
+def ranked(text: str, weighting: str = "tf") -> Ranked:
     m = re.search(r"(?m)^#\s+(.+)$", text)
     sentences = split(text)
     bags = [terms(s) for s in sentences]
-    n = len(sentences)
-    scores = rank(bags, o.weighting)
-    words = np.array([len(s.split()) for s in sentences], np.int64)
-    target = max(1, int(np.floor(n * ratio + 0.5))) if o.max_sentences is None else o.max_sentences
-    level = n > 0 and bool((np.round(scores, 9) == np.round(scores[0], 9)).all())
-    able = words >= o.min_sentence_words
-    picked = sorted([i for i in order(scores) if able[i] or level][:target])
+    return Ranked(m[1].strip() if m else None, sentences, bags, rank(bags, weighting), np.array([len(s.split()) for s in sentences], np.int64))
+
+
+def summary_places(r: Ranked, o: Options) -> list[int]:
+    """The sentences of a summary, in order."""
+    n = len(r.sentences)
+    target = max(1, int(np.floor(n * LEVELS[o.level][0] + 0.5))) if o.max_sentences is None else o.max_sentences
+    able = r.words >= o.min_sentence_words
+    level = n > 0 and bool((np.round(r.scores, 9) == np.round(r.scores[0], 9)).all())
+    return sorted([int(i) for i in order(r.scores) if able[i] or level][:target])
+
+
+def picked(r: Ranked, o: Options) -> dict:
+    """title, summary, key_points, keywords and counts at one level."""
+    _, points, keys = LEVELS[o.level]
+    n, scores = len(r.sentences), r.scores
     combined = 0.7 * scores / max(1e-9, scores.max(initial=0)) + 0.3 * (1 - np.arange(n) / max(1, n)) if n else scores
-    best = sorted([i for i in order(combined) if able[i]][: points if o.max_key_points is None else o.max_key_points])
-    totals = Counter(t for bag in bags for t in bag)
+    best = sorted([i for i in order(combined) if r.words[i] >= o.min_sentence_words][: points if o.max_key_points is None else o.max_key_points])
+    totals = Counter(t for bag in r.bags for t in bag)
     keywords = [t for t, _ in sorted(totals.items(), key=lambda x: -x[1])][: keys if o.max_keywords is None else o.max_keywords]
-    summary = " ".join(sentences[i] for i in picked)
-    original, reduced = int(words.sum()), len(summary.split())
+    summary = " ".join(r.sentences[i] for i in summary_places(r, o))
+    original, reduced = int(r.words.sum()), len(summary.split())
     return {
-        "title": m[1].strip() if m else None, "summary": summary, "key_points": [sentences[i] for i in best], "keywords": keywords,
+        "title": r.title, "summary": summary, "key_points": [r.sentences[i] for i in best], "keywords": keywords,
         "original_words": original, "reduced_words": reduced, "reduction_percent": (1 - reduced / original) * 100 if original else 0.0, "original_sentences": n,
     }
 
 
+def reduce_text(text: str, o: Options) -> dict:
+    return picked(ranked(text, o.weighting), o)
+
+
 REDUCED = T.StructType(
     [T.StructField("title", T.StringType()), T.StructField("summary", T.StringType()), T.StructField("key_points", T.ArrayType(T.StringType())), T.StructField("keywords", T.ArrayType(T.StringType()))]
     + [T.StructField("original_words", T.LongType()), T.StructField("reduced_words", T.LongType()), T.StructField("reduction_percent", T.DoubleType()), T.StructField("original_sentences", T.LongType())]

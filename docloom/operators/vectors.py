@@ -2,43 +2,71 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from docloom.functions.text import embed_terms, fnv1a
+from pyspark.sql import types as T
 
 DIM = 256
-#: Questions are sent to every task up to this number.
-MOST_QUERIES = 10_000
+#: Questions that are held against the vectors in one pass; scores that one product makes; terms whose hash a worker keeps.
+BLOCK_QUERIES, PRODUCT, KNOWN_TERMS = 10_000, 4_000_000, 200_000
+
+_SPLIT = regex.compile(r"[^\p{L}\p{N}]+").split
+_hashes: dict[str, int] = {}
+
+
+def fnv1a(data: bytes) -> int:
+    """64-bit FNV-1a."""
+    h = 0xCBF29CE484222325
+    for c in data:
+        h = (h ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+def _term_hash(word: str) -> int:
+    """-1 for a term of one byte or none."""
+    if len(_hashes) >= KNOWN_TERMS:
+        _hashes.clear()
+    data = word.encode("utf-8", "surrogatepass")
+    h = _hashes[word] = fnv1a(data) if len(data) > 1 else -1
+    return h
+
+
+def hash_vector(text: str, dim: int) -> np.ndarray:
+    """Unit vector of signed term counts by hash bucket, in single precision; zeros for a text without terms.
+
+    Terms are lower-case runs of letters and digits of more than one byte; bit 32 of a term's hash gives its sign.
+    """
+    known = _hashes.get
+    hashed = [h if (h := known(w)) is not None else _term_hash(w) for w in _SPLIT(text.lower())]
+    h = np.array([x for x in hashed if x >= 0], np.uint64)
+    signs = 1.0 - 2.0 * ((h >> np.uint64(32)) & np.uint64(1))
+    sums = np.bincount((h % np.uint64(dim)).astype(np.int64), signs, dim)
+    norm = np.sqrt((sums * sums).sum())
+    return (sums / norm if norm > 0 else sums).astype(np.float32)
 
 
 def hash_embed(text: Column, dim: int = DIM) -> Column:
-    """Unit vector of signed term counts by hash bucket, in single precision; zeros for a text without terms."""
+    """hash_vector() of each text, as one Arrow function: no shuffle, each distinct term hashed once by a worker."""
 
-    def place(word: Column) -> Column:
-        h = fnv1a(word)
-        bucket = (((h["hi"] % dim) * (2**32 % dim)) + h["lo"] % dim) % dim
-        return F.struct(bucket.cast("int").alias("b"), F.when(h["hi"].bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(-1.0).alias("s"))
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(texts: pa.Array) -> pa.Array:
+        made = [hash_vector(t or "", dim) for t in texts.to_pylist()]
+        flat = np.concatenate(made) if made else np.empty(0, np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32)), pa.array(flat))
 
-    placed = F.transform(embed_terms(F.coalesce(text, F.lit(""))), place)
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(placed, lambda p: p["b"] == i), F.lit(0.0), lambda a, p: a + p["s"]))
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    return run(text)
 
 
 def embed_rows(df: DataFrame, key: list[str], text: str = "text", dim: int = DIM) -> DataFrame:
-    """Rows of key with `embedding`: each distinct term of the table is hashed once, sums are pre-aggregated."""
-    words = df.select(*key, F.explode(embed_terms(F.col(text))).alias("w")).groupBy(*key, "w").agg(F.count("*").alias("n"))
-    h = fnv1a(F.col("w"))
-    hashed = words.select("w").distinct().select("w", h.alias("h"))
-    bucket = ((F.col("h.hi") % dim) * (2**32 % dim) + F.col("h.lo") % dim) % dim
-    sign = F.when(F.col("h.hi").bitwiseAND(F.lit(1)) == 0, 1).otherwise(-1)
-    sums = words.join(hashed, "w").groupBy(*key, bucket.cast("int").alias("b")).agg(F.sum(F.col("n") * sign).cast("double").alias("s"))
-    packed = sums.filter("s <> 0").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("b", "s"))).alias("m"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    filled = df.select(*key).join(packed, key, "left")
-    return filled.select(*key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)).cast("float")).alias("embedding"))
+    """Rows of key with `embedding`."""
+    return df.select(*key, hash_embed(F.col(text), dim).alias("embedding"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,43 +87,75 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda acc, d: acc + d * d))
 
 
+def _stacked(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of questions; zeros stay zeros."""
+    stack = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
+    norms = np.linalg.norm(stack, axis=1, keepdims=True)
+    return np.array([r["query_id"] for r in rows]), np.divide(stack, norms, out=np.zeros_like(stack), where=norms > 0)
+
+
+def _best(question: np.ndarray, score: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of candidates, the k best of each question; scores that agree to twelve places go by vec_id."""
+    order = np.lexsort((vec, -np.round(score, 12), question))
+    question, score, vec = question[order], score[order], vec[order]
+    first = np.flatnonzero(np.concatenate([[True], question[1:] != question[:-1]])) if len(question) else np.empty(0, np.int64)
+    place = np.arange(len(question)) - np.repeat(first, np.diff(np.append(first, len(question))))
+    return question[place < k], score[place < k], vec[place < k]
+
+
+def _nearest(ids: np.ndarray, unit: np.ndarray, k: int):
+    """A task's k best vectors of each question, kept over its batches."""
+
+    def run(batches):
+        held = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        step = max(1, PRODUCT // max(1, len(ids)))
+        for batch in batches:
+            vec, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            for a in range(0, len(vec), step):
+                part = column.slice(a, step)
+                fits = pc.fill_null(pc.equal(pc.list_value_length(part), unit.shape[1]), False)
+                x = np.zeros((len(part), unit.shape[1]))
+                x[fits.to_numpy(zero_copy_only=False)] = part.filter(fits).flatten().to_numpy(zero_copy_only=False).reshape(-1, unit.shape[1])
+                x[~np.isfinite(x).all(1)] = 0
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                scores = unit @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T
+                rounded = np.round(scores, 12)
+                least = np.partition(rounded, -k, axis=1)[:, -k, None] if len(part) > k else -np.inf
+                question, place = np.nonzero(rounded >= least)
+                held = _best(np.append(held[0], question), np.append(held[1], scores[question, place]), np.append(held[2], vec[a + place]), k)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]], pa.int64()), pa.array(held[2], pa.int64()), pa.array(held[1], pa.float64())], ["query_id", "vec_id", "score"])
+
+    return run
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): the k vectors of largest cosine for each query, ties by vec_id.
 
-    queries(query_id, embedding) of MOST_QUERIES rows at most are sent to every task, where a stack of them is scored by
-    one matrix product a batch and each batch hands on its own k best; the ranks come from these.
+    queries(query_id, embedding) go to every task in blocks of about BLOCK_QUERIES, one pass over the vectors for each
+    block; a task scores them by matrix products and hands on its own k best, from which the ranks come. A vector of
+    another length than the queries', null, zero or not a number scores 0; a query without an embedding finds nothing.
     """
-    rows = queries.limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries at a time")
-    ids = [r["query_id"] for r in rows]
-    dims = {len(r["embedding"]) for r in rows}
-    if len(dims) > 1:
-        raise ValueError("queries have embeddings of different lengths")
-    stack = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
-    norms = np.linalg.norm(stack, axis=1, keepdims=True)
-    unit = np.divide(stack, norms, out=np.zeros_like(stack), where=norms > 0)
-
-    def best(batches):
-        for pdf in batches:
-            fits = pdf["embedding"].map(lambda v: v is not None and len(v) == unit.shape[1]).to_numpy(bool)
-            x = np.zeros((len(pdf), unit.shape[1]))
-            if fits.any():
-                x[fits] = np.stack(pdf["embedding"][fits].to_numpy()).astype(np.float64)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            scores = np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ unit.T
-            vec = pdf["vec_id"].to_numpy()
-            for j, q in enumerate(ids):
-                rank = np.lexsort((vec, -np.round(scores[:, j], 12)))[:k]
-                yield pd.DataFrame({"query_id": q, "vec_id": vec[rank], "score": scores[rank, j]})
-
-    if not rows:
+    context = queries.sparkSession.sparkContext
+    queries = queries.filter("embedding is not null")
+    n = queries.count()
+    blocks = max(1, -(-n // BLOCK_QUERIES))
+    found, dims = [], set()
+    for b in range(blocks if n else 0):
+        some = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        rows = some.select("query_id", "embedding").collect()
+        dims |= {len(r["embedding"]) for r in rows}
+        if len(dims) > 1:
+            raise ValueError("queries have embeddings of different lengths")
+        if rows:
+            block = context.broadcast(_stacked(rows))
+            found.append(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(lambda batches, block=block: _nearest(*block.value, k)(batches), "query_id long, vec_id long, score double"))
+    if not found or k < 1:
         return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    found = vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, score double")
+    every = reduce(DataFrame.union, found)
     if min_score is not None:
-        found = found.filter(F.col("score") >= min_score)
+        every = every.filter(F.col("score") >= min_score)
     order = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def rerank_mmr(results: DataFrame, weight: float = 0.5) -> DataFrame:
@@ -121,16 +181,19 @@ def rerank_mmr(results: DataFrame, weight: float = 0.5) -> DataFrame:
     return results.groupBy("query_id").applyInPandas(one, "query_id long, vec_id long, score double, rank int")
 
 
-def context(results: DataFrame, budget: int = 4000) -> DataFrame:
-    """(query_id, context, n_sources): passages in rank order up to the first that passes the budget in bytes; none is 0."""
+def sources(results: DataFrame, budget: int = 4000) -> DataFrame:
+    """(query_id, sources): the passages in rank order up to the first that passes the budget in bytes, as an array of
+    struct(rank, vec_id, text, score) and what else of doc_id and start_offset results has; none may fit."""
     order = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     held = F.sum(F.octet_length("text")).over(order) <= budget
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("text"), F.lit("\n"))
-    return (
-        results.withColumn("held", held)
-        .groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("held"), F.struct("rank", line.alias("line"))))).alias("l"))
-        .select("query_id", F.array_join(F.transform("l", lambda x: x["line"]), "").alias("context"), F.size("l").alias("n_sources"))
-    )
+    fields = ["rank", *(c for c in ("vec_id", "text", "score", "doc_id", "start_offset") if c in results.columns)]
+    return results.withColumn("held", held).groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("held"), F.struct(*fields)))).alias("sources"))
+
+
+def context(results: DataFrame, budget: int = 4000) -> DataFrame:
+    """(query_id, context, n_sources): the sources as a block of numbered lines."""
+    lines = F.transform("sources", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["text"], F.lit("\n")))
+    return sources(results, budget).select("query_id", F.array_join(lines, "").alias("context"), F.size("sources").alias("n_sources"))
 
 
 # The texts around a question and its passages.

@@ -30,15 +30,15 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One table of text for each order: header and a row for each line item, in pipes, tabs or spaces by turns."""
+    """One table of text for each order: header and a row for each line item, in pipes (with a separator), tabs or spaces by turns."""
     items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("part"), F.col("l_quantity").cast("long").alias("qty")))).alias("x"))
 
-    def laid(sep: str, edge: str = "") -> object:
+    def laid(sep: str, edge: str = "", below: str = "") -> object:
         row = lambda r: F.concat(F.lit(edge), F.concat_ws(sep, r["l_linenumber"].cast("string"), r["part"].cast("string"), r["qty"].cast("string")), F.lit(edge))
-        return F.concat_ws("\n", F.lit(edge + sep.join(("line", "part", "qty")) + edge), F.array_join(F.transform("x", row), "\n"))
+        return F.concat_ws("\n", F.lit(edge + sep.join(("line", "part", "qty")) + edge + below), F.array_join(F.transform("x", row), "\n"))
 
     k = F.col("doc_id") % 3
-    text = F.when(k == 0, laid("\t")).when(k == 1, laid("   ")).otherwise(laid(" | ", "|"))
+    text = F.when(k == 0, laid("\t")).when(k == 1, laid("   ")).otherwise(laid(" | ", "|", "\n|---|---|---|"))
     return items.select("doc_id", F.concat(F.lit("Items below\n"), text, F.lit("\nend of items")).alias("text"))
 
 
@@ -47,13 +47,32 @@ def paragraph_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(turns, lambda t: t["text"]), "\n\n").alias("text"))
 
 
+def _clean(line):
+    """Letters, digits, spaces, stops and commas only: nothing that Markdown reads."""
+    return F.trim(F.regexp_replace(line, r"[^\p{L}\p{N} .,]", ""))
+
+
 def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Markdown text for each region: heading, list of its nations, code, quote and table."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    names = F.array_sort(F.collect_list("n_name"))
-    grouped = n.join(r, n.n_regionkey == r.r_regionkey).groupBy(F.col("r_regionkey").cast("long").alias("doc_id"), "r_name").agg(names.alias("names"))
+    """A Markdown text of each document: heading, a paragraph of two lines for each line, list, quote, code and table."""
+    docs = table(spark, sf_dir, "documents")
+    paragraphs = F.transform(F.split("text", "\n"), lambda t, i: F.concat(F.lit("P "), _clean(t), F.lit("\n**of** line `"), i.cast("string"), F.lit("`")))
     text = F.concat(
-        F.lit("# "), "r_name", F.lit("\n\nThe **nations** of the region\nare [these](http://example.org).\n\n## Nations\n\n"), F.array_join(F.transform("names", lambda x: F.concat(F.lit("- "), x)), "\n"),
-        F.lit("\n\n## Notes\n\n> quoted `words`\n> of two lines\n\n```sql\nSELECT 1\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n"),
+        F.lit("# Document "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.array_join(paragraphs, "\n\n"), F.lit("\n\n## Notes of [it](http://example.org)\n\n- *"), F.col("lang"), F.lit("*\n- "), F.col("source"),
+        F.lit("\n\n> quoted `words`\n> of two lines\n\n```sql\nSELECT 1\n\nFROM x\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n"),
     )
-    return grouped.select("doc_id", text.alias("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def detection_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents, pages and Markdown, and of documents behind the first bytes of other formats."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), "text")
+    pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    made = markdown_docs(spark, sf_dir).select(F.lit("markdown").alias("src"), F.col("doc_id").alias("id"), "text")
+    every = docs.union(pages).union(made)
+    for src, begin in BEGINNINGS:
+        every = every.union(docs.select(F.lit(src).alias("src"), "id", F.concat(F.lit(begin), "text")))
+    return every.select("src", "id", F.encode("text", "UTF-8").alias("content"))
+
+
+#: What stands in front of documents' bytes, by the source's name.
+BEGINNINGS = (("pdf", "%PDF-1.7\n"), ("zip", "PK\x03\x04"), ("epub", "PK\x03\x04......mimetypeapplication/epub+zip"), ("blank", " \n\t<HTML>"), ("tag", "<x></x>"), ("list", "\n* "))

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.functions.entities import entities
-from docloom.functions.fields import column_count, extracted, key_values, tables
+from docloom.functions.fields import column_count, data_rows, extracted, field_value, header, key_values, row_count, tables
 from docloom.operators import chunking as H
 from docloom.operators import vectors as V
-from docloom.operators.governance import audit, rate_limit, with_role
-from docloom.operators.reduce import metrics, reduce_documents, render, without_fillers
-from docloom.operators.textrank import Options, reduced, sentence_scores
-from docloom.plans.inputs import invoices, line_tables, markdown_docs, paragraph_docs, table
-from docloom.sources.detect import detect_text_format
-from docloom.sources.parse import full_text, parsed
-from docloom.streaming.events import progress_events
+from docloom.operators.compression import compressed, without_fillers
+from docloom.operators.governance import audit, limited, rate_limit, with_role
+from docloom.operators.reduce import export_markdown, metrics, reduce_documents, reduce_levels, render
+from docloom.operators.textrank import LEVELS, Options, reduced, sentence_scores
+from docloom.plans.inputs import detection_docs, invoices, line_tables, markdown_docs, paragraph_docs, table
+from docloom.providers import EchoGenerator, HashEmbedder, Unlimited
+from docloom.sources.detect import detect_format, detect_text_format, with_hint
+from docloom.sources.parse import full_text, parsed, read_documents
+from docloom.streaming.events import last_result, progress_events
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -46,6 +48,18 @@ def q_detect_format(spark, d):
     return docs.union(pages).union(made)
 
 
+@query
+def q_detect_bytes(spark, d):
+    return detection_docs(spark, d).select("src", "id", detect_format(F.col("content")).alias("format"), with_hint(detect_format(F.col("content")), "HTM").alias("hinted"), with_hint(detect_format(F.col("content")), "?").alias("unhinted"))
+
+
+@query
+def q_parse_errors(spark, d):
+    """What can't be parsed has a reason and no sections; the rest has none."""
+    p = read_documents(detection_docs(spark, d).filter("src in ('documents', 'pdf', 'zip')"))
+    return p.select("src", "id", "format", F.col("doc.error").isNotNull().alias("failed"), F.coalesce(F.size("doc.sections"), F.lit(0)).cast("long").alias("sections"))
+
+
 @query
 def q_doc_stats(spark, d):
     return _docs(spark, d).select("doc_id", X.word_count(F.col("text")).alias("words"), F.size(X.sentences(F.col("text"))).cast("long").alias("sentences"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
@@ -83,15 +97,29 @@ def q_key_values(spark, d):
     return invoices(spark, d).select("doc_id", F.posexplode(key_values(F.col("text"))).alias("idx", "f")).select("doc_id", F.col("idx").cast("long").alias("idx"), "f.key", "f.value", "f.confidence")
 
 
+@query
+def q_field_value(spark, d):
+    f = key_values(F.col("text"))
+    return invoices(spark, d).select("doc_id", field_value(f, "TOTAL").alias("total"), field_value(f, "customer-Name").alias("customer"), field_value(f, "none").alias("none"))
+
+
+def _cells(rows) -> object:
+    return F.array_join(F.transform(rows, lambda r: F.array_join(r, ",")), ";")
+
+
 @query
 def q_tables(spark, d):
     t = line_tables(spark, d).select("doc_id", F.explode(tables(F.col("text"))).alias("t"))
-    return t.select("doc_id", F.size("t.rows").cast("long").alias("n_rows"), column_count(F.col("t")).cast("long").alias("n_columns"), "t.has_header", F.col("t.start_line").cast("long").alias("start_line"), F.array_join(F.get("t.rows", F.lit(1)), ",").alias("first_row"))
+    t_ = F.col("t")
+    return t.select("doc_id", row_count(t_).cast("long").alias("n_rows"), column_count(t_).cast("long").alias("n_columns"), "t.has_header", F.col("t.start_line").cast("long").alias("start_line"), F.array_join(header(t_), ",").alias("header"), _cells(data_rows(t_)).alias("cells"))
 
 
 @query
 def q_extract(spark, d):
-    return invoices(spark, d).select("doc_id", extracted(F.col("text")).alias("x")).select("doc_id", F.col("x.field_count").cast("long").alias("field_count"), "x.confidence", "x.provider")
+    x = invoices(spark, d).select("doc_id", extracted(F.col("text")).alias("x"))
+    fields = F.transform("x.key_values", lambda f: F.concat_ws("=", f["key"], f["value"], F.round(f["confidence"] * 100).cast("int").cast("string")))
+    found = F.transform("x.entities", lambda e: F.concat_ws(":", e["entity_type"], e["value"], e["start"].cast("string"), e["end"].cast("string")))
+    return x.select("doc_id", F.size("x.tables").cast("long").alias("n_tables"), F.array_join(fields, ";").alias("fields"), F.array_join(found, ";").alias("entities"), F.col("x.field_count").cast("long").alias("field_count"), "x.confidence", "x.provider")
 
 
 @query
@@ -132,33 +160,33 @@ def _chunks(df: DataFrame, chunks) -> DataFrame:
 
 @query
 def q_chunk_fixed(spark, d):
-    return _chunks(_docs(spark, d), H.fixed(F.col("text"), 800, 100))
+    return _chunks(_docs(spark, d), H.chunk(F.col("text"), H.Fixed(800, 100)))
 
 
 @query
 def q_chunk_paragraph(spark, d):
-    return _chunks(paragraph_docs(spark, d), H.paragraphs(F.col("text")))
+    return _chunks(paragraph_docs(spark, d), H.chunk(F.col("text"), H.Paragraph()))
 
 
 @query
 def q_chunk_sentence(spark, d):
-    return _chunks(_even(_docs(spark, d).select("doc_id", "text")), H.sentence_chunks(F.col("text"), 100))
+    return _chunks(_even(_docs(spark, d).select("doc_id", "text")), H.chunk(F.col("text"), H.Sentence(100)))
 
 
 @query
 def q_chunk_semantic(spark, d):
-    return _chunks(_even(_docs(spark, d).select("doc_id", "text")), H.semantic_chunks(F.col("text"), 200))
+    return _chunks(_even(_docs(spark, d).select("doc_id", "text")), H.chunk(F.col("text"), H.Semantic(200)))
 
 
 @query
 def q_chunk_recursive(spark, d):
-    return _chunks(_even(_docs(spark, d).select("doc_id", "text")), H.recursive_chunks(F.col("text"), ("\n", ". "), 120))
+    return _chunks(_even(_docs(spark, d).select("doc_id", "text")), H.chunk(F.col("text"), H.Recursive(("\n", ". "), 120)))
 
 
 @query
 def q_hash_embed(spark, d):
-    e = V.embed_rows(table(spark, d, "benchmark"), ["item_id"])
-    return e.select("item_id", F.posexplode("embedding").alias("b", "x")).filter("x <> 0").select("item_id", F.col("b").cast("long").alias("bucket"), F.round(F.col("x").cast("double"), 5).alias("value"))
+    e = V.embed_rows(_even(_docs(spark, d).select("doc_id", "text")), ["doc_id"])
+    return e.select("doc_id", F.posexplode("embedding").alias("b", "x")).filter("x <> 0").select("doc_id", F.col("b").cast("long").alias("bucket"), F.round(F.col("x").cast("double"), 5).alias("value"))
 
 
 def _questions(spark, d) -> DataFrame:
@@ -186,24 +214,32 @@ def q_mmr(spark, d):
 
 
 def _retrieved(spark, d) -> DataFrame:
-    chunks = _docs(spark, d).select("doc_id", F.explode(H.fixed(F.col("text"), 1200, 0)).alias("c")).select(F.xxhash64("doc_id", "c.index").alias("vec_id"), "c.text")
-    vectors = V.embed_rows(chunks, ["vec_id"])
-    items = table(spark, d, "benchmark")
-    asked = V.embed_rows(items, ["item_id"]).withColumnRenamed("item_id", "query_id")
-    return V.top_k(asked, vectors, 4).join(chunks, "vec_id").join(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    chunks = _docs(spark, d).select("doc_id", F.explode(H.fixed(F.col("text"), 1200, 0)).alias("c"))
+    chunks = chunks.select((F.shiftleft("doc_id", 24) + F.col("c.index")).alias("vec_id"), "doc_id", "c.text", "c.start_offset")
+    embedder = HashEmbedder()
+    vectors = _even(chunks.select("vec_id", "text")).select("vec_id", embedder.column(F.col("text")).alias("embedding"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    asked = items.select("query_id", embedder.column(F.col("question")).alias("embedding"))
+    return V.top_k(asked, vectors, 4).join(chunks, "vec_id").join(items, "query_id")
 
 
 @query
 def q_rag_answer(spark, d):
     r = _retrieved(spark, d)
-    asked = r.groupBy("query_id").agg(F.min("question").alias("question"))
-    return asked.join(V.context(r, 4000), "query_id", "left").select("query_id", "n_sources", V.answer(F.col("question"), F.col("context"), F.col("n_sources")).alias("answer"))
+    rows = r.groupBy("query_id").agg(F.min("question").alias("question")).join(V.sources(r, 4000), "query_id", "left")
+    return rows.select("query_id", F.size("sources").alias("n_sources"), EchoGenerator().column(F.col("question"), F.col("sources")).alias("answer"))
+
+
+@query
+def q_rag_sources(spark, d):
+    s = V.sources(_retrieved(spark, d), 4000).select("query_id", F.explode("sources").alias("s"))
+    return s.select("query_id", F.col("s.rank").cast("long").alias("rank"), "s.doc_id", F.col("s.start_offset").cast("long").alias("start_offset"), F.round("s.score", 6).alias("score"), "s.text")
 
 
 def _blocks(df: DataFrame) -> DataFrame:
     sections = df.select("doc_id", "doc.title", F.posexplode("doc.sections").alias("section", "s"))
     b = sections.select("doc_id", "title", F.col("section").cast("long").alias("section"), F.posexplode("s.blocks").alias("idx", "b"))
-    return b.select("doc_id", "title", "section", F.col("idx").cast("long").alias("idx"), "b.kind", F.col("b.level").cast("long").alias("level"), F.coalesce("b.text", F.array_join("b.items", " / ")).alias("text"))
+    return b.select("doc_id", "title", "section", F.col("idx").cast("long").alias("idx"), "b.kind", F.coalesce("b.level", F.lit(0)).cast("long").alias("level"), F.coalesce("b.text", F.array_join("b.items", " / ")).alias("text"))
 
 
 @query
@@ -228,18 +264,32 @@ def q_fillers(spark, d):
     return _docs(spark, d).select("doc_id", without_fillers(F.concat(F.lit("Basically, in order to see: "), F.col("text"))).alias("text"))
 
 
+@query
+def q_compress(spark, d):
+    return _even(_docs(spark, d).select("doc_id", "text")).select("doc_id", compressed(F.col("text"), 0.4).alias("text"))
+
+
+def _bytes(spark, d) -> DataFrame:
+    return _even(_docs(spark, d).select("doc_id", F.encode("text", "UTF-8").alias("content")))
+
+
 @query
 def q_reduce_full(spark, d):
-    docs = _even(_docs(spark, d).select("doc_id", F.encode("text", "UTF-8").alias("content")))
-    r = reduce_documents(docs, Options(level="medium"), "markdown")
+    r = reduce_documents(_bytes(spark, d), Options(level="medium"), "markdown")
     return r.select("doc_id", "format", "title", "output", "metrics.original_words", "metrics.reduced_words", F.round("metrics.retention_ratio", 6).alias("retention_ratio"), "error")
 
 
+@query
+def q_reduce_levels(spark, d):
+    r = reduce_levels(_bytes(spark, d), [Options(level=x) for x in LEVELS])
+    return r.select("doc_id", "level", "summary", F.array_join("keywords", " ").alias("keywords"), "metrics.original_sentences", "metrics.key_points", F.round("metrics.reduction_percent", 6).alias("reduction_percent"))
+
+
 @query
 def q_render(spark, d):
-    s = _docs(spark, d).select("doc_id", X.sentences(F.col("text")).alias("s"))
-    kinds = [render(F.get("s", F.lit(0)), F.slice("s", 2, 2), k).alias(k) for k in ("plaintext", "markdown", "json")]
-    return s.select("doc_id", *kinds)
+    r = _even(_docs(spark, d).select("doc_id", "text")).select("doc_id", reduced(F.col("text")).alias("r"))
+    kinds = [render(F.col("r.summary"), F.col("r.key_points"), k).alias(k) for k in ("plaintext", "markdown", "json")]
+    return r.select("doc_id", *kinds, export_markdown(F.col("r.title"), F.col("r.summary"), F.col("r.key_points")).alias("page"))
 
 
 @query
@@ -250,7 +300,20 @@ def q_reduction_metrics(spark, d):
 
 @query
 def q_progress_events(spark, d):
-    return progress_events(_even(_docs(spark, d).select("doc_id", "text"))).withColumn("seq", F.col("seq").cast("long"))
+    e = progress_events(_bytes(spark, d))
+    told = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("total_bytes", "sections", "words", "sentences", "key_points")]  # -1: not told in this phase
+    return e.select("doc_id", "seq", "phase", *told, "format", F.get_json_object("reduced_json", "$.summary").alias("summary"), "message")
+
+
+@query
+def q_stream_results(spark, d):
+    r = last_result(progress_events(_bytes(spark, d)))
+    return r.select("doc_id", "result.title", "result.source_format", "result.summary", F.array_join("result.keywords", " ").alias("keywords"), "result.metrics.original_words", "result.metrics.reduced_words", "error")
+
+
+@query
+def q_unlimited(spark, d):
+    return limited(table(spark, d, "events"), Unlimited(), "user_id", "ts", "event_id").groupBy("allowed").agg(F.count("*").alias("n"))
 
 
 @query

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.providers import Parsers
 from docloom.sources.detect import decoded, detect_format, with_hint
 
 BLOCK = T.StructType([T.StructField("kind", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("language", T.StringType()), T.StructField("text", T.StringType()), T.StructField("items", T.ArrayType(T.StringType()))])
@@ -268,16 +269,41 @@ def parsed(kind, content):
     return pd.DataFrame([parse(k, c) for k, c in zip(kind, content, strict=True)], columns=["title", "sections", "error"])
 
 
-def read_documents(df: DataFrame, content: str = "content", hint: str | None = None) -> DataFrame:
+def parsed_by(parsers: Parsers, kind: Column, content: Column) -> Column:
+    """parsed(), with the user's parsers in front; what they raise is the row's error."""
+    own = parsers.by_format
+
+    @F.pandas_udf(DOCUMENT)
+    def run(kind, content):
+        import pandas as pd
+
+        def one(k, c):
+            if k not in own or not c:
+                return parse(k, c)
+            try:
+                return own[k](c)
+            except Exception as e:  # whatever a user's parser raises
+                return document(None, [], f"{k}: {e}")
+
+        return pd.DataFrame([one(k, c) for k, c in zip(kind, content, strict=True)], columns=["title", "sections", "error"])
+
+    return run(kind, content)
+
+
+def read_documents(df: DataFrame, content: str = "content", hint: str | None = None, parsers: Parsers | None = None) -> DataFrame:
     """df with format and doc (title, sections, error) of its binary column."""
-    return df.withColumn("format", with_hint(detect_format(F.col(content)), hint)).withColumn("doc", parsed("format", content))
+    df = df.withColumn("format", with_hint(detect_format(F.col(content)), hint))
+    return df.withColumn("doc", parsed_by(parsers, F.col("format"), F.col(content)) if parsers and parsers.by_format else parsed("format", content))
 
 
-def full_text(doc: Column) -> Column:
-    """Text of all blocks, joined by blank lines, items of a list by line ends."""
+def full_text(doc: Column, without: tuple[str, ...] = ()) -> Column:
+    """Text of all blocks but those of the kinds in without, joined by blank lines, items of a list by line ends."""
     blocks = F.flatten(F.transform(doc["sections"], lambda s: s["blocks"]))
+    if without:
+        blocks = F.filter(blocks, lambda b: ~b["kind"].isin(*without))
     return F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.array_join(b["items"], "\n"))), "\n\n")
 
 
-def raw_text(content: Column) -> Column:
-    return decoded(content)
+def lines_text(kind: Column, content: Column, doc: Column) -> Column:
+    """A document's text with its lines as they stand: the decoded bytes of text and Markdown, else the text of its blocks."""
+    return F.when(kind.isin("plaintext", "markdown", "unknown"), decoded(content)).otherwise(full_text(doc))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom import api
-from docloom.operators.chunking import fixed
+from docloom.operators.chunking import Fixed
 
 INVOICE = "Invoice: INV-2024001\nDate: 2024-03-15\nTotal: $1,250.00\nEmail: a@example.com\n"
 
@@ -47,8 +47,12 @@ def test_questions(spark):
     assert small["n_sources"] == 0 and small["answer"].startswith("Based on 0 ")
     empty = api.Rag.ingest(docs.limit(0)).ask(asked, 2).first()
     assert empty["n_sources"] == 0 and empty["answer"].startswith('No relevant passages were found to answer: "When')
-    more = rag.add(api.Rag.ingest(spark.createDataFrame([(4, "abcdefghij")], "doc_id long, text string"), lambda t: fixed(t, 4, 2)))
-    assert more.chunk_count() == 6
+    more = rag.add(api.Rag.ingest(spark.createDataFrame([(4, "abcdefghij")], "doc_id long, text string"), Fixed(4, 2)))
+    assert more.chunk_count() == 6 and more.clear().chunk_count() == 0
+    both, found = rag.ask_with_retrieval(asked, 2)
+    sources = both.first()["sources"]
+    assert [x["rank"] for x in sources] == [1, 2] and sources[0]["doc_id"] == 1 and found.count() == 2 and empty["sources"] == []
+    assert sorted(x["vec_id"] for x in rag.rerank(found).collect()) == sorted(x["vec_id"] for x in found.collect())
 
 
 def test_sql_names(spark):
@@ -56,5 +60,7 @@ def test_sql_names(spark):
     assert spark.sql("SELECT text FROM doc_sentence_chunks('One sentence here. Two sentences here.', 4)").count() == 2
     joined = spark.sql("SELECT d.id, c.text FROM VALUES (1, 'a b. c d') AS d(id, t), LATERAL doc_recursive_chunks(d.t, array('. '), 2) c")
     assert joined.count() == 2
+    found = spark.sql("SELECT e.* FROM VALUES ('é a@b.co, 5%') AS d(t), LATERAL doc_entities(d.t) e").collect()
+    assert [(r["entity_type"], r["value"], r["start"], r["end"]) for r in found] == [("email", "a@b.co", 3, 9), ("percent", "5%", 11, 13)]
     assert spark.sql("SELECT doc_parse('markdown', CAST('# T\n\nx' AS BINARY)).title AS t").first()["t"] == "T"
     assert spark.createDataFrame([("a\tb\n1\t2\n",)], "t string").select(F.size(F.call_function("doc_tables", "t")).alias("n")).first()["n"] == 1

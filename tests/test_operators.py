@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.functions.entities import entities
-from docloom.functions.fields import extracted, field_value, find_tables, key_values
+from docloom.functions.fields import data_rows, extracted, field_value, find_tables, header, key_values, row_count, tables
 from docloom.operators import chunking as H
 from docloom.operators import vectors as V
 from docloom.operators.governance import rate_limit
-from docloom.operators.reduce import compressed, reduce_documents
-from docloom.operators.textrank import Options, rank, reduce_text, split, terms
+from docloom.operators.compression import compressed, compressed_document
+from docloom.operators.reduce import reduce_documents, reduce_levels
+from docloom.operators.textrank import LEVELS, Options, rank, reduce_text, split, terms
 from docloom.sources.detect import detect_format, detect_text_format
 from docloom.sources.parse import docx, epub, html, markdown, parse, plain
 from docloom.streaming.events import last_result, progress_events, rate_limit_stream
@@ -162,8 +163,15 @@ def test_pipeline_of_bytes(spark):
 def test_vectors(spark):
     df = spark.createDataFrame([(1, "dogs and cats"), (2, "stock market"), (3, None)], "vec_id long, text string")
     a = {r["vec_id"]: r["embedding"] for r in V.embed_rows(df, ["vec_id"]).collect()}
-    b = {r["vec_id"]: r["x"] for r in df.select("vec_id", V.hash_embed(T()).alias("x")).collect()}
-    assert all(np.allclose(a[k], b[k]) for k in a) and not any(a[3]) and abs(np.linalg.norm(a[1]) - 1) < 1e-6
+    assert not any(a[3]) and abs(np.linalg.norm(a[1]) - 1) < 1e-6
+    # beside the same hash in Column expressions
+    h = df.select("vec_id", F.explode(X.embed_terms(T())).alias("w")).select("vec_id", X.fnv1a(F.col("w")).alias("h")).collect()
+    for i in (1, 2):
+        sums = np.zeros(256)
+        for r in h:
+            if r["vec_id"] == i:
+                sums[(r["h"]["hi"] * 2**32 + r["h"]["lo"]) % 256] += 1 - 2 * (r["h"]["hi"] & 1)
+        assert np.allclose(a[i], sums / np.linalg.norm(sums))
     vectors = V.embed_rows(df, ["vec_id"])
     asked = V.embed_rows(spark.createDataFrame([(7, "cats and dogs")], "query_id long, text string"), ["query_id"])
     top = V.top_k(asked, vectors, 2).orderBy("rank").collect()
@@ -174,11 +182,68 @@ def test_vectors(spark):
     assert V.context(passages, 20).first()["context"] == "[1] 0123456789\n"
 
 
+def test_top_k_in_blocks(spark, monkeypatch):
+    """Ties, vectors that aren't comparable, more queries than a block holds, and several tasks and batches."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(200, 5)).round(1)
+    x[50:90] = x[10]
+    x[7] = 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0]), (902, [float("nan")] * 5), (903, [None] * 5)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(40)] + [(99, None)], "query_id long, embedding array<double>")
+    u = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=np.linalg.norm(x, axis=1, keepdims=True) > 0)
+    score = np.hstack([u[:40] @ u.T, np.zeros((40, 4))])
+    ids = np.array([*range(200), 900, 901, 902, 903])
+    want = {(q, k + 1): int(ids[i]) for q in range(40) for k, i in enumerate(sorted(range(204), key=lambda i: (-round(score[q, i], 12), ids[i]))[:45])}
+    for block, product in ((10_000, 4_000_000), (9, 60)):
+        monkeypatch.setattr(V, "BLOCK_QUERIES", block)
+        monkeypatch.setattr(V, "PRODUCT", product)
+        assert {(t["query_id"], t["rank"]): t["vec_id"] for t in V.top_k(asked, vectors, 45).collect()} == want
+    assert V.top_k(asked.limit(0), vectors, 3).count() == 0
+    assert V.top_k(asked, vectors, 3, 0.5).filter("score < 0.5").count() == 0
+
+
+def test_levels_share_a_parse(spark):
+    df = spark.createDataFrame([(1, bytearray((STORY + "\n\n```\nqueries code machines code\n```\n").encode())), (2, None)], "doc_id long, content binary")
+    rows = {(r["doc_id"], r["level"]): r for r in reduce_levels(df, [Options(level=x) for x in LEVELS]).collect()}
+    assert len(rows) == 6 and rows[2, "light"]["error"]
+    for level in LEVELS:
+        one = [r for r in reduce_documents(df, Options(level=level)).collect() if r["doc_id"] == 1][0]
+        assert one["summary"] == rows[1, level]["summary"] and "code" not in one["summary"]
+    assert len(rows[1, "aggressive"]["summary"]) <= len(rows[1, "light"]["summary"])
+
+
+def test_compressed_document(spark):
+    from docloom.sources.parse import parsed
+
+    text = "# Basically a title\n\nBasically, cats sleep a lot. Cats hunt mice. Birds fly south in winter. Cats and birds.\n\n```\nactually code\n```\n\n- literally an item\n"
+    doc = spark.createDataFrame([(text,)], "text string").select(compressed_document(parsed(F.lit("markdown"), F.encode("text", "UTF-8")), 0.5).alias("d")).first()["d"]
+    kinds = {b["kind"]: b["text"] or b["items"] for s in doc["sections"] for b in s["blocks"]}
+    assert kinds["heading"] == "Basically a title" and kinds["code"] == "actually code" and kinds["list"] == ["literally an item"]
+    assert "asically" not in kinds["paragraph"] and 0 < len(kinds["paragraph"].split()) <= 10
+
+
+def test_table_parts(spark):
+    text = "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n\n1  2\n3  4"
+    t = spark.createDataFrame([(text,)], "text string").select(F.explode(tables(T())).alias("t"))
+    got = t.select(header(F.col("t")).alias("h"), data_rows(F.col("t")).alias("d"), row_count(F.col("t")).alias("n")).collect()
+    assert [(r["h"], r["d"], r["n"]) for r in got] == [(["a", "b"], [["1", "2"], ["3", "4"]], 3), (None, [["1", "2"], ["3", "4"]], 2)]
+
+
 def test_events_and_limits(spark, tmp_path):
-    docs = spark.createDataFrame([(1, STORY)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, bytearray(STORY.encode())), (2, bytearray(b"%PDF-1")), (3, None)], "doc_id long, content binary")
     e = progress_events(docs)
-    assert [r["phase"] for r in e.orderBy("seq").collect()] == ["started", "detected", "parsed", "summarized", "done"]
-    assert last_result(e).count() == 1
+    assert [r["phase"] for r in e.filter("doc_id = 1").orderBy("seq").collect()] == ["started", "detected", "parsed", "summarized", "done"]
+    assert [r["phase"] for r in e.filter("doc_id = 2").orderBy("seq").collect()] == ["started", "detected", "error"]
+    ended = {r["doc_id"]: r for r in last_result(e).collect()}
+    whole = [r for r in reduce_documents(docs).collect() if r["doc_id"] == 1][0]
+    assert ended[1]["result"]["summary"] == whole["summary"] and ended[1]["result"]["metrics"]["original_words"] == whole["metrics"]["original_words"] and ended[1]["error"] is None
+    assert ended[2]["result"] is None and "unsupported" in ended[2]["error"] and ended[3]["error"]
+    docs.write.parquet(str(tmp_path / "docs"))
+    stream = progress_events(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs")))
+    q = stream.writeStream.format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "c0")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(str, spark.table("told").collect())) == sorted(map(str, e.collect()))
     r = spark.sql("SELECT 'al' AS actor, id AS request_id, timestamp_seconds(1000 + id) AS ts FROM range(3)")
     assert [x["allowed"] for x in rate_limit(r, "actor", "ts", "request_id", 60, 2).orderBy("request_id").collect()] == [True, True, False]
     r.write.parquet(str(tmp_path / "in"))
