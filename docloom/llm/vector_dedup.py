@@ -168,7 +168,7 @@ def _units(raw: list[bytes], kind: str) -> np.ndarray:
 
 
 def _usable(vectors: DataFrame, vec: str, kind: str) -> DataFrame:
-    """vec_id, raw bytes and dim of the vectors that can have links; the others drop out."""
+    """vec_id, raw bytes, dim and key of all vectors; raw and key are null for those that can't have links."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw: list[bytes | None] = []
@@ -183,7 +183,7 @@ def _usable(vectors: DataFrame, vec: str, kind: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "raw", "dim"])
 
     rows = by_batch(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec), run, "vec_id long, raw binary, dim int")
-    return rows.filter("raw is not null and vec_id is not null").withColumn("key", F.md5("raw"))
+    return rows.withColumn("key", F.when(F.col("vec_id").isNotNull(), F.md5("raw")))
 
 
 _PLACE = ["t", "bucket", "x_block", "y_block"]
@@ -273,8 +273,8 @@ def near_vectors(vectors: DataFrame, search: Search = Search(), vec: str = "embe
     Vectors link at cosine >= threshold. n_links counts other vectors linked directly, component_id is the smallest vec_id
     reachable by links, kept tells vec_id = component_id. Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing, and vectors of different lengths don't link. Equal vectors are compared once and count
-    each; rows of one vec_id with different vectors share their links and do not link with each other. A null vec_id has no
-    links, a null component and isn't kept. Other columns are ignored; an empty table gives an empty one.
+    each; rows that repeat a vec_id are vectors of their own under one id. A null vec_id has no links, a null component and
+    isn't kept. Other columns are ignored; an empty table gives an empty one.
     """
     with scratch():
         return _near_vectors(vectors, search, vec)
@@ -283,11 +283,11 @@ def near_vectors(vectors: DataFrame, search: Search = Search(), vec: str = "embe
 def _near_vectors(vectors: DataFrame, search: Search, vec: str) -> DataFrame:
     spark = vectors.sparkSession
     kind = "<f8" if "double" in vectors.schema[vec].dataType.simpleString() else "<f4"
-    usable = _usable(vectors, vec, kind)
-    classes = usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("raw").alias("raw"), F.min("dim").alias("dim"))
-    # a rep stands for one class: repeated ids with different vectors are told apart by the key
-    classes = written(classes, "vector-classes", keep=True)
-    members = written(usable.select("vec_id", "key"), "vector-members", keep=True)
+    rows = _usable(vectors, vec, kind)
+    # equal vectors are one node, named by a hash of their bytes
+    classes = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.min("raw").alias("raw"), F.min("dim").alias("dim"))
+    classes = written(classes.withColumn("rep", F.xxhash64("key")), "vector-classes")
+    members = written(rows.select("vec_id", "key"), "vector-members", keep=True)
     sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
     found = None
     for dim, n in sorted(sizes.items()):
@@ -299,21 +299,16 @@ def _near_vectors(vectors: DataFrame, search: Search, vec: str) -> DataFrame:
         tables, mean, matrices = fitted(n, min(64, dim), _units(some, kind), search)
         part = _links(one, dim, tables, mean, matrices, kind, search.threshold)
         found = part if found is None else found.union(part)
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    if found is None:
-        links = spark.createDataFrame([], "a long, b long, links long")
-    else:
-        links = found
+    links = spark.createDataFrame([], "a long, b long, links long") if found is None else found
     sums = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    groups = written(components(links.select("a", "b").filter("a <> b")), "vector-components", keep=True)
-    by_class = (
-        classes.select("key", "rep", "weight")
-        .join(sums, "rep", "left")
-        .join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    linked = members.join(by_class, "key").select("vec_id", "n_links", "component_id")
-    alone = ids.join(members.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    groups = written(components(links.select("a", "b").filter("a <> b")), "vector-components")
+    # tables of their own, so that a join of many vectors of one component or class can be split
+    by_class = classes.select("key", "rep", "weight", "first").join(sums, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    by_class = written(by_class.select("key", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "vector-found")
+    least = written(by_class.groupBy("component").agg(F.min("first").alias("component_id")), "vector-least")
+    told = written(by_class.join(least, "component").select("key", "n_links", "component_id"), "vector-told", keep=True)
+    linked = members.filter("key is not null").join(told, "key").select("vec_id", "n_links", "component_id")
+    alone = members.filter("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -358,7 +353,7 @@ def _links(classes: DataFrame, dim: int, tables: Tables, mean: np.ndarray, matri
     met = rows.select("rep", *names, "t", "bucket", "g.*").groupBy(_call(moved, CALL_ROWS)).applyInPandas(_with_partner(tables), "rep long, t int, bucket long, x_block int, y_block int, side int")
     met = written(met, "vector-partners")
     found = met.join(coded, "rep").groupBy(_call(met.count(), max(64, CALL_BYTES // (dim * 8)))).applyInPandas(_block_links(tables, kind, threshold), "a long, b long, links long")
-    return written(found, "vector-links", keep=True)
+    return written(found, "vector-links")
 
 
 def _call(rows: int, most: int):
