@@ -70,7 +70,7 @@ def _unwanted(name: str, attributes: str, in_main: bool) -> int:
 
 def _comment(attributes: str) -> bool:
     """Whether a class or id says that an element is a reader's comment."""
-    return any(m[1].lower() in ("class", "id") and any(t.startswith("comment") for t in (m[2] or m[3] or m[4] or "").lower().split()) for m in _ATTRIBUTE.finditer(attributes))
+    return any(m[1].lower() in ("class", "id") and any(_WORDS.findall(t)[:1] in (["comment"], ["comments"]) for t in (m[2] or m[3] or m[4] or "").lower().split()) for m in _ATTRIBUTE.finditer(attributes))
 
 
 def lines(page: str) -> list[tuple[str, bool]]:
