@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import io
 import re
+import unicodedata
 import zipfile
+from collections.abc import Set
+from html import unescape
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -42,71 +45,265 @@ def plain(text: str) -> dict:
     return document(headings[-1] if headings else first or None, [{"heading": None, "level": 0, "blocks": blocks or [block("plain", text.strip())]}])
 
 
-_ITEM = re.compile(r"\s{0,3}(?:[-*+]|\d{1,9}[.)])\s+(.*)")
-_INLINE = [(re.compile(r"!?\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\1"), r"\2"), (re.compile(r"(?<!\w)([*_])(?=\S)(.+?)(?<=\S)\1(?!\w)"), r"\2"), (re.compile(r"`([^`]+)`"), r"\1"), (re.compile(r"<[^>]+>"), "")]
-
-
-def inline(text: str) -> str:
+# How lines of Markdown begin.
+_FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})\s*(\S*)")
+_ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+_RULE = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
+_UNDERLINE = re.compile(r" {0,3}(=+|-+)[ \t]*$")
+_QUOTE = re.compile(r" {0,3}> ?")
+_ITEM = re.compile(r"( *)([-*+]|\d{1,9}[.)])(?:( +)(.*)|$)")
+_DELIMITER = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+_RAW = re.compile(r" {0,3}<(?:(!--)|(script|pre|style|textarea)\b|[!?]|/?[A-Za-z][A-Za-z0-9-]*(?:[\s/>]|$))", re.I)
+_REFERENCE = re.compile(r" {0,3}\[([^\]\\]+)\]:[ \t]*\S+.*$")
+_TASK = re.compile(r"\[[ xX]\][ \t]+")
+
+_CODE_SPAN = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
+_ESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
+_INLINE = [
+    (re.compile(r"<((?:https?|ftp|mailto):[^\s<>]*|[\w.+-]+@[\w.-]+)>", re.I), r"\1"),
+    (re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|<[!?][^<>]*>", re.S), ""),
+    (re.compile(r"!?\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\((?:<[^<>]*>|(?:[^\s()]|\([^\s()]*\))*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)"), r"\1"),
+]
+_LABELLED = re.compile(r"!?\[([^\[\]]+)\](?:\[([^\[\]]*)\])?")
+
+
+_RUN = re.compile(r"\*+|_+|~~+")
+
+
+def _mark(c: str) -> bool:
+    return unicodedata.category(c)[0] in "PS"
+
+
+def _without_emphasis(text: str) -> str:
+    """text without the marks of emphasis and strikethrough: in one pass, each run that can close takes marks off the last
+    open run of its kind, and runs between the two stay as they are."""
+    gone: list[tuple[int, int]] = []
+    open_: list[list] = []  # mark, first and last place of what is left of a run
+    of_kind: dict[str, list[int]] = {"*": [], "_": [], "~": []}
+    for m in _RUN.finditer(text):
+        kind, start, end = m[0][0], m.start(), m.end()
+        before, after = text[start - 1 : start] or " ", text[end : end + 1] or " "
+        left = not after.isspace() and (not _mark(after) or before.isspace() or _mark(before))
+        right = not before.isspace() and (not _mark(before) or after.isspace() or _mark(after))
+        opens, closes = (left, right) if kind != "_" else (left and (not right or _mark(before)), right and (not left or _mark(after)))
+        if kind == "~" and end - start != 2:
+            continue
+        while closes and start < end and of_kind[kind]:
+            at = of_kind[kind][-1]
+            for other, *_ in open_[at + 1 :]:
+                of_kind[other].pop()
+            del open_[at + 1 :]
+            first, last = open_[at][1:]
+            n = 2 if min(last - first, end - start) > 1 else 1
+            gone += [(last - n, last), (start, start + n)]
+            start += n
+            open_[at][2] = last - n
+            if open_[at][1] == open_[at][2]:
+                open_.pop()
+                of_kind[kind].pop()
+        if opens and start < end:
+            of_kind[kind].append(len(open_))
+            open_.append([kind, start, end])
+    parts, at = [], 0
+    for start, end in sorted(gone):
+        parts.append(text[at:start])
+        at = end
+    return "".join([*parts, text[at:]])
+
+
+def inline(text: str, labels: Set[str] = frozenset()) -> str:
+    """The text that inline Markdown shows. labels: names of link definitions."""
+    kept: list[str] = []
+
+    def keep(shown: str) -> str:
+        kept.append(shown)
+        return f"\x02{len(kept) - 1}\x03"
+
+    text = text.replace("\x02", "").replace("\x03", "")
+    text = _CODE_SPAN.sub(lambda m: keep(m[2][1:-1] if m[2][:1] == m[2][-1:] == " " and m[2].strip() else m[2]), text)
+    text = _ESCAPE.sub(lambda m: keep(m[1]), text)
     for pattern, by in _INLINE:
         text = pattern.sub(by, text)
+    if labels:
+        text = _LABELLED.sub(lambda m: m[1] if (m[2] or m[1]).strip().lower() in labels else m[0], text)
+    text = unescape(_without_emphasis(text))
+    while "\x02" in text:
+        text = re.sub("\x02(\\d+)\x03", lambda m: kept[int(m[1])], text)
     return text.strip()
 
 
-def markdown(text: str) -> dict:
-    """Headings, paragraphs, lists, quotes, fenced code and tables; headings below the first level begin sections."""
-    sections = [{"heading": None, "level": 0, "blocks": []}]
-    title, lines, i = None, text.splitlines(), 0
-    add = lambda b: sections[-1]["blocks"].append(b)
-    while i < len(lines):
-        line = lines[i]
-        bare = line.strip()
-        if m := re.match(r"\s{0,3}(```+|~~~+)\s*(\S*)", line):
-            code, i = [], i + 1
-            while i < len(lines) and not lines[i].strip().startswith(m[1]):
-                code.append(lines[i])
+def _begins_block(line: str) -> bool:
+    """Whether a line ends a paragraph in front of it."""
+    item = _ITEM.match(line)
+    listed = item and len(item[1]) < 4 and item[4] and (not item[2][0].isdigit() or item[2][:-1] == "1")
+    return bool(not line.strip() or _FENCE.match(line) or _ATX.match(line) or _RULE.match(line) or _QUOTE.match(line) or listed or _raw_end(line, True))
+
+
+# Elements that begin a block of HTML wherever a paragraph could end.
+_HTML_BLOCKS = frozenset("address article aside base blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu nav ol optgroup option p param section summary table tbody td tfoot th thead title tr track ul script pre style textarea".split())
+
+
+def _raw_end(line: str, within: bool) -> str | None:
+    """What ends a block of HTML that begins with line: a mark, or an empty text for a blank line; None if none begins.
+    within: it would end a paragraph, so only elements that make blocks count."""
+    m = _RAW.match(line)
+    if not m:
+        return None
+    if m[1] or m[2]:
+        return "-->" if m[1] else f"</{m[2].lower()}"
+    name = re.match(r" {0,3}</?([A-Za-z0-9]*)", line)[1].lower()
+    if not name:
+        return ">"
+    alone = re.fullmatch(r" {0,3}</?[A-Za-z][^<>]*>\s*", line)
+    return "" if name in _HTML_BLOCKS or alone and not within else None
+
+
+#: Lists and quotes within each other that are read as such.
+MOST_DEEP = 40
+
+
+class _Markdown:
+    """Blocks of lines, one after the other; what a list or quote holds is read as Markdown of its own."""
+
+    def __init__(self, lines: list[str], labels: Set[str], depth: int = 0) -> None:
+        self.lines, self.labels, self.depth, self.blocks = lines, labels, depth, []
+        i = 0
+        while i < len(lines):
+            i = self.one(i)
+
+    def show(self, text: str) -> str:
+        return inline(text, self.labels)
+
+    def one(self, i: int) -> int:
+        """Adds the block that begins at line i; the line after it."""
+        lines, line = self.lines, self.lines[i]
+        if not line.strip():
+            return i + 1
+        if line.startswith("    "):
+            return self.indented(i)
+        if m := _FENCE.match(line):
+            end, shift = i + 1, len(line) - len(line.lstrip())
+            while end < len(lines) and not re.match(rf" {{0,3}}{m[1][0]}{{{len(m[1])},}}\s*$", lines[end]):
+                end += 1
+            code = [re.sub(rf"^ {{0,{shift}}}", "", x) for x in lines[i + 1 : end]]
+            self.blocks.append(block("code", "\n".join(code).strip(), language=m[2] or None))
+            return end + 1
+        if m := _ATX.match(line):
+            self.blocks.append(block("heading", self.show((m[2] or "").strip()), len(m[1])))
+            return i + 1
+        if _RULE.match(line):
+            return i + 1
+        if _QUOTE.match(line) and self.depth < MOST_DEEP:
+            return self.quote(i)
+        if (m := _ITEM.match(line)) and len(m[1]) < 4 and self.depth < MOST_DEEP:
+            return self.list_(i)
+        if (end := _raw_end(line, False)) is not None:
+            while i < len(lines) and (lines[i].strip() if end == "" else end not in lines[i].lower()):
                 i += 1
-            add(block("code", "\n".join(code), language=m[2] or None))
+            return i + 1
+        if "|" in line and i + 1 < len(lines) and "|" in lines[i + 1] and _DELIMITER.match(lines[i + 1]):
+            end = i
+            while end < len(lines) and "|" in lines[end] and lines[end].strip():
+                end += 1
+            self.blocks.append(block("plain", "\n".join(x.strip() for x in lines[i:end])))
+            return end
+        return self.paragraph(i)
+
+    def indented(self, i: int) -> int:
+        code = []
+        while i < len(self.lines) and (self.lines[i].startswith("    ") or not self.lines[i].strip()):
+            code.append(self.lines[i][4:])
             i += 1
-        elif m := re.match(r"\s{0,3}(#{1,6})\s+(.*?)\s*#*\s*$", line):
-            level, head = len(m[1]), inline(m[2])
-            title = title or (head if level == 1 else None)
-            if level > 1:
-                sections.append({"heading": head, "level": level, "blocks": []})
-            add(block("heading", head, level))
+        self.blocks.append(block("code", "\n".join(code).strip("\n").rstrip()))
+        return i
+
+    def paragraph(self, i: int) -> int:
+        words = [self.lines[i].strip()]
+        i += 1
+        while i < len(self.lines):
+            if m := _UNDERLINE.match(self.lines[i]):
+                self.blocks.append(block("heading", self.show(" ".join(words)), 1 if m[1][0] == "=" else 2))
+                return i + 1
+            if _begins_block(self.lines[i]):
+                break
+            words.append(self.lines[i].strip())
             i += 1
-        elif bare.startswith(">"):
-            quote = []
-            while i < len(lines) and lines[i].strip().startswith(">"):
-                quote.append(lines[i].strip().lstrip(">").strip())
-                i += 1
-            add(block("quote", inline(" ".join(filter(None, quote)))))
-        elif _ITEM.match(line):
-            items: list[str] = []
-            while i < len(lines) and lines[i].strip():
-                m = _ITEM.match(lines[i].lstrip())
-                if m:
-                    items.append(re.sub(r"^\[[ xX]\]\s+", "", m[1]))
+        if shown := self.show(" ".join(w.removesuffix("\\") if k < len(words) - 1 else w for k, w in enumerate(words))):
+            self.blocks.append(block("paragraph", shown))
+        return i
+
+    def quote(self, i: int) -> int:
+        inner: list[str] = []
+        while i < len(self.lines) and (_QUOTE.match(self.lines[i]) or inner and inner[-1].strip() and not _begins_block(self.lines[i])):
+            inner.append(_QUOTE.sub("", self.lines[i], count=1))
+            i += 1
+        told = [b["text"] or " ".join(b["items"] or []) for b in _Markdown(inner, self.labels, self.depth + 1).blocks]
+        if shown := " ".join(filter(None, told)):
+            self.blocks.append(block("quote", shown))
+        return i
+
+    def list_(self, i: int) -> int:
+        """One list: items of lists inside it stand behind the item that holds them; other blocks are part of their item."""
+        lines, items = self.lines, []
+        kind = _ITEM.match(lines[i])[2][-1]
+        while i < len(lines) and (m := _ITEM.match(lines[i])) and m[2][-1] == kind and len(m[1]) < 4 and not _RULE.match(lines[i]):
+            depth = len(m[1]) + len(m[2]) + (len(m[3]) if m[3] and len(m[3]) < 5 and m[4] else 1)
+            inner = [lines[i][depth:]] if m[4] else [""]
+            i += 1
+            while i < len(lines):
+                line = lines[i]
+                if not line.strip():
+                    following = next((x for x in lines[i:] if x.strip()), "")
+                    if not following.startswith(" " * depth):
+                        break
+                    inner.append("")
+                elif line.startswith(" " * depth):
+                    inner.append(line[depth:])
+                elif _begins_block(line) or _ITEM.match(line) or not inner[-1].strip():
+                    break
                 else:
-                    items[-1] += " " + lines[i].strip()
+                    inner.append(line.strip())
                 i += 1
-            add(block("list", items=[inline(x) for x in items]))
-        elif bare.startswith("|"):
-            rows = []
-            while i < len(lines) and lines[i].strip().startswith("|"):
-                rows.append(lines[i].strip())
+            inner[0] = _TASK.sub("", inner[0], count=1)
+            own, below = [], []
+            for b in _Markdown(inner, self.labels, self.depth + 1).blocks:
+                if b["kind"] == "list":
+                    below += b["items"]
+                elif b["text"]:
+                    own.append(b["text"])
+            items += [" ".join(own), *below] if own or not below else below
+            while i < len(lines) and not lines[i].strip() and (nxt := next((x for x in lines[i:] if x.strip()), "")) and (n := _ITEM.match(nxt)) and n[2][-1] == kind and len(n[1]) < 4 and not _RULE.match(nxt):
                 i += 1
-            add(block("plain", "\n".join(rows)))
-        elif bare:
-            words = []
-            while i < len(lines) and lines[i].strip() and not re.match(r"\s{0,3}(#{1,6}\s|>|```|~~~|[-*+]\s)", lines[i]):
-                words.append(lines[i].strip())
-                i += 1
-            if not words:
-                words, i = [bare], i + 1
-            add(block("paragraph", inline(" ".join(words))))
-        else:
-            i += 1
-    return document(title, [s for s in sections if s["blocks"] or s["heading"]] or [{"heading": None, "level": 0, "blocks": []}])
+        if items := [x for x in items if x]:
+            self.blocks.append(block("list", items=items))
+        return i
+
+
+def markdown(text: str) -> dict:
+    """Headings, paragraphs, lists, quotes, code and tables; headings below the first level begin sections, and the first
+    one of the first level is the title. Rules, HTML and link definitions show nothing; without any block, the text is
+    plain."""
+    lines, labels, fence = [], set(), None
+    for line in text.expandtabs(4).splitlines():
+        m = _FENCE.match(line)
+        if fence is None and m:
+            fence = m[1]
+        elif fence is not None and m and m[1].startswith(fence) and not m[2]:
+            fence = None
+        elif fence is None and (d := _REFERENCE.match(line)):
+            labels.add(d[1].strip().lower())
+            continue
+        lines.append(line)
+    sections = [{"heading": None, "level": 0, "blocks": []}]
+    title = None
+    for b in _Markdown(lines, labels).blocks:
+        if b["kind"] == "heading":
+            title = title or (b["text"] if b["level"] == 1 else None)
+            if b["level"] > 1:
+                sections.append({"heading": b["text"], "level": b["level"], "blocks": []})
+        sections[-1]["blocks"].append(b)
+    filled = [s for s in sections if s["blocks"]]
+    return document(title, filled) if filled else plain(text)
 
 
 _TAKEN = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote ul ol".split())

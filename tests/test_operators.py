@@ -18,7 +18,7 @@ from docloom.operators.compression import compressed, compressed_document
 from docloom.operators.reduce import reduce_documents, reduce_levels
 from docloom.operators.textrank import LEVELS, Options, rank, reduce_text, split, terms
 from docloom.sources.detect import detect_format, detect_text_format
-from docloom.sources.parse import docx, epub, html, markdown, parse, plain
+from docloom.sources.parse import docx, epub, html, inline, markdown, parse, plain
 from docloom.streaming.events import last_result, progress_events, rate_limit_stream
 
 INVOICE = "Invoice #INV-2024-001\nDate: 2024-03-15\nTotal: $1,250.00\nEmail: billing@acme.com"
@@ -135,6 +135,72 @@ def test_parsers():
     assert parse("pdf", b"%PDF")["error"] and parse("docx", b"PKbroken")["error"] and parse("html", b"")["error"]
 
 
+MARKDOWN = """Title here
+===
+
+Para *one* with `code *x*` and [link](http://a.b "t")
+hard break, <b>bold</b> &amp; \\*esc\\*
+
+***
+
+- a
+- b
+
+  second part of b
+    - nested 1
+- [x] done
+
+> quote *a*
+lazy
+>
+> more
+
+    indented code
+      deeper
+
+<div>
+ignored <p>
+</div>
+
+<https://auto.link> and [ref][r] and ![alt](i.png) ~~gone~~
+
+[r]: http://x.y
+
+a | b
+--- | ---
+1 | 2
+
+Part
+---
+snake_case and __strong__ 2 * 3
+"""
+
+
+def test_markdown_blocks():
+    m = markdown(MARKDOWN)
+    got = [(b["kind"], b["text"] or b["items"]) for s in m["sections"] for b in s["blocks"]]
+    assert got == [
+        ("heading", "Title here"), ("paragraph", "Para one with code *x* and link hard break, bold & *esc*"), ("list", ["a", "b second part of b", "nested 1", "done"]), ("quote", "quote a lazy more"),
+        ("code", "indented code\n  deeper"), ("paragraph", "https://auto.link and ref and alt gone"), ("plain", "a | b\n--- | ---\n1 | 2"), ("heading", "Part"), ("paragraph", "snake_case and strong 2 * 3"),
+    ]
+    assert m["title"] == "Title here" and [s["heading"] for s in m["sections"]] == [None, "Part"]
+    assert markdown("---\n")["sections"][0]["blocks"][0]["kind"] == "paragraph" and markdown("1. a\n\n2. b\n")["sections"][0]["blocks"][0]["items"] == ["a", "b"]
+
+
+@pytest.mark.parametrize("text,want", [("a*** b*** c",) * 2, ("***both***", "both"), ("**a *b* c**", "a b c"), ("*a **b***", "a b"), ("x_y_z _k_", "x_y_z k"), ("~~s~~ ~t~", "s ~t~"), ("**open only",) * 2, ("a `**x**` **b**", "a **x** b"), ("\\*\\*x**y**", "**xy"), ("&lt;b&gt; <i>k</i> a<b", "<b> k a<b")])
+def test_inline_markdown(text, want):
+    assert inline(text) == want
+
+
+def test_markdown_takes_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    for bad in ("*" * 50_000, "_a" * 50_000, "[" * 50_000, "`" * 50_000 + "a", "> " * 5000 + "x", "- " * 5000 + "x", "<" * 50_000, "**a " * 25_000, "(*" * 25_000):
+        assert markdown(bad)["sections"]
+    assert time.process_time() - began < 10
+
+
 def test_docx_and_epub():
     w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     body = f'<w:document xmlns:w="{w}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>Text</w:t><w:tab/><w:t>more</w:t></w:r></w:p></w:body></w:document>'
