@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,8 +45,41 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.aggregate(numbered, first, step)["out"], lambda c: c["text"] != "")
 
 
-#: A sentence with the white space after it; no look-around, so that other engines can share it.
-SENTENCE = r"[^.!?\n]+[.!?]*\s*"
+# Sentence boundaries of Unicode Standard Annex 29, by the Sentence_Break property. A paragraph separator ends a sentence,
+# and so does a terminator with closing marks and spaces behind it, unless what follows says that it goes on.
+_PARAGRAPH = r"(?:\r\n|[\p{SB=SE}\p{SB=CR}\p{SB=LF}])"
+_IGNORED = r"[\p{SB=EX}\p{SB=FO}]*+"
+_END = regex.compile(rf"{_PARAGRAPH}|(?:(?P<stop>\p{{SB=AT}})|\p{{SB=ST}}){_IGNORED}(?P<after>(?:\p{{SB=CL}}{_IGNORED})*+(?:\p{{SB=SP}}{_IGNORED})*+)(?P<paragraph>{_PARAGRAPH})?")
+_GOES_ON = regex.compile(r"[\p{SB=SC}\p{SB=AT}\p{SB=ST}]")
+_LOWER_FOLLOWS = regex.compile(r"[^\p{SB=LE}\p{SB=UP}\p{SB=LO}\p{SB=SE}\p{SB=CR}\p{SB=LF}\p{SB=AT}\p{SB=ST}]*+\p{SB=LO}")
+_NUMBER, _CAPITAL = regex.compile(r"\p{SB=NU}"), regex.compile(r"\p{SB=UP}")
+_CASED_BEFORE = regex.compile(rf"(?r)[\p{{SB=UP}}\p{{SB=LO}}]{_IGNORED}")
+
+
+def sentence_spans(text: str) -> list[tuple[int, int]]:
+    """Places in characters of the sentences that hold a letter or a digit, with the white space behind them."""
+    out, start = [], 0
+
+    def add(end: int) -> None:
+        nonlocal start
+        if any(map(str.isalnum, text[start:end])):
+            out.append((start, end))
+        start = end
+
+    for m in _END.finditer(text):
+        end = m.end()
+        if m["after"] is not None and m["paragraph"] is None:
+            if _GOES_ON.match(text, end):
+                continue
+            if m["stop"]:
+                if not m["after"] and (_NUMBER.match(text, end) or _CAPITAL.match(text, end) and _CASED_BEFORE.match(text, 0, m.start())):
+                    continue
+                if _LOWER_FOLLOWS.match(text, end):
+                    continue
+        add(end)
+    if start < len(text):
+        add(len(text))
+    return out
 
 
 def tokens_of(text: str) -> int:
@@ -54,30 +87,24 @@ def tokens_of(text: str) -> int:
 
 
 def _sentence_chunks(text: str, most: int) -> list[tuple[str, int, int, int]]:
-    out, at, now, start, held = [], 0, "", 0, 0
+    out, now, start, held = [], [], 0, 0
+    at = done = 0  # bytes of the characters before done
 
     def flush() -> None:
-        own = now.strip()
-        if own:
+        if own := " ".join(now).strip():
             out.append((own, len(out), start, tokens_of(own)))
 
-    done = 0
-    for m in re.finditer(SENTENCE, text):
-        sentence = m[0]
-        at += len(text[done : m.start()].encode())
-        begin, done = at, m.end()
-        at += len(sentence.encode())
-        if not any(c.isalnum() for c in sentence):
-            continue
+    for a, b in sentence_spans(text):
+        at += len(text[done:a].encode())
+        done = a
+        sentence = text[a:b]
         n = tokens_of(sentence)
         if now and held + n > most:
             flush()
-            now, held = "", 0
+            now, held = [], 0
         if not now:
-            start = begin
-            now = sentence
-        else:
-            now += " " + sentence
+            start = at
+        now.append(sentence)
         held += n
     flush()
     return out

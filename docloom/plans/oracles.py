@@ -128,14 +128,20 @@ def _tokens(words: str) -> str:
     return f"round(({words}) * 1.3::DOUBLE)::BIGINT"
 
 
-# A sentence with the white space after it, and the bytes before it: a separator of its own stands for each match.
-_SPAN = r"[^.!?\n]+[.!?]*\s*"
+# What may end a sentence: a line end, or a stop with closing marks and spaces behind it and a line end.
+_STOP_RUN = r"""\r\n|[\n\r\x{85}\x{2028}\x{2029}]|[.!?]["'()\[\]{}«»‘’“”„‹›]*[ \t\x{A0}]*(\r\n|[\n\r\x{85}\x{2028}\x{2029}])?"""
 
 
 def _sentence_chunks(most: int) -> str:
+    """Parts up to each place where a sentence may end; a part that goes on is one sentence with those behind it."""
+    run = _STOP_RUN.replace("'", "''")
     return rf"""
-WITH RECURSIVE raw AS (SELECT doc_id, regexp_extract_all(text, '{_SPAN}') AS m, string_split(regexp_replace(text, '{_SPAN}', chr(1), 'g'), chr(1)) AS g FROM documents),
-span AS (SELECT doc_id, i, m[i] AS t, (list_sum(list_transform(g[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: strlen(x))), 0))::BIGINT AS begin FROM raw, unnest(range(1, len(m) + 1)) AS u(i)),
+WITH RECURSIVE raw AS (SELECT doc_id, regexp_extract_all(text, '{run}') AS m, string_split(regexp_replace(text, '{run}', chr(1), 'g'), chr(1)) AS g FROM documents),
+part AS (SELECT doc_id, i, g[i] || coalesce(m[i], '') AS t, coalesce(g[i], '') AS before, coalesce(m[i], '') AS stop, coalesce(g[i+1], '') AS after, coalesce(g[i+1], '') || coalesce(m[i+1], '') AS next,
+  (coalesce(list_sum(list_transform(g[1:i-1], lambda x: strlen(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: strlen(x))), 0))::BIGINT AS pos FROM raw, unnest(range(1, len(g) + 1)) AS u(i)),
+ends AS (SELECT *, stop <> '' AND (regexp_matches(stop, '[\n\r\x{{85}}\x{{2028}}\x{{2029}}]$') OR NOT (regexp_matches(next, '^[.!?,:;–—-]') OR (starts_with(stop, '.') AND (regexp_matches(after, '^[^\pL]*\p{{Ll}}')
+  OR (stop = '.' AND (regexp_matches(next, '^\p{{Nd}}') OR (regexp_matches(before, '[\p{{Lu}}\p{{Ll}}]$') AND regexp_matches(next, '^\p{{Lu}}')))))))) AS over FROM part),
+span AS (SELECT doc_id, k AS i, string_agg(t, '' ORDER BY i) AS t, min(pos) AS begin FROM (SELECT *, coalesce(sum(over::BIGINT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM ends) GROUP BY doc_id, k),
 one AS (SELECT doc_id, t, begin, {_tokens(_words("t"))} AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM span WHERE regexp_matches(t, '[\pL\pN]')),
 fold AS (SELECT doc_id, r, n AS held, 0::BIGINT AS c FROM one WHERE r = 1
   UNION ALL SELECT o.doc_id, o.r, CASE WHEN f.held + o.n > {most} THEN o.n ELSE f.held + o.n END, f.c + (f.held + o.n > {most})::BIGINT FROM fold f JOIN one o ON o.doc_id = f.doc_id AND o.r = f.r + 1),

@@ -93,6 +93,15 @@ def test_chunks(spark):
     assert all(story.encode()[x["start_offset"] :].decode().startswith(x["text"].split(" ")[0]) for x in s)
 
 
+@pytest.mark.parametrize("text,want", [
+    ("Dr. Smith went. He left! ok? Yes.", ["Dr. ", "Smith went. ", "He left! ", "ok? ", "Yes."]), ("3.4 is one. U.S.A. now. e.g. this", ["3.4 is one. ", "U.S.A. now. e.g. this"]),
+    ('He said "Go." Then (left.) Nothing. \n\nNew', ['He said "Go." ', "Then (left.) ", "Nothing. \n", "New"]), ("Wait... what? No... Yes", ["Wait... what? ", "No... ", "Yes"]),
+    ("end.\r\nnext", ["end.\r\n", "next"]), ("!!! ??", []), ("x. 123 abc. 123 Abc", ["x. 123 abc. ", "123 Abc"]), ("", []), ("One.\u0301 Two", ["One.\u0301 ", "Two"]),
+])
+def test_sentence_boundaries(text, want):
+    assert [text[a:b] for a, b in H.sentence_spans(text)] == want
+
+
 def test_rank_matches_dense():
     r = random.Random(1)
     bags = [[r.choice("abcdefgh") for _ in range(r.randint(0, 6))] for _ in range(30)]
