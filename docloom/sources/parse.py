@@ -1,4 +1,4 @@
-"""Documents from plain text, Markdown, HTML, DOCX and EPUB: title and sections of blocks."""
+"""Documents from plain text, Markdown, HTML, DOCX, EPUB and PDF: title and sections of blocks."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import io
 import re
 import unicodedata
 import zipfile
+import zlib
 from collections.abc import Set
 from html import unescape
 from html.parser import HTMLParser
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from docloom.providers import Parsers
 from docloom.sources.detect import decoded, detect_format, with_hint
+from docloom.sources.pdf import pdf_text
 
 BLOCK = T.StructType([T.StructField("kind", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("language", T.StringType()), T.StructField("text", T.StringType()), T.StructField("items", T.ArrayType(T.StringType()))])
 SECTION = T.StructType([T.StructField("heading", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("blocks", T.ArrayType(BLOCK))])
@@ -442,7 +444,7 @@ def epub(data: bytes) -> dict:
 
 
 _TEXT = {"unknown": plain, "plaintext": plain, "markdown": markdown, "html": html}
-_BINARY = {"docx": docx, "epub": epub}
+_BINARY = {"docx": docx, "epub": epub, "pdf": lambda data: plain(pdf_text(data))}
 
 
 def parse(kind: str, content: bytes | None) -> dict:
@@ -454,7 +456,7 @@ def parse(kind: str, content: bytes | None) -> dict:
             return _TEXT[kind](content.decode("utf-8", "replace"))
         if kind in _BINARY:
             return _BINARY[kind](content)
-    except (ValueError, KeyError, AttributeError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError) as e:
+    except (ValueError, KeyError, IndexError, TypeError, AttributeError, StopIteration, RecursionError, OverflowError, zlib.error, zipfile.BadZipFile, ElementTree.ParseError) as e:
         return document(None, [], f"{kind}: {e}")
     return document(None, [], f"unsupported format: {kind}")
 

@@ -227,6 +227,54 @@ def test_docx_and_epub():
     assert e["title"] == "Book" and e["sections"][0]["blocks"][0]["text"] == "Hello there"
 
 
+def made_pdf(contents, fonts, compress=True, packed=False):
+    """A PDF of one page for each of contents."""
+    import zlib
+
+    n = len(contents)
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(n)) + b"] /Count %d /Resources << /Font << " % n + fonts + b" >> >> >>"}
+    streams = {}
+    for i, c in enumerate(contents):
+        objects[10 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (11 + 2 * i)
+        body = zlib.compress(c) if compress else c
+        streams[11 + 2 * i] = b"<< /Length %d%s >>\nstream\n" % (len(body), b" /Filter /FlateDecode" if compress else b"") + body + b"\nendstream"
+    cmap = b"2 beginbfchar <0001> <0041> <0002> <00E9> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange"
+    streams[5] = b"<< /Length %d >>\nstream\n" % len(cmap) + cmap + b"\nendstream"
+    if packed:
+        parts, offsets = [], []
+        for k, o in objects.items():
+            offsets.append(b"%d %d" % (k, sum(len(p) + 1 for p in parts)))
+            parts.append(o)
+        head = b" ".join(offsets) + b" "
+        inner = zlib.compress(head + b" ".join(parts))
+        streams[4] = b"<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode /Length %d >>\nstream\n" % (len(objects), len(head), len(inner)) + inner + b"\nendstream"
+        objects = {}
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n" % k + o + b"\nendobj\n" for k, o in sorted({**objects, **streams}.items())) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+@pytest.mark.parametrize("compress", [True, False])
+@pytest.mark.parametrize("packed", [True, False])
+def test_pdf(compress, packed):
+    fonts = b"/F1 << /Type /Font /Subtype /Type1 /Encoding << /Differences [1 /fi /uni20AC] >> >> /F2 << /Type /Font /Subtype /Type0 /ToUnicode 5 0 R >>"
+    first = rb"BT /F1 12 Tf 72 700 Td (First \(line\) \351) Tj 0 -14 Td [(sec) 20 (ond) -300 (line)] TJ 0 -40 Td (New paragraph) Tj T* ET"
+    second = b"BT /F2 10 Tf 1 0 0 1 72 700 Tm <000100020010> Tj /F1 10 Tf 1 0 0 1 100 700 Tm (\\001x \\002) Tj ET BI /W 1 ID \x00(\xff EI"
+    d = parse("pdf", made_pdf([first, second], fonts, compress, packed))
+    assert [b["text"] for b in d["sections"][0]["blocks"]] == ["First (line) é\nsecond line", "New paragraph", "Aéa fix €"] and d["title"] == "First (line) é" and d["error"] is None
+
+
+def test_broken_pdf():
+    whole = made_pdf([b"BT /F1 12 Tf (text) Tj ET"], b"/F1 << /Type /Font >>")
+    assert parse("pdf", whole)["error"] is None
+    r = random.Random(1)
+    for _ in range(300):
+        bad = bytearray(whole)
+        for _ in range(r.randint(1, 8)):
+            bad[r.randrange(9, len(bad))] = r.randrange(256)
+        got = parse("pdf", bytes(bad[: r.randint(9, len(bad))]))
+        assert got["error"] or got["sections"]
+    assert "encrypted" in parse("pdf", whole + b"<< /Encrypt 9 0 R >>")["error"] and "no text" in parse("pdf", b"%PDF-1.7")["error"]
+
+
 def test_pipeline_of_bytes(spark):
     df = spark.createDataFrame([(1, bytearray(STORY.encode())), (2, bytearray(b"%PDF-1.4")), (3, None)], "doc_id long, content binary")
     got = {r["doc_id"]: r for r in reduce_documents(df, kind="markdown").collect()}
@@ -313,7 +361,7 @@ def test_events_and_limits(spark, tmp_path):
     ended = {r["doc_id"]: r for r in last_result(e).collect()}
     whole = [r for r in reduce_documents(docs).collect() if r["doc_id"] == 1][0]
     assert ended[1]["result"]["summary"] == whole["summary"] and ended[1]["result"]["metrics"]["original_words"] == whole["metrics"]["original_words"] and ended[1]["error"] is None
-    assert ended[2]["result"] is None and "unsupported" in ended[2]["error"] and ended[3]["error"]
+    assert ended[2]["result"] is None and "pdf" in ended[2]["error"] and ended[3]["error"]
     docs.write.parquet(str(tmp_path / "docs"))
     stream = progress_events(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs")))
     q = stream.writeStream.format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "c0")).trigger(availableNow=True).start()
