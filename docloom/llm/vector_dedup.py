@@ -32,6 +32,8 @@ from docloom.llm.tables import by_batch, scratch, written
 
 #: Vectors of one block of a bucket; rows of codes, and bytes of vectors, that one call takes, about.
 BLOCK, CALL_ROWS, CALL_BYTES = 1024, 60_000, 16_000_000
+#: Share of pairs at the threshold whose codes may be told apart from those of unlike vectors by their distance.
+REACHED = 0.995
 
 
 @dataclass(frozen=True)
@@ -146,7 +148,8 @@ def fitted(n: int, bits: int, sample: np.ndarray, search: Search) -> tuple[Table
     """Tables, mean and matrices that meet pairs at the threshold as often as wanted, measured on such pairs.
 
     Centring widens angles of vectors with a common mean, so the share of differing bits is that of codes, and is raised
-    until the tables chosen for it reach the wanted share. Whole codes may differ in as many bits as those of these pairs do.
+    until the tables chosen for it reach the wanted share. Whole codes may differ in as many bits as those of nearly all these
+    pairs do (with a sample of under 1000, in any); the wanted share counts what is lost by that.
     """
     x, y = at_threshold(sample, search)
     mean, matrices = learn(sample, bits, 1, search)
@@ -156,7 +159,7 @@ def fitted(n: int, bits: int, sample: np.ndarray, search: Search) -> tuple[Table
         tables = choose(n, bits, replace(search, differ=min(differ, 0.5)))
         mean, matrices = learn(sample, tables.bits, tables.words, search)
         x_codes, y_codes = _codes(x, mean, matrices), _codes(y, mean, matrices)
-        tables = replace(tables, reach=int(_apart(x_codes[0], y_codes[0]).max(initial=0)) + 1 if len(x) >= 1000 else tables.bits)
+        tables = replace(tables, reach=math.ceil(np.quantile(_apart(x_codes[0], y_codes[0]), REACHED)) if len(x) >= 1000 else tables.bits)
         if differ >= 0.5 or met(tables, x_codes, y_codes) >= search.recall + 0.02:
             return tables, mean, matrices
         differ *= 1.05
