@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.llm.components import components
-from docloom.llm.tables import by_batch, scratch, written
+from docloom.llm.tables import by_batch, give_back, scratch, written
 
 WORDS = 5
 #: Links hold at 100 * shared >= 75 * united; a prefix is a quarter of the set and one token.
@@ -234,6 +234,8 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
                     sets, groups, seen, size = [], [], set(), 0
         if sets:
             yield packed(sets, groups)
+        del sets, groups, seen
+        give_back()
 
     return docs.select("text").mapInArrow(run, schema)
 
@@ -364,7 +366,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if rows["bucket"].iloc[0] < 0:
             at = rows.groupby("a", sort=False)[["x", "y"]].sum().reset_index()
             return pd.DataFrame({"a": at["a"], "b": at["a"], "m": 0, "x": at["x"], "y": at["y"]}).astype("int64")
-        return _bucket_pairs(rows).astype("int64")
+        pairs = _bucket_pairs(rows).astype("int64")
+        give_back()
+        return pairs
 
     met = written(dealt.withColumn("bucket", spread).groupBy("bucket").applyInPandas(of_bucket, "a long, b long, m long, x long, y long"), "shingle-pairs")
     told = met.filter("m = 0").groupBy(F.col("a").alias("g")).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
@@ -505,6 +509,7 @@ def _compared(rows: pd.DataFrame) -> pd.DataFrame:
         if len(one) > 1:
             side = one["side"].to_numpy()
             out += forest(one["rep"].to_numpy(np.int64), [np.frombuffer(d, np.uint64) for d in one["data"]], None if side[0] == _ONE_LIST else side == 0)
+    give_back()
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 

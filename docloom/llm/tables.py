@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import threading
@@ -125,6 +126,13 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Hands memory that Python and Arrow have freed back to the machine; a worker lives on for later stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library can't
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, after: Callable[[], None] | None = None) -> DataFrame:
     """mapInArrow of a function from one record batch to one; no state between batches, so tasks can be run again.
 
@@ -138,5 +146,6 @@ def by_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch]
                     yield function(part)
         if after:
             after()
+        give_back()
 
     return df.mapInArrow(run, schema)
