@@ -264,25 +264,27 @@ def main_text(found: list[tuple[str, bool]], near: list[list[tuple[str, bool]]],
 
 #: Distinct pages on either side that a page is compared with: the nearest is aligned, the others tell copies apart.
 SIDE = 2
-#: Rows of one range of the sorted table, about.
-RANGE = 1000
+#: Rows of one range of the sorted table, about; at most about 100,000 ranges. Characters of a host or path that say where
+#: one begins: so the driver holds 100 MB of them at most, and 700,000 hashes of pages at ranges' edges.
+RANGE, CUT_CHARS = 1000, 500
 
 _ROW = "bucket int, host string, path string, page_id long, digest string, url string, lines array<string>, inside array<boolean>"
 _KEY = ["bucket", "host", "path", "page_id", "digest"]
 
 
 def _edges(rows: pd.DataFrame) -> pd.DataFrame:
-    """The first and last distinct pages of one range: its outermost runs of equal pages, SIDE + 1 at each end."""
+    """The first and last distinct pages of one range: its outermost runs of equal pages, SIDE + 1 at each end; host_key and
+    key stand for host and for host, path and page_id."""
     rows = rows.assign(none=rows["page_id"].notna()).sort_values(["host", "path", "none", "page_id", "digest"], kind="stable")
     new = (rows["host"] != rows["host"].shift()) | (rows["digest"] != rows["digest"].shift())
     runs = rows[new].assign(at=range(int(new.sum())))
-    return runs[(runs["at"] <= SIDE) | (runs["at"] >= len(runs) - SIDE - 1)][["bucket", "at", "host", "path", "page_id", "digest"]]
+    return runs[(runs["at"] <= SIDE) | (runs["at"] >= len(runs) - SIDE - 1)][["bucket", "at", "host_key", "key", "digest"]]
 
 
 def _halo(edges: list[tuple]) -> list[tuple]:
-    """(range, host, path, page_id, digest) of the rows that ranges take over from those around them.
+    """(range, key, digest) of the rows that ranges take over from those around them.
 
-    edges: (range, place, host, path, page_id, digest) of _edges. A range takes as many distinct pages of the host at its
+    edges: (range, place, host_key, key, digest) of _edges. A range takes as many distinct pages of the host at its
     edge as there are within SIDE runs, over as many ranges as these lie in.
     """
     by_range: dict[int, list[tuple]] = {}
@@ -293,15 +295,15 @@ def _halo(edges: list[tuple]) -> list[tuple]:
     for step in (-1, 1):
         for k, b in enumerate(order):
             edge = by_range[b][0 if step < 0 else -1]
-            last, taken, other = edge[5], 0, k + step
+            last, taken, other = edge[4], 0, k + step
             while 0 <= other < len(order) and taken < SIDE:
                 runs = by_range[order[other]]
                 for e in reversed(runs) if step < 0 else runs:
                     if e[2] != edge[2] or taken == SIDE:
                         break
-                    if e[5] != last:
-                        out.append((b, *e[2:]))
-                        last, taken = e[5], taken + 1
+                    if e[4] != last:
+                        out.append((b, *e[3:]))
+                        last, taken = e[4], taken + 1
                 else:
                     other += step
                     continue
@@ -324,7 +326,7 @@ def page_text(pages: DataFrame) -> DataFrame:
     cuts: list[tuple] = []
     if n > RANGE:
         every = max(1, RANGE // 20, n // 100_000)
-        some = keyed.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0).select("host", "path", "page_id").collect()
+        some = keyed.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0).select(F.substring("host", 1, CUT_CHARS), F.substring("path", 1, CUT_CHARS), "page_id").collect()
         step = max(1, RANGE // every)
         cuts = sorted(set(sorted(_key(*x) for x in some)[step::step]))
 
@@ -340,12 +342,13 @@ def page_text(pages: DataFrame) -> DataFrame:
     rows = by_batch(keyed, parse, _ROW).withColumn("own", F.lit(True))
     if cuts:
         # pages are parsed twice instead of writing their lines, which takes as much disk as the shuffle
-        edges = by_batch(keyed, parse, _ROW).select(*_KEY).groupBy("bucket").applyInPandas(_edges, "bucket int, at int, host string, path string, page_id long, digest string")
-        halo = F.broadcast(spark.createDataFrame(_halo([tuple(e) for e in edges.collect()]), "to int, host string, path string, page_id long, digest string"))
-        same = [F.col(f"h.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("host", "path", "page_id")]
-        near = by_batch(keyed.alias("p").join(halo.alias("h"), same, "left_semi"), parse, _ROW).drop("bucket")
-        taken = near.alias("p").join(halo.alias("h"), [*same, F.col("h.digest") == F.col("p.digest")]).select(F.col("to").alias("bucket"), "p.*")
-        rows = rows.union(taken.dropDuplicates(_KEY).withColumn("own", F.lit(False)))
+        key = F.xxhash64("host", "path", "page_id")
+        told = by_batch(keyed, parse, _ROW).select(*_KEY, F.xxhash64("host").alias("host_key"), key.alias("key"))
+        edges = told.groupBy("bucket").applyInPandas(_edges, "bucket int, at int, host_key long, key long, digest string").collect()
+        halo = F.broadcast(spark.createDataFrame(_halo([tuple(e) for e in edges]), "to int, key long, digest string"))
+        near = by_batch(keyed.withColumn("key", key).join(halo, "key", "left_semi"), parse, _ROW).drop("bucket")
+        taken = near.withColumn("key", key).join(halo, ["key", "digest"]).select(F.col("to").alias("bucket"), *near.columns)
+        rows = rows.union(taken.dropDuplicates(_KEY).withColumn("own", F.lit(False)).select(rows.columns))
     dealt = rows.repartition(len(cuts) + 1, "bucket").sortWithinPartitions(*_KEY)
     return dealt.select("bucket", "host", "digest", "page_id", "url", "own", "lines", "inside").mapInArrow(_compared, "page_id long, url string, text string, n_chars long")
 
