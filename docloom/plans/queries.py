@@ -213,20 +213,22 @@ def q_mmr(spark, d):
     return V.rerank_mmr(found, 0.5).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _asked(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
 def _retrieved(spark, d) -> DataFrame:
     chunks = _docs(spark, d).select("doc_id", F.explode(H.fixed(F.col("text"), 1200, 0)).alias("c"))
     chunks = chunks.select((F.shiftleft("doc_id", 24) + F.col("c.index")).alias("vec_id"), "doc_id", "c.text", "c.start_offset")
     embedder = HashEmbedder()
     vectors = _even(chunks.select("vec_id", "text")).select("vec_id", embedder.column(F.col("text")).alias("embedding"))
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    asked = items.select("query_id", embedder.column(F.col("question")).alias("embedding"))
-    return V.top_k(asked, vectors, 4).join(chunks, "vec_id").join(items, "query_id")
+    asked = _asked(spark, d).select("query_id", embedder.column(F.col("question")).alias("embedding"))
+    return V.top_k(asked, vectors, 4).join(chunks, "vec_id")
 
 
 @query
 def q_rag_answer(spark, d):
-    r = _retrieved(spark, d)
-    rows = r.groupBy("query_id").agg(F.min("question").alias("question")).join(V.sources(r, 4000), "query_id", "left")
+    rows = _asked(spark, d).join(V.sources(_retrieved(spark, d), 4000), "query_id")
     return rows.select("query_id", F.size("sources").alias("n_sources"), EchoGenerator().column(F.col("question"), F.col("sources")).alias("answer"))
 
 
