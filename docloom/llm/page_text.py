@@ -268,14 +268,15 @@ SIDE = 2
 #: one begins: so the driver holds 100 MB of them at most, and 700,000 hashes of pages at ranges' edges.
 RANGE, CUT_CHARS = 1000, 500
 
-_ROW = "bucket int, host string, path string, page_id long, digest string, url string, lines array<string>, inside array<boolean>"
-_KEY = ["bucket", "host", "path", "page_id", "digest"]
+_ROW = "bucket int, host string, path string, page_id long, h long, digest string, url string, lines array<string>, inside array<boolean>"
+#: What the table is sorted by; h is a hash of the html.
+_KEY = ["host", "path", "page_id", "h"]
 
 
 def _edges(rows: pd.DataFrame) -> pd.DataFrame:
     """The first and last distinct pages of one range: its outermost runs of equal pages, SIDE + 1 at each end; host_key and
-    key stand for host and for host, path and page_id."""
-    rows = rows.assign(none=rows["page_id"].notna()).sort_values(["host", "path", "none", "page_id", "digest"], kind="stable")
+    key stand for host and for the whole key."""
+    rows = rows.assign(none=rows["page_id"].notna()).sort_values(["host", "path", "none", "page_id", "h"], kind="stable")
     new = (rows["host"] != rows["host"].shift()) | (rows["digest"] != rows["digest"].shift())
     runs = rows[new].assign(at=range(int(new.sum())))
     return runs[(runs["at"] <= SIDE) | (runs["at"] >= len(runs) - SIDE - 1)][["bucket", "at", "host_key", "key", "digest"]]
@@ -284,78 +285,76 @@ def _edges(rows: pd.DataFrame) -> pd.DataFrame:
 def _halo(edges: list[tuple]) -> list[tuple]:
     """(range, key, digest) of the rows that ranges take over from those around them.
 
-    edges: (range, place, host_key, key, digest) of _edges. A range takes as many distinct pages of the host at its
-    edge as there are within SIDE runs, over as many ranges as these lie in.
+    edges: (range, place, host_key, key, digest) of _edges. A range takes as many distinct pages of the host at its edge as
+    there are within SIDE runs, over as many ranges as these lie in; a run may fill many ranges.
     """
     by_range: dict[int, list[tuple]] = {}
     for e in sorted(edges, key=lambda e: e[:2]):
         by_range.setdefault(e[0], []).append(e)
-    order = sorted(by_range)
     out = []
-    for step in (-1, 1):
-        for k, b in enumerate(order):
-            edge = by_range[b][0 if step < 0 else -1]
-            last, taken, other = edge[4], 0, k + step
-            while 0 <= other < len(order) and taken < SIDE:
-                runs = by_range[order[other]]
-                for e in reversed(runs) if step < 0 else runs:
-                    if e[2] != edge[2] or taken == SIDE:
-                        break
-                    if e[4] != last:
-                        out.append((b, *e[3:]))
-                        last, taken = e[4], taken + 1
-                else:
-                    other += step
-                    continue
-                break
+    for step in (1, -1):
+        near: list[tuple] = []  # the last distinct pages of the host that the ranges so far end with
+        for b in sorted(by_range, reverse=step < 0):
+            runs = by_range[b][::step]
+            of_host = [e for e in reversed(near) if e[2] == runs[0][2]]
+            same = of_host[:1] and of_host[0][4] == runs[0][4]
+            out += [(b, *e[3:]) for e in of_host[bool(same) :][:SIDE]]
+            for e in runs:
+                if near and near[-1][2] != e[2]:
+                    near.clear()
+                if not near or near[-1][4] != e[4]:
+                    near.append(e)
+            del near[: -SIDE - 1]
     return out
 
 
 def page_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars.
 
-    Null html is empty. Among the pages of a host, sorted by path, equal pages in a row are one; each is compared with the
-    nearest distinct pages before and after it. Ranges of the sorted table hold the distinct pages beyond their edges as
-    well, so results don't depend on where these lie. Repeated pages are each a row with the same text. Other columns are
-    ignored; an empty table gives an empty one.
+    Null html is empty. Among the pages of a host, sorted by path, page_id and a hash of the html, equal pages in a row are
+    one; each is compared with the nearest distinct pages before and after it. Ranges of the sorted table hold the distinct
+    pages beyond their edges as well, so results don't depend on where these lie; rows that repeat a page are dealt over as
+    many ranges as others. Repeated pages are each a row with the same text. Other columns are ignored; an empty table
+    gives an empty one.
     """
     spark = pages.sparkSession
     url = F.col("url")
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(url).alias("host"), path_of(url).alias("path"), "html")
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(url).alias("host"), path_of(url).alias("path"), F.xxhash64("html").alias("h"), F.monotonically_increasing_id().alias("place"), "html")
     n = pages.count()
     cuts: list[tuple] = []
     if n > RANGE:
         every = max(1, RANGE // 20, n // 100_000)
-        some = keyed.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0).select(F.substring("host", 1, CUT_CHARS), F.substring("path", 1, CUT_CHARS), "page_id").collect()
+        some = keyed.filter(F.pmod(F.xxhash64("page_id", "url", "place"), F.lit(every)) == 0)
+        some = some.select(F.substring("host", 1, CUT_CHARS), F.substring("path", 1, CUT_CHARS), "page_id", "h", "place").collect()
         step = max(1, RANGE // every)
         cuts = sorted(set(sorted(_key(*x) for x in some)[step::step]))
 
     def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, hosts, paths, page = (batch.column(c).to_pylist() for c in ("page_id", "host", "path", "html"))
+        ids, hosts, paths, hashes, places, page = (batch.column(c).to_pylist() for c in ("page_id", "host", "path", "h", "place", "html"))
         found = [lines(x or "") for x in page]
         digests = [hashlib.md5(repr(x).encode("utf-8", "surrogatepass")).hexdigest() for x in found]
-        buckets = [bisect.bisect_right(cuts, _key(*k)) for k in zip(hosts, paths, ids, strict=True)]
-        columns = [pa.array(buckets, pa.int32()), *(batch.column(c) for c in ("host", "path", "page_id")), pa.array(digests, pa.string()), batch.column("url")]
+        buckets = [bisect.bisect_right(cuts, _key(*k)) for k in zip(hosts, paths, ids, hashes, places, strict=True)]
+        columns = [pa.array(buckets, pa.int32()), *(batch.column(c) for c in _KEY), pa.array(digests, pa.string()), batch.column("url")]
         columns += [pa.array([[y for y, _ in x] for x in found], pa.list_(pa.string())), pa.array([[y for _, y in x] for x in found], pa.list_(pa.bool_()))]
-        return pa.RecordBatch.from_arrays(columns, ["bucket", "host", "path", "page_id", "digest", "url", "lines", "inside"])
+        return pa.RecordBatch.from_arrays(columns, ["bucket", *_KEY, "digest", "url", "lines", "inside"])
 
     rows = by_batch(keyed, parse, _ROW).withColumn("own", F.lit(True))
     if cuts:
         # pages are parsed twice instead of writing their lines, which takes as much disk as the shuffle
-        key = F.xxhash64("host", "path", "page_id")
-        told = by_batch(keyed, parse, _ROW).select(*_KEY, F.xxhash64("host").alias("host_key"), key.alias("key"))
+        key = F.xxhash64(*_KEY)
+        told = by_batch(keyed, parse, _ROW).select("bucket", *_KEY, "digest", F.xxhash64("host").alias("host_key"), key.alias("key"))
         edges = told.groupBy("bucket").applyInPandas(_edges, "bucket int, at int, host_key long, key long, digest string").collect()
         halo = F.broadcast(spark.createDataFrame(_halo([tuple(e) for e in edges]), "to int, key long, digest string"))
         near = by_batch(keyed.withColumn("key", key).join(halo, "key", "left_semi"), parse, _ROW).drop("bucket")
         taken = near.withColumn("key", key).join(halo, ["key", "digest"]).select(F.col("to").alias("bucket"), *near.columns)
-        rows = rows.union(taken.dropDuplicates(_KEY).withColumn("own", F.lit(False)).select(rows.columns))
-    dealt = rows.repartition(len(cuts) + 1, "bucket").sortWithinPartitions(*_KEY)
+        rows = rows.union(taken.dropDuplicates(["bucket", *_KEY]).withColumn("own", F.lit(False)).select(rows.columns))
+    dealt = rows.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", *_KEY)
     return dealt.select("bucket", "host", "digest", "page_id", "url", "own", "lines", "inside").mapInArrow(_compared, "page_id long, url string, text string, n_chars long")
 
 
-def _key(host: str, path: str, page_id: int | None) -> tuple:
-    """What the table is sorted by; a null page_id comes first."""
-    return host, path, page_id is not None, page_id or 0
+def _key(host: str, path: str, page_id: int | None, h: int, place: int) -> tuple:
+    """What tells a row's range; a null page_id comes first, and rows that are equal but for their place go to any."""
+    return host, path, page_id is not None, page_id or 0, h, place
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
