@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.parts import cuts
+
 DIM = 256
-#: Questions that are held against the vectors in one pass; scores that one product makes; terms whose hash a worker keeps.
-BLOCK_QUERIES, PRODUCT, KNOWN_TERMS = 10_000, 4_000_000, 200_000
+#: Questions that are held against the vectors in one pass; scores that one product makes, and its vectors; terms whose hash a worker keeps.
+BLOCK_QUERIES, PRODUCT, PART, KNOWN_TERMS = 10_000, 1_000_000, 1_000, 200_000
 
 _SPLIT = regex.compile(r"[^\p{L}\p{N}]+").split
 _hashes: dict[str, int] = {}
@@ -56,10 +59,11 @@ def hash_embed(text: Column, dim: int = DIM) -> Column:
     """hash_vector() of each text, as one Arrow function: no shuffle, each distinct term hashed once by a worker."""
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def run(texts: pa.Array) -> pa.Array:
-        made = [hash_vector(t or "", dim) for t in texts.to_pylist()]
-        flat = np.concatenate(made) if made else np.empty(0, np.float32)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32)), pa.array(flat))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for at, n in cuts(batch):
+                flat = np.concatenate([hash_vector(t or "", dim) for t in batch.slice(at, n).to_pylist()])
+                yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32)), pa.array(flat))
 
     return run(text)
 
@@ -108,7 +112,8 @@ def _nearest(ids: np.ndarray, unit: np.ndarray, k: int):
 
     def run(batches):
         held = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
-        step = max(1, PRODUCT // max(1, len(ids)))
+        floor = np.full(len(ids), -np.inf)  # of questions: the score that a vector needs to be among the best so far
+        step = max(1, min(PART, PRODUCT // max(1, len(ids))))
         for batch in batches:
             vec, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             for a in range(0, len(vec), step):
@@ -118,11 +123,16 @@ def _nearest(ids: np.ndarray, unit: np.ndarray, k: int):
                 x[fits.to_numpy(zero_copy_only=False)] = part.filter(fits).flatten().to_numpy(zero_copy_only=False).reshape(-1, unit.shape[1])
                 x[~np.isfinite(x).all(1)] = 0
                 n = np.linalg.norm(x, axis=1, keepdims=True)
-                scores = unit @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T
+                scores = unit @ np.divide(x, n, out=x, where=n > 0).T
                 rounded = np.round(scores, 12)
-                least = np.partition(rounded, -k, axis=1)[:, -k, None] if len(part) > k else -np.inf
-                question, place = np.nonzero(rounded >= least)
+                least = floor if len(part) <= k or np.isfinite(floor).all() else np.maximum(floor, np.partition(rounded, -k, axis=1)[:, -k])
+                question, place = np.nonzero(rounded >= least[:, None])
+                if not len(question):
+                    continue
                 held = _best(np.append(held[0], question), np.append(held[1], scores[question, place]), np.append(held[2], vec[a + place]), k)
+                full = np.bincount(held[0], minlength=len(ids)) >= k
+                last = np.flatnonzero(np.append(held[0][1:] != held[0][:-1], True))
+                floor[held[0][last]] = np.where(full[held[0][last]], np.round(held[1][last], 12), -np.inf)
         yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]], pa.int64()), pa.array(held[2], pa.int64()), pa.array(held[1], pa.float64())], ["query_id", "vec_id", "score"])
 
     return run
