@@ -8,8 +8,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docloom.operators.textrank import rank, terms
+from docloom.functions.parts import in_parts
+from docloom.operators.textrank import rank_all, sentences, terms
 
 # Phrases that compression takes out, in either case.
 FILLERS = ("in order to", "due to the fact that", "at this point in time", "it is important to note that", "as a matter of fact", "for the most part", "in other words", "basically", "actually", "essentially", "literally", "needless to say")
@@ -23,7 +25,10 @@ def without_fillers(text: Column) -> Column:
 
 def _short(text: str) -> str:
     """text without fillers, white space collapsed."""
-    return " ".join(_FIND.sub("", text).split())
+    lower = text.lower()
+    if not text.isascii() or any(f in lower for f in FILLERS):
+        text = _FIND.sub("", text)
+    return " ".join(text.split())
 
 
 def _best(sentences: list[str], scores: Sequence[float], most: int) -> str:
@@ -44,18 +49,19 @@ def compress_sentences(sentences: list[str], scores: Sequence[float], ratio: flo
 
 def compress_text(text: str, ratio: float) -> str:
     """Fillers out, then, while the text has more than ratio of its original words, its lowest-ranked sentence out; one stays."""
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+", _short(text)) if s]
-    return _best(sentences, rank([terms(s) for s in sentences]).tolist(), math.ceil(len(text.split()) * ratio))
+    return compress_texts([text], ratio)[0]
 
 
-def compressed(text: Column, ratio: float) -> Column:
-    """compress_text(); a null text is empty."""
+def compress_texts(texts: Sequence[str], ratio: float) -> list[str]:
+    """compress_text() of each."""
+    found = [sentences(_short(t)) for t in texts]
+    scores = rank_all([[terms(s) for s in own] for own in found])
+    return [_best(own, score.tolist(), math.ceil(len(t.split()) * ratio)) for t, own, score in zip(texts, found, scores, strict=True)]
 
-    @F.pandas_udf("string")
-    def run(texts):
-        return texts.map(lambda t: compress_text(t or "", ratio))
 
-    return run(text)
+def compressed(text: Column, ratio: float) -> Column:
+    """compress_text(); a null text is empty."""
+    return in_parts(lambda texts: compress_texts([t or "" for t in texts], ratio), T.StringType())(text)
 
 
 def compressed_document(doc: Column, ratio: float) -> Column:

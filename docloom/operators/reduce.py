@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.parts import in_parts
 from docloom.functions.text import word_count
 from docloom.operators.compression import compress_sentences, compressed
-from docloom.operators.textrank import LEVELS, REDUCED, Options, picked, ranked, summary_places
+from docloom.operators.textrank import LEVELS, REDUCED, Options, Ranked, picked, ranked_all, summary_places
 from docloom.providers import AbstractiveProvider, Parsers
 from docloom.sources.parse import full_text, read_documents
 
@@ -49,20 +50,17 @@ def reduced_levels(text: Column, options: Sequence[Options]) -> Column:
     """An array with one struct for each of options: the level, what picked() has, and the compressed summary. The text is
     split and ranked once; compression drops the summary's sentences that rank lowest in the text."""
 
-    def one(text: str) -> list[dict]:
-        r, out = {}, []
-        for o in options:
-            found = r[o.weighting] = r.get(o.weighting) or ranked(text, o.weighting)
-            places = summary_places(found, o)
-            short = compress_sentences([found.sentences[i] for i in places], [float(found.scores[i]) for i in places], _ratio(o))
-            out.append({"level": o.level, **picked(found, o), "compressed": short})
-        return out
+    def run(texts: list[str | None]) -> list[list[dict]]:
+        told = [t or "" for t in texts]
+        ranks = {w: list(ranked_all(told, w)) for w in dict.fromkeys(o.weighting for o in options)}
+        return [[one(ranks[o.weighting][i], o) for o in options] for i in range(len(told))]
 
-    @F.pandas_udf(T.ArrayType(LEVEL))
-    def run(texts):
-        return texts.map(lambda t: one(t or ""))
+    def one(found: Ranked, o: Options) -> dict:
+        places = summary_places(found, o)
+        short = compress_sentences([found.sentences[i] for i in places], [float(found.scores[i]) for i in places], _ratio(o))
+        return {"level": o.level, **picked(found, o), "compressed": short}
 
-    return run(text)
+    return in_parts(run, T.ArrayType(LEVEL))(text)
 
 
 def reduce_levels(df: DataFrame, options: Sequence[Options], kind: str = "plaintext", hint: str | None = None, parsers: Parsers | None = None, abstractive: AbstractiveProvider | None = None) -> DataFrame:
